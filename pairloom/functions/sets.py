@@ -37,10 +37,6 @@ def dice(a: Column, b: Column) -> Column:
 
 
 def shingles(text: Column, n: int) -> Column:
-    """Distinct character n-grams; a text shorter than ``n`` is its own only element."""
-    chars = F.split(text, "")
-    size = F.length(text)
-    grams = F.transform(
-        F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(chars, i, n), "")
-    )
-    return F.when(size >= n, F.array_distinct(grams)).otherwise(F.array(text))
+    """Distinct character n-grams, in one pass over the text; a shorter text is its own only element."""
+    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.when(F.length(text) >= n, F.array_distinct(grams)).otherwise(F.array(text))

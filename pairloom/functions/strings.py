@@ -69,14 +69,7 @@ def char_precision(gold: Column, pred: Column, n: int = 1) -> Column:
         total = F.greatest(F.length(p) - n + 1, F.lit(0))
 
         def grams(s: Column) -> Column:
-            chars = F.split(s, "")
-            return F.when(
-                F.length(s) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.length(s) - n + 1),
-                    lambda i: F.array_join(F.slice(chars, i, n), ""),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
+            return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
         gg, pg = grams(g), grams(p)
 
@@ -104,9 +97,10 @@ def exact_match(gold: Column, pred: Column) -> Column:
 
 def display_number(x: Column) -> Column:
     """Six significant digits without trailing zeros; NULL and NaN are shown as an empty string."""
-    s = F.format_string("%.6g", x.cast("double"))
+    v = x.cast("double")
+    s = F.format_string("%.6g", v)
     short = F.when(s.contains("."), F.regexp_replace(s, r"\.?0+(e|$)", "$1")).otherwise(s)
-    return F.when(x.isNull() | F.isnan(x.cast("double")), "").otherwise(short)
+    return F.when(v.isNull() | F.isnan(v), "").otherwise(short)
 
 
 def plain_placeholders(pattern: Column) -> Column:

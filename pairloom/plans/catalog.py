@@ -3,6 +3,7 @@
 from pairloom.plans import (  # noqa: F401
     q_filters,
     q_functions,
+    q_joins,
     q_setops,
     q_sources,
 )

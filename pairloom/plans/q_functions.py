@@ -186,8 +186,8 @@ def f12(spark, sf):
 
 @query(
     "F13_display",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE printf('%.6g', o_totalprice / 7) END AS shown FROM orders""",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE printf('%.6g', sqrt(o_totalprice)) END AS shown FROM orders""",
 )
 def f13(spark, sf):
-    price = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice") / 7)
+    price = F.when(F.col("o_orderkey") % 4 != 0, F.sqrt("o_totalprice"))
     return table(spark, sf, "orders").select("o_orderkey", strings.display_number(price).alias("shown"))
