@@ -13,14 +13,6 @@ from pairloom.session import cut
 _OFFSET_BITS = 33  # monotonically_increasing_id: partition number above, row offset below
 
 
-def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    """NULL-safe equality on ``keys`` (a NULL group is a group)."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
-
-
 def attach(df: DataFrame, extra: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join ``extra`` on NULL-safe ``keys`` and keep one copy of the keys."""
     renamed = extra
@@ -28,7 +20,7 @@ def attach(df: DataFrame, extra: DataFrame, keys: Sequence[str], how: str = "inn
         renamed = renamed.withColumnRenamed(k, f"__{k}")
     cond = F.lit(True)
     for k in keys:
-        cond = cond & df[k].eqNullSafe(renamed[f"__{k}"])
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
     return df.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.operators.ordering import hash_rank, ordered_index
+from pairloom.operators.ordering import attach, hash_rank, ordered_index
 
 
 def pair_score(sim: Column, shared_atoms: Column, shared_bonds: Column, atom_gap: Column, bond_gap: Column) -> Column:
@@ -27,8 +27,6 @@ def relaxed_score(
 
 def share_of_group(df: DataFrame, value: str, group: Sequence[str], name: str = "share") -> DataFrame:
     """Ratio of a value to its group's total; totals are aggregated first, so a huge group is no window."""
-    from pairloom.operators.ordering import attach
-
     totals = df.groupBy(*group).agg(F.sum(value).alias("_t"))
     out = attach(df, totals, group)
     return out.withColumn(name, F.when(F.col("_t") == 0, None).otherwise(F.col(value) / F.col("_t"))).drop("_t")
