@@ -137,7 +137,7 @@ def diff_features(df: DataFrame, by_element: bool = True) -> DataFrame:
 
 
 def _position_set(side: str, name: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.transform(F.col(f"{side}_fg_full")[name], F.sort_array)))
+    return F.sort_array(F.array_distinct(F.transform(F.col(f"{side}_fg_full")[name], lambda p: F.sort_array(p))))
 
 
 def same_names() -> Column:

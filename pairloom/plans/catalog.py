@@ -5,7 +5,10 @@ from pairloom.plans import (  # noqa: F401
     q_filters,
     q_functions,
     q_joins,
+    q_metrics,
+    q_qa,
     q_ranking,
+    q_rowdiff,
     q_setops,
     q_sources,
     q_splits,
