@@ -22,8 +22,8 @@ from pairloom.plans.registry import query, table
 
 # words joined by dots stand in for a fragment code; both engines see the same text
 SQL_CODES = f"""{SQL_TURNS}, codes AS (
-  SELECT *, array_to_string({SQL_WORDS.format('left_repr')}, '.') AS left_code,
-         array_to_string({SQL_WORDS.format('right_repr')}, '.') AS right_code FROM turns),
+  SELECT *, array_to_string(list_sort({SQL_WORDS.format('left_repr')}), '.') AS left_code,
+         array_to_string(list_sort({SQL_WORDS.format('right_repr')}), '.') AS right_code FROM turns),
 compared AS (
   SELECT *, list_intersect(a, b) AS c, list_filter(a, lambda x: NOT list_contains(b, x)) AS l,
          list_filter(b, lambda x: NOT list_contains(a, x)) AS r
@@ -37,7 +37,7 @@ cmp AS (
 def codes(spark, sf):
     t = turns(spark, sf)
     return t.withColumns(
-        {f"{s}_code": F.array_join(words(F.col(f"{s}_repr")), ".") for s in ("left", "right")}
+        {f"{s}_code": F.array_join(F.sort_array(words(F.col(f"{s}_repr"))), ".") for s in ("left", "right")}
     )
 
 

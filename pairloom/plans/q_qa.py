@@ -41,8 +41,7 @@ def qa_input(spark, sf):
 
 _SHOWN = "'TEXT = ''' || trim(left_repr) || ''', CODE = ''' || left_code || ''''"
 SQL_QA = f"""{SQL_CODES}, q AS (SELECT t.source_index, t.dataset_name, t.endpoint, left_repr, right_repr, left_code, right_code, only_left, only_right, {SQL_CONTEXT} AS context, {_SHOWN} AS shown,
-    n_only_left, n_only_right, chr(10) AS nl FROM codes t JOIN cmp USING (source_index)
-  CROSS JOIN (SELECT 1)),
+    n_only_left, n_only_right, chr(10) AS nl FROM codes t JOIN (SELECT source_index, only_left, only_right, n_only_left, n_only_right FROM cmp) USING (source_index)),
 s AS (SELECT *, CASE WHEN n_only_left >= 2 THEN 'multi_step' ELSE 'single_step' END AS step1, CASE WHEN greatest(n_only_left, n_only_right) >= 2 THEN 'multi_step' ELSE 'single_step' END AS step2 FROM q),
 rec AS (
   SELECT 'identify' AS task, step1 AS step, source_index, context || nl || 'Which parts of the active entity ' || shown || ' cause its label?' AS question, to_json({{'answer': only_left}})::VARCHAR AS answer FROM s
