@@ -263,16 +263,16 @@ def sphere_clusters(sets: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -
     ``sets`` from ``distinct_sets`` with ``last_id`` (largest member), ``pairs`` from
     ``similar_sets_within``. A node is decided once no undecided neighbour comes before it, so whole
     waves of centres are found per round; each round is checkpointed. Copies count as neighbours.
-    Gives set_key, centre_key, centre_degree, centre_id.
+    Gives first_id, centre_key, centre_degree, centre_id.
     """
-    links = pairs.filter(F.col("l_key") != F.col("r_key"))
-    edges = links.select(F.col("l_key").alias("a"), F.col("r_key").alias("b"))
+    links = pairs.filter(F.col("l_id") != F.col("r_id"))
+    edges = links.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
     edges = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    weight = sets.select(F.col("set_key").alias("b"), F.col("n_members").alias("w"))
-    degree = edges.join(weight, "b").groupBy("a").agg(F.sum("w").alias("d")).withColumnRenamed("a", "set_key")
+    weight = sets.select(F.col("first_id").alias("b"), F.col("n_members").alias("w"))
+    degree = edges.join(weight, "b").groupBy("a").agg(F.sum("w").alias("d")).withColumnRenamed("a", "first_id")
     nodes = cut(
-        sets.join(degree, "set_key", "left").select(
-            "set_key",
+        sets.join(degree, "first_id", "left").select(
+            "first_id",
             F.struct((F.coalesce("d", F.lit(0)) + F.col("n_members") - 1).alias("degree"), F.col("last_id").alias("id")).alias("p"),
             F.lit("open").alias("state"),
         )
@@ -281,23 +281,23 @@ def sphere_clusters(sets: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -
         still = nodes.filter("state = 'open'")
         if still.isEmpty():
             break
-        nbr = still.select(F.col("set_key").alias("b"), F.col("p").alias("q"))
-        ahead = edges.join(nbr, "b").groupBy("a").agg(F.max("q").alias("best")).withColumnRenamed("a", "set_key")
+        nbr = still.select(F.col("first_id").alias("b"), F.col("p").alias("q"))
+        ahead = edges.join(nbr, "b").groupBy("a").agg(F.max("q").alias("best")).withColumnRenamed("a", "first_id")
         centres = (
-            still.join(ahead, "set_key", "left")
+            still.join(ahead, "first_id", "left")
             .filter(F.col("best").isNull() | (F.col("p") > F.col("best")))
-            .select("set_key", F.lit(True).alias("is_centre"))
+            .select("first_id", F.lit(True).alias("is_centre"))
         )
         covered = (
-            edges.join(centres.withColumnRenamed("set_key", "b"), "b")
-            .select(F.col("a").alias("set_key"), F.lit(True).alias("is_covered"))
+            edges.join(centres.withColumnRenamed("first_id", "b"), "b")
+            .select(F.col("a").alias("first_id"), F.lit(True).alias("is_covered"))
             .distinct()
         )
         nodes = cut(
-            nodes.join(centres, "set_key", "left")
-            .join(covered, "set_key", "left")
+            nodes.join(centres, "first_id", "left")
+            .join(covered, "first_id", "left")
             .select(
-                "set_key",
+                "first_id",
                 "p",
                 F.when(F.col("state") != "open", F.col("state"))
                 .when(F.col("is_centre"), "centre")
@@ -308,26 +308,26 @@ def sphere_clusters(sets: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -
         )
     else:
         raise RuntimeError(f"clusters not settled after {max_rounds} rounds")
-    centres = nodes.filter("state = 'centre'").select(F.col("set_key").alias("b"), F.col("p").alias("q"))
+    centres = nodes.filter("state = 'centre'").select(F.col("first_id").alias("b"), F.col("p").alias("q"))
     joined = (
         edges.join(centres, "b")
         .groupBy("a")
         .agg(F.max(F.struct("q", "b")).alias("c"))
-        .select(F.col("a").alias("set_key"), "c")
+        .select(F.col("a").alias("first_id"), "c")
     )
-    own = nodes.filter("state = 'centre'").select("set_key", F.struct(F.col("p").alias("q"), F.col("set_key").alias("b")).alias("c"))
-    rest = nodes.filter("state = 'covered'").select("set_key").join(joined, "set_key")
+    own = nodes.filter("state = 'centre'").select("first_id", F.struct(F.col("p").alias("q"), F.col("first_id").alias("b")).alias("c"))
+    rest = nodes.filter("state = 'covered'").select("first_id").join(joined, "first_id")
     return own.unionByName(rest).select(
-        "set_key", F.col("c.b").alias("centre_key"), F.col("c.q.degree").alias("centre_degree"), F.col("c.q.id").alias("centre_id")
+        "first_id", F.col("c.b").alias("centre_key"), F.col("c.q.degree").alias("centre_degree"), F.col("c.q.id").alias("centre_id")
     )
 
 
 def cluster_greedy_split(members: DataFrame, clusters: DataFrame, train: float = 0.8, valid: float = 0.1) -> DataFrame:
     """Fill by cluster size; equal sizes in the order the centres were taken.
 
-    ``members``: one row per entity with its ``set_key``.
+    ``members``: one row per entity with its ``first_id``.
     """
-    d = members.join(clusters, "set_key")
+    d = members.join(clusters, "first_id")
     groups = d.groupBy("centre_key").agg(
         F.count(F.lit(1)).alias("size"), F.first("centre_degree").alias("degree"), F.first("centre_id").alias("id")
     )

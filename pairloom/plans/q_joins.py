@@ -68,7 +68,8 @@ def j2_rows(spark, sf):
     left, right = parity_sets(spark, sf)
     pairs = S.similar_sets(left, right, ["lang"], 9, 10)
     pos, neg = d.filter("label = 1"), d.filter("label = 0")
-    return S.expand_members(pairs, pos, neg, ["lang"], "doc_id", "bits").withColumn("sim", F.round("sim", 6))
+    lm, rm = (S.set_members(x, y, ["lang"], "doc_id", "bits") for x, y in ((pos, left), (neg, right)))
+    return S.expand_members(pairs, lm, rm, ["lang"], "doc_id").withColumn("sim", F.round("sim", 6))
 
 
 SQL_PAGE_ENTITIES = f"""pe AS (SELECT page_id, regexp_extract(url, '/([a-z][a-z])/', 1) AS dataset_name,

@@ -9,6 +9,7 @@ from pairloom.operators import splits as X
 from pairloom.operators.ordering import ordered_index
 from pairloom.plans.frames import SQL_TRADES, parity_docs, trades
 from pairloom.plans.registry import query, table
+from pairloom.session import cut
 
 
 def orders(spark, sf):
@@ -156,13 +157,12 @@ def x11(spark, sf):
 
 @query("X12_cluster_greedy")
 def x12(spark, sf):
-    d = parity_docs(spark, sf).filter(F.size("bits") > 0)
-    sets = S.distinct_sets(d.withColumn("_all", F.lit(0)), ["_all"], "doc_id", "bits")
-    key = F.md5(F.to_json(F.sort_array("bits")))
-    members = d.select("doc_id", key.alias("set_key"))
-    last = members.groupBy("set_key").agg(F.max("doc_id").alias("last_id"))
+    d = parity_docs(spark, sf).withColumn("_all", F.lit(0))
+    sets = S.distinct_sets(d, ["_all"], "doc_id", "bits")
+    members = cut(S.set_members(d, sets, ["_all"], "doc_id", "bits").drop("_all"))
+    last = members.groupBy("first_id").agg(F.max("doc_id").alias("last_id"))
     pairs = S.similar_sets_within(sets, ["_all"], 4, 10)
-    clusters = X.sphere_clusters(sets.join(last, "set_key"), pairs)
+    clusters = X.sphere_clusters(sets.join(last, "first_id"), pairs)
     return X.cluster_greedy_split(members, clusters).select("doc_id", F.col("centre_id").alias("cluster"), "split")
 
 
