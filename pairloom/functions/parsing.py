@@ -11,17 +11,24 @@ def json_field(text: Column, key: str) -> Column:
     return F.trim(F.coalesce(F.get_json_object(text, f"$.{key}"), F.lit("")))
 
 
+def is_json(text: Column) -> Column:
+    """One whole JSON value. The parser stops after the first value, so the text is read as the only
+    element of a list: anything behind that value then breaks the list or becomes a second element."""
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    first, second = (F.try_variant_get(parsed, f"$[{i}]", "variant") for i in (0, 1))
+    return F.coalesce(first.isNotNull() & second.isNull(), F.lit(False))
+
+
 def is_json_object(text: Column) -> Column:
     t = F.trim(F.coalesce(text, F.lit("")))
-    return t.startswith("{") & F.try_parse_json(t).isNotNull()
+    return t.startswith("{") & is_json(t)
 
 
 def json_object_in(text: Column) -> Column:
     """The JSON object of a model reply: the whole text, else from its first ``{`` to its last ``}``."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    whole = F.when((t != "") & F.try_parse_json(t).isNotNull(), t)
-    inner = F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.coalesce(whole, F.when(F.try_parse_json(inner).isNotNull(), inner))
+    inner = F.regexp_extract(t, r"(?s)\{.*\}", 0)
+    return F.when(is_json(t), t).when(is_json(inner), inner)
 
 
 def answer_of(pred: Column) -> Column:

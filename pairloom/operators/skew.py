@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.session import cut
+
+BROADCAST_KEYS = 200_000  # hot keys are broadcast only if counted to be at most this many
+
 
 def grid_join(
     left: DataFrame,
@@ -19,14 +23,15 @@ def grid_join(
 ) -> DataFrame:
     """Inner join on ``keys`` where a key with many rows is cut into cells of ``cell_rows`` per side.
 
-    Keys above the cell size are counted (map-side combined); their rows are dealt to rows/columns
-    of a grid by hash, so every pair meets in exactly one cell and no task gets a whole hot key.
-    Other columns of the two sides must have different names.
+    Rows per key are counted first (map-side combined). Without a hot key this is a plain join;
+    otherwise a hot key's rows are dealt to rows and columns of a grid by hash, so every pair meets
+    in exactly one cell and no task gets a whole hot key. Both inputs are read twice, so they
+    should be written tables or cheap scans. Other columns of the two sides need different names.
     """
     sides = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(
         right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
     )
-    hot = (
+    hot = cut(
         sides.groupBy(*keys)
         .agg(F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"))
         .filter(
@@ -39,7 +44,13 @@ def grid_join(
             F.ceil(F.col("_nl") / cell_rows).cast("int").alias("_gl"),
             F.ceil(F.col("_nr") / cell_rows).cast("int").alias("_gr"),
         )
-    )  # at most (rows / cell_rows) keys; the optimiser broadcasts it only if it measures small
+    )  # at most rows / cell_rows keys
+    n_hot = hot.limit(BROADCAST_KEYS + 1).count()
+    if n_hot == 0:
+        out = left.join(right, list(keys))
+        return out if condition is None else out.filter(condition)
+    if n_hot <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
     one = F.lit(1)
     lhs = left.join(hot, list(keys), "left")
     lhs = (

@@ -17,7 +17,7 @@ def path_name(name: Column) -> Column:
 def write_by_endpoint(df: DataFrame, path: str, extra: tuple[str, ...] = ()) -> None:
     """One folder per dataset and endpoint (and ``extra`` columns), names made path-safe.
 
-    The shuffle key has a random part as well, so one huge endpoint is written by many tasks.
+    Written from the partitions as they are: no shuffle, so one huge endpoint is written by many tasks.
     """
     safe = df.withColumn("dataset", path_name(F.col("dataset_name"))).withColumn(
         "endpoint_dir", path_name(F.col("endpoint"))
