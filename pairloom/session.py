@@ -45,3 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and go on from there (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -80,15 +80,26 @@ def binary_label(raw: Column) -> Column:
     )
 
 
+def _drop_corrupt(df: DataFrame, bad: Column) -> DataFrame:
+    # a scan may not read the corrupt-record column alone, so the test touches a data column too
+    touched = F.coalesce(F.length(F.col(df.columns[0]).cast("string")), F.lit(0)) >= 0
+    return df.filter(~bad & touched).drop("_corrupt_record")
+
+
 def load_tolerant_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """CSV whose malformed lines are skipped."""
-    return (
-        spark.read.schema(schema)
+    """CSV where lines with too many fields are skipped; missing fields at the end are NULL."""
+    df = (
+        spark.read.schema(f"{schema}, _corrupt_record string")
         .option("header", True)
         .option("sep", sep)
-        .option("mode", "DROPMALFORMED")
+        .option("mode", "PERMISSIVE")
+        .option("columnPruning", False)  # a line is judged by all its fields, whatever is selected
+        .option("columnNameOfCorruptRecord", "_corrupt_record")
         .csv(path)
     )
+    unquoted = F.regexp_replace("_corrupt_record", '"[^"]*"', "")
+    n_fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit(""))) + 1
+    return _drop_corrupt(df, F.coalesce(n_fields > len(df.columns) - 1, F.lit(False)))
 
 
 def clean_keyed(df: DataFrame, key: str, numeric: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -114,7 +125,7 @@ def load_records(spark: SparkSession, paths: Sequence[str] | str, schema: str) -
         .option("ignoreMissingFiles", True)
         .json(paths)
     )
-    return df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return _drop_corrupt(df, F.col("_corrupt_record").isNotNull())
 
 
 def path_fields(df: DataFrame, path: Column) -> DataFrame:

@@ -34,5 +34,7 @@ def test_scan_reads_only_used_columns(spark):
 def test_prefix_regroup_moves_nothing(spark):
     df = spark.range(50).select(F.lit("e").alias("ep"), "id", F.array(*[(F.col("id") % k).cast("string") for k in (3, 5, 7)]).alias("bits"))
     sets = S.distinct_sets(df, ["ep"], "id", "bits")
-    ranked = sets.select("ep", "first_id", F.explode("bits").alias("t")).groupBy("ep", "first_id").agg(F.collect_list("t").alias("t"))
-    assert "Exchange" not in plan(ranked)
+    ranked = S.rarest_first(sets, ["ep"], S.frequent_tokens(sets), F.col("n_bits"))
+    text = plan(ranked)
+    above_explode = text[: text.index("Generate explode")]
+    assert "Exchange hashpartitioning" not in above_explode
