@@ -95,22 +95,25 @@ def hash_rank(
     The first three hex digits cut every group into 4096 even buckets, so the ranking window is
     per bucket and the bucket offsets are a prefix sum over at most 4096 rows per group.
     """
-    d = df.withColumn("_k", key.cast("string")).withColumn(
+    d = df.withColumn("_k", F.coalesce(key.cast("string"), F.lit(""))).withColumn(
         "_h", F.md5(F.concat(F.lit(str(seed)), F.col("_k")))
     )
     d = d.withColumn("_b", F.substring("_h", 1, 3))
-    counts = d.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*group).orderBy("_b")
+    keys = ["_b"]
+    if group:
+        # one struct key: NULL groups match, and window and join share the same partitioning
+        d, keys = d.withColumn("_g", F.struct(*group)), ["_g", "_b"]
+    counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*keys[:-1])
     counts = counts.select(
-        *group,
-        "_b",
-        (F.sum("_c").over(w) - F.col("_c")).alias("_base"),
-        F.sum("_c").over(Window.partitionBy(*group)).alias(f"{name}_n"),
+        *keys,
+        (F.sum("_c").over(whole.orderBy("_b")) - F.col("_c")).alias("_base"),
+        F.sum("_c").over(whole).alias(f"{name}_n"),
     )
-    inner = Window.partitionBy(*group, "_b").orderBy("_h", "_k")
+    inner = Window.partitionBy(*keys).orderBy("_h", "_k")
     d = d.withColumn("_r", F.row_number().over(inner) - 1)
-    out = attach(d, counts, [*group, "_b"])
-    return out.withColumn(name, F.col("_base") + F.col("_r")).drop("_k", "_h", "_b", "_r", "_base")
+    out = d.join(counts, keys)
+    return out.withColumn(name, F.col("_base") + F.col("_r")).drop("_k", "_h", "_b", "_g", "_r", "_base")
 
 
 def weighted_quantiles(

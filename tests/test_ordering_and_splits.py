@@ -32,6 +32,9 @@ def test_hash_rank_is_a_stable_permutation(spark):
     b = {r.id: r.rnd for r in O.hash_rank(df.repartition(5), 1, F.col("id")).collect()}
     c = {r.id: r.rnd for r in O.hash_rank(df, 2, F.col("id")).collect()}
     assert sorted(a.values()) == list(range(300)) and a == b and a != c
+    grouped = O.hash_rank(df.withColumn("g", F.when(F.col("id") % 3 > 0, F.col("id") % 3)), 1, F.col("id"), ["g"]).collect()
+    for g in (None, 1, 2):
+        assert sorted(r.rnd for r in grouped if r.g == g) == list(range(100))
 
 
 @pytest.mark.parametrize("values", [[1.0], [2.0, 2.0, 2.0], [1, 2, 3, 4], [0.5, 9, 9, 9, 1, 1, 4], []])
