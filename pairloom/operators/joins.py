@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from pairloom.functions.sets import tanimoto
 from pairloom.operators.skew import grid_join
+from pairloom.session import cut
 
 
 def pairs_sharing_key(
@@ -35,7 +36,8 @@ def pairs_sharing_key(
     if compat:
         neg_src = neg_src.unionByName(one.join(both, [*by, repr_col], "left_semi"))
     neg = neg_src.select(*by, key, F.col(repr_col).alias("right_repr"))
-    return grid_join(pos, neg, [*by, key], F.col("left_repr"), F.col("right_repr"))
+    # written first: the join reads both sides for its hot-key count as well
+    return grid_join(cut(pos), cut(neg), [*by, key], F.col("left_repr"), F.col("right_repr"))
 
 
 def last_wins(mapping: DataFrame, key: str, value: str, order: str) -> DataFrame:
