@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pairloom.llm.common import table
 from pairloom.llm.op1_secret_scans import secret_scans
 from pairloom.llm.op2_token_counts import token_counts
+from pairloom.llm.op3_packing import packed
 from pairloom.llm.op5_mixing import mix_plan
+from pairloom.llm.op9_token_files import token_files
 from pairloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -23,6 +25,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), budget=1024)
 
 
+@query("op3_packing")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return packed(table(spark, sf, "documents"))
+
+
 MIX_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents
@@ -59,3 +66,8 @@ FROM x
 @query("op5_mixing", MIX_SQL)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return mix_plan(table(spark, sf, "documents"))
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files(table(spark, sf, "documents"))
