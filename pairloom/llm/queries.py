@@ -9,6 +9,7 @@ from pairloom.llm.op1_secret_scans import secret_scans
 from pairloom.llm.op2_token_counts import token_counts
 from pairloom.llm.op3_packing import packed
 from pairloom.llm.op5_mixing import mix_plan
+from pairloom.llm.op8_toxicity import toxicity
 from pairloom.llm.op9_token_files import token_files
 from pairloom.llm.registry import ORACLES, QUERIES, query
 
@@ -71,3 +72,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_token_files")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return token_files(table(spark, sf, "documents"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
