@@ -37,7 +37,9 @@ PIECES = regex.compile(
 )
 LEAD = regex.compile(f"[{SPACES}]*")
 CONTRACTIONS = ("'re", "'ve", "'ll")  # those that read differently when cut in their middle
-CACHE_UNITS = 400_000
+CACHE_UNITS = 900_000
+KEEP_CHARS = 60  # of a cached unit; its counts then fit into a byte each
+CACHE_PIECES = 150_000
 BLOCK = 1 << 16
 
 
@@ -69,6 +71,7 @@ class PrefixCounter:
         merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(merges)}
         self.longest = max(map(len, self.ids))
+        self.pieces: dict[str, list[int]] = {}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.whole: dict[bytes, bool] = {}
 
@@ -102,41 +105,49 @@ class PrefixCounter:
 
     def _bytes(self, data: bytes) -> list[int]:
         """Token counts of all byte prefixes of one pre-token; index 0 is the empty prefix."""
-        n, ids, count, last = len(data), self.ids, [0], [b""]
-        for i in range(1, n + 1):
-            found = None
-            for j in range(i - 1, max(-1, i - 1 - self.longest), -1):
+        ids, fits, longest = self.ids, self.fits, self.longest
+        count, last = [0], [b""]
+        for i in range(1, len(data) + 1):
+            for j in range(i - 1, max(-1, i - 1 - longest), -1):
                 t = data[j:i]
-                if t in ids and (self._pair(last[j], t) if j else self._one(t)):
-                    found = j
-                    break
-            if found is None:
+                if t in ids:
+                    if j:
+                        ok = fits.get((last[j], t))
+                        if ok is None:
+                            ok = self._pair(last[j], t)
+                    else:
+                        ok = self._one(t)
+                    if ok:
+                        count.append(count[j] + 1)
+                        last.append(t)
+                        break
+            else:
                 raise ValueError("no token ends this prefix")
-            count.append(count[found] + 1)
-            last.append(data[found:i])
         return count
 
     def _piece(self, piece: str) -> list[int]:
         """Counts at the code points 1..len of one pre-token."""
-        data = piece.encode()
-        count = self._bytes(data)
-        if len(data) == len(piece):
-            return count[1:]
-        out, at = [], 0
-        for c in piece:
-            at += len(c.encode())
-            out.append(count[at])
-        return out
+        got = self.pieces.get(piece)
+        if got is None:
+            data = piece.encode()
+            got = self._bytes(data)[1:]
+            if len(data) != len(piece):
+                ends = np.cumsum([len(c.encode()) for c in piece])
+                got = [got[k - 1] for k in ends.tolist()]
+            if len(piece) <= 32:
+                self.pieces[piece] = got
+        return got
 
     def _unit(self, unit: str) -> list[int]:
         lead = LEAD.match(unit).end()
-        out = self._piece(unit[:lead]) if lead else []
+        out = list(self._piece(unit[:lead])) if lead else []
         if lead == len(unit):
             return out
         base = at = 0
         for p in PIECES.findall(unit):
             counts = self._piece(p)
             if p in CONTRACTIONS:
+                counts = list(counts)
                 counts[1] = self._piece("'")[0] + self._piece(p[1])[0]
             for k, c in enumerate(counts):
                 if at + k >= lead:
@@ -152,7 +163,7 @@ class PrefixCounter:
             out += [len(e.ids) for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
         return out
 
-    def _fill(self, new: list[str]) -> dict[str, bytes]:
+    def _fill(self, new: list[str]) -> dict[str, list[int]]:
         totals = [len(e.ids) for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
         out = {}
         for u, total in zip(new, totals, strict=True):
@@ -162,28 +173,48 @@ class PrefixCounter:
                 counts = []
             if len(counts) != len(u) or counts[-1] != total:
                 counts = self._library(u)
-            out[u] = np.asarray(counts, dtype="<i4").tobytes()
+            out[u] = counts
         return out
 
+    def _learn(self, texts: list[str]) -> None:
+        """Have the units of a group of texts ready, so that new ones are counted together."""
+        if len(self.cache) > self.cache_units:
+            self.cache.clear()
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        found = set().union(*map(UNIT.findall, texts))
+        new = [u for u in found if len(u) <= KEEP_CHARS and u not in self.cache]
+        if new:
+            self.cache.update((u, bytes(c)) for u, c in self._fill(new).items())
+
     def _plain(self, text: str) -> np.ndarray:
         found = UNIT.findall(text)
         if not found:
             return np.zeros(0, dtype=np.int64)
-        if len(self.cache) > self.cache_units:
-            self.cache.clear()
-        new = set(found) - self.cache.keys()
-        extra: dict[str, bytes] = {}
-        if new:
-            filled = self._fill(list(new))
-            self.cache.update((u, c) for u, c in filled.items() if len(u) <= 64)
-            extra = {u: c for u, c in filled.items() if len(u) > 64}
-        parts = [extra[u] if u in extra else self.cache[u] for u in found] if extra else map(self.cache.__getitem__, found)
-        own = np.frombuffer(b"".join(parts), dtype="<i4").astype(np.int64)
+        new = [u for u in set(found) if u not in self.cache]
+        extra = {u: np.asarray(c, dtype=np.int64) for u, c in self._fill(new).items()} if new else {}
+        if extra:
+            own = np.concatenate([extra[u] if u in extra else np.frombuffer(self.cache[u], np.uint8) for u in found])
+        else:
+            own = np.frombuffer(b"".join(map(self.cache.__getitem__, found)), np.uint8)
+        own = own.astype(np.int64)
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         ends = np.cumsum(sizes)
         totals = own[ends - 1]
         return own + np.repeat(np.cumsum(totals) - totals, sizes)
 
+    def group(self, texts: list[str]) -> list[np.ndarray]:
+        """``prefixes`` of several texts."""
+        if self.exact_cuts:
+            self._learn([t for t in texts if len(t) <= BLOCK])
+        return [self.prefixes(t) for t in texts]
+
+    def batch(self, column: pa.Array, step: int = 128):
+        """Texts of a column with their counts, a group at a time."""
+        for k in range(0, len(column), step):
+            texts = column.slice(k, step).to_pylist()
+            yield from zip(texts, self.group(texts), strict=True)
+
     def prefixes(self, text: str) -> np.ndarray:
         """counts[k]: tokens of the first k + 1 code points."""
         if not self.exact_cuts:
@@ -219,8 +250,7 @@ def token_counts(
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             n_bytes, n_tokens, fit = [], [], []
-            for text in batch.column(1).to_pylist():
-                counts = counter.prefixes(text)
+            for text, counts in counter.batch(batch.column(1)):
                 n_bytes.append(len(text.encode()))
                 n_tokens.append(int(counts[-1]) if len(counts) else 0)
                 within = np.flatnonzero(counts <= budget)
@@ -251,8 +281,7 @@ def prefix_table(
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = counter.prefixes(text)
+            for doc, (_, counts) in zip(batch.column(0).to_pylist(), counter.batch(batch.column(1)), strict=True):
                 for k in range(0, max(1, len(counts)), BLOCK):
                     part = counts[k : k + BLOCK]
                     first = int(part[0]) if len(part) else 0

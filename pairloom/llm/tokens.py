@@ -99,10 +99,7 @@ class Encoder:
         if len(self.cache) > self.cache_units:
             self.cache.clear()
         split = [texts[i].split(" ") for i in group]
-        new: set[str] = set()
-        for parts in split:
-            new.update(parts)
-        new -= self.cache.keys()
+        new = [p for p in set().union(*split) if p not in self.cache]
         short, dirty = [], set()
         for p in new:
             if not p or _DIRTY.search(p):
