@@ -8,6 +8,7 @@ from pairloom.llm.common import table
 from pairloom.llm.op1_secret_scans import secret_scans
 from pairloom.llm.op2_token_counts import token_counts
 from pairloom.llm.op3_packing import packed
+from pairloom.llm.op4_lm_scores import lm_scores
 from pairloom.llm.op5_mixing import mix_plan
 from pairloom.llm.op8_toxicity import toxicity
 from pairloom.llm.op9_token_files import token_files
@@ -77,3 +78,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op4_lm_scores")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_scores(table(spark, sf, "documents"))
