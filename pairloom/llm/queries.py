@@ -10,6 +10,7 @@ from pairloom.llm.op2_token_counts import token_counts
 from pairloom.llm.op3_packing import packed
 from pairloom.llm.op4_lm_scores import lm_scores
 from pairloom.llm.op5_mixing import mix_plan
+from pairloom.llm.op6_fingerprints import fingerprints
 from pairloom.llm.op8_toxicity import toxicity
 from pairloom.llm.op9_token_files import token_files
 from pairloom.llm.registry import ORACLES, QUERIES, query
@@ -83,3 +84,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_lm_scores")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return lm_scores(table(spark, sf, "documents"))
+
+
+@query("op6_fingerprints")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints(table(spark, sf, "documents"))
