@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.common import table
+from pairloom.llm.op10_ngram_join import jaccard_join
 from pairloom.llm.op1_secret_scans import secret_scans
 from pairloom.llm.op2_token_counts import token_counts
 from pairloom.llm.op3_packing import packed
@@ -89,3 +90,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_fingerprints")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints(table(spark, sf, "documents"))
+
+
+@query("op10_ngram_join")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join(table(spark, sf, "documents"))
