@@ -12,6 +12,7 @@ from pairloom.llm.op3_packing import packed
 from pairloom.llm.op4_lm_scores import lm_scores
 from pairloom.llm.op5_mixing import mix_plan
 from pairloom.llm.op6_fingerprints import fingerprints
+from pairloom.llm.op7_embedding_dedup import near_duplicates
 from pairloom.llm.op8_toxicity import toxicity
 from pairloom.llm.op9_token_files import token_files
 from pairloom.llm.registry import ORACLES, QUERIES, query
@@ -95,3 +96,8 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_ngram_join")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join(table(spark, sf, "documents"))
+
+
+@query("op7_embedding_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "embeddings"), cosine=0.9)
