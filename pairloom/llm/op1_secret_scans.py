@@ -304,7 +304,7 @@ def redact(
     text as it is (a NULL stays NULL); ``length_col`` is set anew where the text changed.
     """
     at = docs.columns.index(text_col)
-    has_length = length_col in docs.columns if length_col else False
+    long_at = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def make():
         scanner = Scanner(max_layer)
@@ -332,11 +332,10 @@ def redact(
             after = [clean(t) for t in before]
             cols = list(batch.columns)
             cols[at] = pa.array(after, batch.schema.field(at).type)
-            if has_length:
-                k = docs.columns.index(length_col)
-                old = batch.column(k).to_pylist()
+            if long_at is not None:
+                old = batch.column(long_at).to_pylist()
                 new = [o if x == y else len(y) for o, x, y in zip(old, before, after, strict=True)]
-                cols[k] = pa.array(new, batch.schema.field(k).type)
+                cols[long_at] = pa.array(new, batch.schema.field(long_at).type)
             return pa.record_batch(cols, schema=batch.schema)
 
         return each
