@@ -69,18 +69,19 @@ class Lattice:
             out[h == np.uint64(value)] = k
         return out
 
-    def groups(self, words: list[str], most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Words of equal length together: their places in the list, and their characters."""
+    def groups(self, words: list[str], most: int = 4096, mark: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words of equal length together: their places in the list, and their characters (after the mark)."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         order = np.argsort(lengths, kind="stable")
         cuts = np.flatnonzero(np.diff(lengths[order])) + 1
         for part in np.split(order, cuts):
             n = int(lengths[part[0]]) if len(part) else 0
             step = max(1, min(most, 400_000 // (n + 1)))
+            start = MARK if mark else ""
             for a in range(0, len(part), step):
                 some = part[a : a + step]
-                text = MARK.join(["", *[words[i] for i in some.tolist()]])
-                yield some, np.frombuffer(text.encode("utf-32-le"), dtype="<u4").reshape(len(some), n + 1)
+                text = start.join(["", *[words[i] for i in some.tolist()]])
+                yield some, np.frombuffer(text.encode("utf-32-le"), dtype="<u4").reshape(len(some), n + mark)
 
     def arcs(self, chars: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         """(from, to) -> piece number of each word's stretch, -1 where it is none."""

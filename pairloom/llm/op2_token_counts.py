@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import id_and_text, map_rows
+from pairloom.llm.lattice import Lattice
 from pairloom.llm.tokens import SPACES, UNIT, cuts_are_exact, load_tokenizer, tokenizer_path
 
 #: The pre-tokenizer's pattern (fixed value), with its white space spelled out.
@@ -70,10 +71,11 @@ class PrefixCounter:
         }
         merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, self.ids))
+        self.names = sorted(self.ids)
+        self.lattice = Lattice([t.decode("latin-1") for t in self.names], [])
+        self.fits: dict[int, bool] = {}
+        self.whole = np.full(len(self.names), -1, np.int8)
         self.pieces: dict[str, list[int]] = {}
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.whole: dict[bytes, bool] = {}
 
     def _merge(self, data: bytes) -> list[bytes]:
         """Byte-pair merges of a short string, lowest rank first."""
@@ -89,66 +91,64 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _pair(self, a: bytes, b: bytes) -> bool:
-        got = self.fits.get((a, b))
-        if got is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            got = self.fits[(a, b)] = self._merge(a + b) == [a, b]
-        return got
-
-    def _one(self, t: bytes) -> bool:
-        got = self.whole.get(t)
-        if got is None:
-            got = self.whole[t] = self._merge(t) == [t]
-        return got
-
-    def _bytes(self, data: bytes) -> list[int]:
-        """Token counts of all byte prefixes of one pre-token; index 0 is the empty prefix."""
-        ids, fits, longest = self.ids, self.fits, self.longest
-        count, last = [0], [b""]
-        for i in range(1, len(data) + 1):
-            for j in range(i - 1, max(-1, i - 1 - longest), -1):
-                t = data[j:i]
-                if t in ids:
-                    if j:
-                        ok = fits.get((last[j], t))
-                        if ok is None:
-                            ok = self._pair(last[j], t)
-                    else:
-                        ok = self._one(t)
-                    if ok:
-                        count.append(count[j] + 1)
-                        last.append(t)
-                        break
-            else:
-                raise ValueError("no token ends this prefix")
-        return count
-
-    def _piece(self, piece: str) -> list[int]:
-        """Counts at the code points 1..len of one pre-token."""
-        got = self.pieces.get(piece)
-        if got is None:
-            data = piece.encode()
-            got = self._bytes(data)[1:]
-            if len(data) != len(piece):
-                ends = np.cumsum([len(c.encode()) for c in piece])
-                got = [got[k - 1] for k in ends.tolist()]
-            if len(piece) <= 32:
-                self.pieces[piece] = got
-        return got
-
-    def _unit(self, unit: str) -> list[int]:
-        lead = LEAD.match(unit).end()
-        out = list(self._piece(unit[:lead])) if lead else []
-        if lead == len(unit):
-            return out
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Compatibility of many token pairs; each distinct pair is worked out once."""
+        keys, back = np.unique(a.astype(np.int64) * len(self.names) + b, return_inverse=True)
+        fits = self.fits
+        got = [fits.get(k) for k in keys.tolist()]
+        for i, ok in enumerate(got):
+            if ok is None:
+                x, y = divmod(int(keys[i]), len(self.names))
+                x, y = self.names[x], self.names[y]
+                got[i] = fits[int(keys[i])] = self._merge(x + y) == [x, y]
+        return np.array(got, dtype=bool)[back]
+
+    def _ones(self, t: np.ndarray) -> np.ndarray:
+        for k in np.unique(t[self.whole[t] < 0]).tolist():
+            self.whole[k] = self._merge(self.names[k]) == [self.names[k]]
+        return self.whole[t] == 1
+
+    def _program(self, chars: np.ndarray) -> np.ndarray:
+        """Token counts of all byte prefixes of pre-tokens of one length (rows); 0 where no token fits."""
+        arcs, (n, length) = self.lattice.arcs(chars), chars.shape
+        count = np.zeros((length + 1, n), np.int32)
+        last = np.zeros((length + 1, n), np.int32)
+        for i in range(1, length + 1):
+            left = np.ones(n, bool)
+            for j in range(i - 1, -1, -1):
+                k = arcs.get((j, i))
+                if k is None:
+                    continue
+                at = np.flatnonzero(left & (k >= 0) & ((count[j] > 0) | (j == 0)))
+                if not len(at):
+                    continue
+                at = at[self._pairs(last[j, at], k[at]) if j else self._ones(k[at])]
+                last[i, at], count[i, at] = k[at], count[j, at] + 1
+                left[at] = False
+        return count[1:].T
+
+    def _count_pieces(self, pieces: list[str]) -> None:
+        """Have the counts at the code points of new pre-tokens ready."""
+        raw = [p.encode().decode("latin-1") for p in pieces]
+        for at, chars in self.lattice.groups(raw, 50_000, mark=False):
+            counts = self._program(chars)
+            for k, c in zip(at.tolist(), counts.tolist(), strict=True):
+                p = pieces[k]
+                if len(p) != len(c):
+                    c = [c[e - 1] for e in np.cumsum([len(x.encode()) for x in p]).tolist()]
+                self.pieces[p] = c
+
+    def _unit(self, unit: str, found: list[str], lead: int) -> list[int]:
+        """Counts at the code points of a unit cut into pre-tokens."""
+        if len(found) == 1:
+            return self.pieces[found[0]]
+        out = list(self.pieces[unit[:lead]]) if lead else []
         base = at = 0
-        for p in PIECES.findall(unit):
-            counts = self._piece(p)
+        for p in found:
+            counts = self.pieces[p]
             if p in CONTRACTIONS:
                 counts = list(counts)
-                counts[1] = self._piece("'")[0] + self._piece(p[1])[0]
+                counts[1] = self.pieces["'"][0] + self.pieces[p[1]][0]
             for k, c in enumerate(counts):
                 if at + k >= lead:
                     out.append(base + c)
@@ -165,38 +165,43 @@ class PrefixCounter:
 
     def _fill(self, new: list[str]) -> dict[str, list[int]]:
         totals = [len(e.ids) for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+        cut = [PIECES.findall(u) for u in new]
+        leads = [LEAD.match(u).end() if len(f) > 1 else 0 for u, f in zip(new, cut, strict=True)]
+        wanted = {p for f in cut for p in f} | {u[:n] for u, n in zip(new, leads, strict=True) if n}
+        for c in CONTRACTIONS:
+            if c in wanted:
+                wanted |= {"'", c[1]}
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        self._count_pieces([p for p in wanted if p not in self.pieces])
         out = {}
-        for u, total in zip(new, totals, strict=True):
-            try:
-                counts = self._unit(u)
-            except ValueError:
-                counts = []
-            if len(counts) != len(u) or counts[-1] != total:
+        for u, f, n, total in zip(new, cut, leads, totals, strict=True):
+            counts = self._unit(u, f, n)
+            if len(counts) != len(u) or counts[-1] != total or 0 in counts:
                 counts = self._library(u)
             out[u] = counts
         return out
 
-    def _learn(self, texts: list[str]) -> None:
-        """Have the units of a group of texts ready, so that new ones are counted together."""
+    def _learn(self, texts: list[str]) -> list[list[str]]:
+        """Have the units of a group of texts ready, so that new ones are counted together; the units."""
         if len(self.cache) > self.cache_units:
             self.cache.clear()
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        found = set().union(*map(UNIT.findall, texts))
-        new = [u for u in found if len(u) <= KEEP_CHARS and u not in self.cache]
+        found = [UNIT.findall(t) for t in texts]
+        new = [u for u in set().union(*found) if len(u) <= KEEP_CHARS and u not in self.cache]
         if new:
             self.cache.update((u, bytes(c)) for u, c in self._fill(new).items())
+        return found
 
-    def _plain(self, text: str) -> np.ndarray:
-        found = UNIT.findall(text)
+    def _plain(self, text: str, found: list[str] | None = None) -> np.ndarray:
+        found = UNIT.findall(text) if found is None else found
         if not found:
             return np.zeros(0, dtype=np.int64)
-        new = [u for u in set(found) if u not in self.cache]
-        extra = {u: np.asarray(c, dtype=np.int64) for u, c in self._fill(new).items()} if new else {}
-        if extra:
-            own = np.concatenate([extra[u] if u in extra else np.frombuffer(self.cache[u], np.uint8) for u in found])
-        else:
+        try:
             own = np.frombuffer(b"".join(map(self.cache.__getitem__, found)), np.uint8)
+        except KeyError:
+            new = list({u for u in found if u not in self.cache})
+            extra = {u: np.asarray(c, dtype=np.int64) for u, c in self._fill(new).items()}
+            own = np.concatenate([extra[u] if u in extra else np.frombuffer(self.cache[u], np.uint8) for u in found])
         own = own.astype(np.int64)
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         ends = np.cumsum(sizes)
@@ -205,15 +210,23 @@ class PrefixCounter:
 
     def group(self, texts: list[str]) -> list[np.ndarray]:
         """``prefixes`` of several texts."""
-        if self.exact_cuts:
-            self._learn([t for t in texts if len(t) <= BLOCK])
-        return [self.prefixes(t) for t in texts]
-
-    def batch(self, column: pa.Array, step: int = 128):
-        """Texts of a column with their counts, a group at a time."""
-        for k in range(0, len(column), step):
-            texts = column.slice(k, step).to_pylist()
-            yield from zip(texts, self.group(texts), strict=True)
+        if not self.exact_cuts:
+            return [self.prefixes(t) for t in texts]
+        plain = [t for t in texts if not any(s in t for s in self.special)]
+        found = iter(self._learn(plain))
+        return [self.prefixes(t) if any(s in t for s in self.special) else self._plain(t, next(found)) for t in texts]
+
+    def batch(self, column: pa.Array, chars: int = 8_000_000):
+        """Texts of a column with their counts, a group of about ``chars`` at a time."""
+        texts, size = [], 0
+        for k in range(0, len(column), 64):
+            some = column.slice(k, 64).to_pylist()
+            texts += some
+            size += sum(map(len, some))
+            if size >= chars:
+                yield from zip(texts, self.group(texts), strict=True)
+                texts, size = [], 0
+        yield from zip(texts, self.group(texts), strict=True)
 
     def prefixes(self, text: str) -> np.ndarray:
         """counts[k]: tokens of the first k + 1 code points."""
@@ -237,6 +250,16 @@ class PrefixCounter:
         return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
+_counters: dict[str, PrefixCounter] = {}
+
+
+def shared_counter(name: str) -> PrefixCounter:
+    """The counter of this worker process: tasks that follow each other keep what was worked out."""
+    if name not in _counters:
+        _counters[name] = PrefixCounter(name)
+    return _counters[name]
+
+
 def token_counts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", budget: int = 1024
 ) -> DataFrame:
@@ -246,7 +269,7 @@ def token_counts(
     """
 
     def make():
-        counter = PrefixCounter(tokenizer)
+        counter = shared_counter(tokenizer)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             n_bytes, n_tokens, fit = [], [], []
@@ -277,7 +300,7 @@ def prefix_table(
     """
 
     def make():
-        counter = PrefixCounter(tokenizer)
+        counter = shared_counter(tokenizer)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows: list[tuple] = []
