@@ -27,8 +27,11 @@ from pairloom.llm.op10_ngram_join import deduplicated
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs, table(spark, sf_dir, "labels"))
-    rejected = F.col("_score") >= threshold(model, F.col("lang"))
-    return scored(docs, model, name="_score").filter(~rejected).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    rejected = F.col(name) >= threshold(model, F.col("lang"))
+    return scored(docs, model, name=name).filter(~rejected).drop(name)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -335,8 +335,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = stays.select("_rid", "_n").filter("_rid is not null")
     if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
-    names = docs.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.withColumn("_rid", F.xxhash64(F.col(id_col).cast("long"), text)).join(keys, "_rid")
-    once = d.filter("_n = 1").select(*names)
-    return once.unionAll(d.filter("_n > 1").dropDuplicates(["_rid"]).select(*names))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    d = docs.select(row, F.xxhash64(F.col(id_col).cast("long"), text).alias("_rid")).join(keys, "_rid")
+    once = d.filter("_n = 1").select("row.*")
+    return once.unionAll(d.filter("_n > 1").dropDuplicates(["_rid"]).select("row.*"))

@@ -130,9 +130,12 @@ def mixed(
     **settings,
 ) -> DataFrame:
     """The mix itself: each document repeated as often as the plan says, all its columns kept."""
-    names = docs.columns
     sizes = staged(docs.select(F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")))
-    d = with_rates(docs, source_rates(sizes, **settings), source_col, F.xxhash64(F.col(id_col)))
-    n = copies(F.col("_rate"), draw(F.col(id_col), seed)).cast("int")
-    out = d.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), n)))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    d = docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), F.struct(*_all(docs)).alias("row"))
+    d = with_rates(d, source_rates(sizes, **settings), "source", F.xxhash64("id"))
+    n = copies(F.col("_rate"), draw(F.col("id"), seed)).cast("int")
+    return d.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), n))).select("row.*")
+
+
+def _all(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]

@@ -304,7 +304,9 @@ class _Words(dict):
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score as the last one; one pass, no shuffle."""
+    """All columns of ``docs`` and the score as the last one, under a name of its own; one pass, no shuffle."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {name} already")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_ROWS rows of DIM numbers
     at = docs.columns.index(text_col)
 
