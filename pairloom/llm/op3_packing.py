@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairloom.llm.common import id_and_text, map_rows, staged, width
-from pairloom.llm.tokens import Encoder
+from pairloom.llm.tokens import shared_encoder
 
 CAPACITY = 1024
 ROUNDS = 120  # pricing rounds at most
@@ -53,7 +53,7 @@ def pieces(
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def make():
-        encoder = Encoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []

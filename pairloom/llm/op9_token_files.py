@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairloom.llm.common import id_and_text, map_rows, staged
-from pairloom.llm.tokens import Encoder
+from pairloom.llm.tokens import shared_encoder
 
 MAGIC = b"WVM1"
 SHARD_TOKENS = 1 << 20
@@ -219,7 +219,7 @@ def write_shards(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder, part, seq = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, seq = shared_encoder(tokenizer), TaskContext.get().partitionId(), 0
         held, lengths, ids, size = [], [], [], 0
 
         def row():

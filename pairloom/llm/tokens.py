@@ -126,3 +126,13 @@ class Encoder:
         fresh = list({u for u in found if u[0] != " " or u[1:] not in self.cache})
         ids = dict(zip(fresh, self._ids(fresh), strict=True))
         return b"".join(ids[u] if u in ids else self.cache[u[1:]] for u in found)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def shared_encoder(name: str) -> Encoder:
+    """The encoder of this worker process: tasks that follow each other keep its cache."""
+    if name not in _encoders:
+        _encoders[name] = Encoder(name)
+    return _encoders[name]
