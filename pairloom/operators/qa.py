@@ -93,11 +93,9 @@ def with_context(df: DataFrame, descriptions: DataFrame, fallback: str) -> DataF
 
 
 def instruction(removed: Column, added: Column, step: Column) -> Column:
-    """Edit instruction in singular or plural."""
-    s = F.when(step == "single_step", "").otherwise("(s)")
-    return F.concat(
-        F.lit("Remove the following fragment"), s, F.lit(": '"), removed, F.lit("'. Then add the following fragment"), s, F.lit(": '"), added, F.lit("'.")
-    )
+    """The edit in words: one part for another, or several in turn."""
+    several = F.when(step == "single_step", "Swap '").otherwise("Swap, one after the other, '")
+    return F.concat(several, removed, F.lit("' for '"), added, F.lit("'."))
 
 
 def task_table(df: DataFrame, task: Task) -> DataFrame:
@@ -210,63 +208,45 @@ def _positions(side: str, names: Column) -> Column:
     )
 
 
-def _details(side: str, names: Column) -> Column:
-    def text(n: Column) -> Column:
-        groups = F.col(f"{side}_fg_full")[n]
-        parts = F.transform(groups, lambda p: F.concat(n, F.lit(" (atoms: "), F.array_join(p, ", "), F.lit(")")))
-        return F.coalesce(F.array_join(parts, "; "), n)
-
-    return F.transform(names, lambda n: F.struct(n.alias("name"), text(n).alias("details")))
+def _placed(side: str, names: Column) -> Column:
+    """Records (name, places) of names, without places where the side has none."""
+    none = F.array().cast("array<array<int>>")
+    return F.transform(names, lambda n: F.struct(n.alias("name"), F.coalesce(F.col(f"{side}_fg_full")[n], none).alias("places")))
 
 
-def _lines(side: str, names: Column) -> Column:
-    rows = F.transform(
-        _positions(side, names), lambda r: F.concat(F.lit("  - "), r["name"], F.lit(" (atoms: "), F.array_join(r["indices"], ", "), F.lit(")"))
-    )
-    return F.when(F.size(rows) > 0, F.array_join(rows, "\n")).otherwise("  - none")
+def _edits(left: Column, right: Column) -> Column:
+    """The exchange as signed names: ``-old +new``."""
+    signed = lambda sign, names: F.transform(names, lambda n: F.concat(F.lit(sign), n))
+    return F.array_join(F.concat(signed("-", left), signed("+", right)), " ")
 
 
-def _plan_reason(left: Column, right: Column) -> Column:
-    parts = F.concat_ws(
-        " and ",
-        F.when(F.size(left) > 0, F.concat(F.lit("Remove left-side names ("), F.array_join(left, ", "), F.lit(")"))),
-        F.when(F.size(right) > 0, F.concat(F.lit("replace with right-side names ("), F.array_join(right, ", "), F.lit(")"))),
-    )
-    return F.when(parts == "", "No change required.").otherwise(parts)
+def _listed(side: str, names: Column) -> Column:
+    """``name at 1, 4`` for each name, in one line."""
+    one = lambda r: F.concat(r["name"], F.lit(" at "), F.array_join(F.flatten(r["places"]), ", "))
+    return F.array_join(F.transform(_placed(side, names), one), "; ")
 
 
 def fg_task(df: DataFrame, kind: str) -> DataFrame:
     """``question`` and JSON ``answer`` of one of the five feature-name kinds."""
     d = named_differences(df).filter(F.size("left_names") > 0)
     left, right = F.col("left_names"), F.col("right_names")
-    shown = F.array_join(F.array_distinct(F.concat(F.map_keys("left_fg_full"), F.map_keys("right_fg_full"))), ", ")
+    shown = F.array_join(F.sort_array(F.array_distinct(F.concat(F.map_keys("left_fg_full"), F.map_keys("right_fg_full")))), ", ")
     head = F.concat(F.lit("Pair: "), "left_repr", F.lit(" | "), "right_repr", F.lit("\nNames: "), shown)
     if kind == "identify":
         answer = F.to_json(F.struct(left.alias("answer")))
     elif kind == "localise":
         answer = F.to_json(F.struct(_positions("left", left).alias("sites")))
     elif kind == "plan":
-        answer = F.to_json(
-            F.struct(
-                _details("left", left).alias("removed"), _details("right", right).alias("added"), _plan_reason(left, right).alias("reasoning")
-            )
-        )
+        answer = F.to_json(F.struct(_placed("left", left).alias("out"), _placed("right", right).alias("in"), _edits(left, right).alias("edits")))
     elif kind == "repair":
-        text = F.concat(
-            F.lit("Removed left-side names ("),
-            F.array_join(left, ", "),
-            F.lit(")"),
-            F.when(F.size(right) > 0, F.concat(F.lit(" and introduced ("), F.array_join(right, ", "), F.lit(")"))).otherwise(""),
-            F.lit("."),
-        )
-        answer = F.to_json(F.struct(F.col("right_repr").alias("target"), text.alias("modification")))
+        answer = F.to_json(F.struct(F.col("right_repr").alias("target"), _edits(left, right).alias("edits")))
     elif kind == "remove_add":
         # both sides need something to name; the right side falls back to moved names, then the left's
         d = d.withColumn(
             "right_names",
             F.coalesce(F.when(F.size("right_names") > 0, F.col("right_names")), F.when(F.size("moved") > 0, F.col("moved")), F.col("left_names")),
         ).filter(F.size("right_names") > 0)
-        head = F.concat(head, F.lit("\nRemove:\n"), _lines("left", left), F.lit("\nAdd:\n"), _lines("right", right))
+        head = F.concat(head, F.lit("\nOut: "), _listed("left", left), F.lit("\nIn: "), _listed("right", right))
         answer = F.to_json(F.struct(F.col("right_repr").alias("target")))
     else:
         raise ValueError(f"unknown kind {kind}")
@@ -290,7 +270,7 @@ def stereo_task(df: DataFrame, kind: str) -> DataFrame:
         d = plan_records(d)
         return d.withColumn("question", head).withColumn("answer", F.to_json(F.struct("removed", "added", "strategy")))
     if kind in ("repair", "remove_add"):
-        wish = "Changes:" if kind == "repair" else "Apply this plan:"
+        wish = "Differences:" if kind == "repair" else "Edits to make:"
         question = F.concat(head, F.lit(f"\n{wish}\n"), plan_text())
         return d.withColumn("question", question).withColumn("answer", F.to_json(F.struct(F.col("right_repr").alias("target"))))
     raise ValueError(f"unknown kind {kind}")

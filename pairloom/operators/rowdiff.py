@@ -211,57 +211,40 @@ def _bonds_changed(side: str, other: str) -> Column:
     return F.filter(f"{side}_{BONDS}", lambda x: ~F.array_contains(o, x))
 
 
-def _bond_text(x: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(x["bond"], ", "), F.lit("]"))
+def changed_elements(side: str, other: str) -> Column:
+    """What one side has and the other lacks or has otherwise: ``array<struct<kind, key, value>>``."""
+    def row(kind: str, key: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"))
 
-
-def unique_stereo(side: str, other: str) -> Column:
-    """Descriptions of what one side has and the other lacks or has otherwise."""
-    centres = F.transform(
-        _centres_changed(side, other),
-        lambda x: F.concat(
-            F.lit("Chiral center at atom "), x["atom_idx"].cast("string"), F.lit(" ("), x["config"], F.lit(" configuration)")
-        ),
-    )
-    bonds = F.transform(
-        _bonds_changed(side, other),
-        lambda x: F.concat(F.lit("E/Z bond "), _bond_text(x), F.lit(": "), x["geometry"], F.lit(" geometry")),
-    )
+    centres = F.transform(_centres_changed(side, other), lambda x: row("centre", F.array(x["atom_idx"]), x["config"]))
+    bonds = F.transform(_bonds_changed(side, other), lambda x: row("bond", x["bond"], x["geometry"]))
     return F.concat(centres, bonds)
 
 
-def plan_text() -> Column:
-    """Remove/add text of the differing elements, one line each."""
-    def lines(side: str, other: str) -> Column:
-        return F.concat(
-            F.transform(
-                _centres_changed(side, other),
-                lambda x: F.concat(
-                    F.lit("  - Chiral center at Atom "), x["atom_idx"].cast("string"), F.lit(": "), x["config"], F.lit("-configuration")
-                ),
-            ),
-            F.transform(
-                _bonds_changed(side, other),
-                lambda x: F.concat(
-                    F.lit("  - E/Z bond at Atoms "), F.array_join(x["bond"], "-"), F.lit(": "), x["geometry"], F.lit("-geometry")
-                ),
-            ),
-        )
+def element_text(x: Column) -> Column:
+    """``kind key=value`` with the key's numbers joined by dashes."""
+    return F.concat(x["kind"], F.lit(" "), F.array_join(x["key"], "-"), F.lit("="), x["value"])
 
-    removed, added = lines("left", "right"), lines("right", "left")
 
-    def section(title: str, items: Column) -> Column:
-        return F.when(F.size(items) > 0, F.concat(F.lit(title + "\n"), F.array_join(items, "\n")))
+def unique_stereo(side: str, other: str) -> Column:
+    """Texts of the changed elements of one side; where only the loose counts differ, one text that says so."""
+    own = F.transform(changed_elements(side, other), element_text)
+    loose = F.lit(False)
+    for name in (CENTRES, BONDS):
+        loose = loose | (F.size(f"{side}_{name}") != F.size(f"{other}_{name}"))
+    return F.when((F.size(own) == 0) & loose, F.array(F.lit("fewer elements"))).otherwise(own)
 
-    has_any = (
-        F.size(f"left_{CENTRES}") + F.size(f"right_{CENTRES}") + F.size(f"left_{BONDS}") + F.size(f"right_{BONDS}")
-    ) > 0
-    body = F.concat_ws("\n", section("Remove:", removed), section("Add:", added))
-    return (
-        F.when(~has_any, "No stereo information on either side.")
-        .when(body == "", "No stereo change required.")
-        .otherwise(body)
-    )
+
+def plan_text() -> Column:
+    """The changed elements as an edit list: a line with ``-`` for the left side's, with ``+`` for the right side's."""
+    def lines(sign: str, side: str, other: str) -> Column:
+        return F.transform(changed_elements(side, other), lambda x: F.concat(F.lit(sign), element_text(x)))
+
+    some = F.lit(0)
+    for side in ("left", "right"):
+        some = some + F.size(f"{side}_{CENTRES}") + F.size(f"{side}_{BONDS}")
+    edits = F.concat(lines("-", "left", "right"), lines("+", "right", "left"))
+    return F.when(some == 0, "(nothing to compare)").when(F.size(edits) == 0, "(no edits)").otherwise(F.array_join(edits, "\n"))
 
 
 def site_list(side: str = "left", other: str = "right") -> Column:
@@ -281,61 +264,22 @@ def site_list(side: str = "left", other: str = "right") -> Column:
 
 
 def plan_records(df: DataFrame) -> DataFrame:
-    """``removed`` and ``added`` element records and a summary by count.
+    """``removed`` and ``added`` element records (kind, key, value) and their numbers per kind.
 
-    An element is added only where the other side has the same key with another value.
+    ``added`` has the other side's value of a removed key, where it has that key.
     """
-    def clean(v: Column) -> Column:
-        short = F.upper(F.trim(F.split(F.replace(v, F.lit("@"), F.lit("")), "/")[0]))
-        return F.when(short == "", "unspecified").otherwise(short)
-
-    def partner(x: Column, column: str, key: str) -> Column:
-        return F.filter(f"right_{column}", lambda y: y[key] == x[key])
-
-    removed_c = F.filter(
-        f"left_{CENTRES}",
-        lambda x: ~F.exists(partner(x, CENTRES, "atom_idx"), lambda y: clean(y["config"]) == clean(x["config"])),
+    removed = changed_elements("left", "right")
+    theirs = F.concat(
+        F.transform(f"right_{CENTRES}", lambda y: F.struct(F.lit("centre").alias("kind"), F.array(y["atom_idx"]).alias("key"), y["config"].alias("value"))),
+        F.transform(f"right_{BONDS}", lambda y: F.struct(F.lit("bond").alias("kind"), y["bond"].alias("key"), y["geometry"].alias("value"))),
     )
-    removed_b = F.filter(
-        f"left_{BONDS}",
-        lambda x: ~F.exists(partner(x, BONDS, "bond"), lambda y: y["geometry"] == x["geometry"]),
+    d = df.withColumn("removed", removed).withColumn("_theirs", theirs)
+    added = F.flatten(
+        F.transform("removed", lambda x: F.filter("_theirs", lambda y: (y["kind"] == x["kind"]) & (y["key"] == x["key"])))
     )
-    d = df.withColumn("_rc", removed_c).withColumn("_rb", removed_b)
-    removed = F.concat(
-        F.transform(
-            "_rc",
-            lambda x: F.struct(
-                F.lit("Chiral_Center").alias("type"), F.array(x["atom_idx"]).alias("indices"), clean(x["config"]).alias("config")
-            ),
-        ),
-        F.transform(
-            "_rb",
-            lambda x: F.struct(F.lit("E_Z_Bond").alias("type"), x["bond"].alias("indices"), x["geometry"].alias("config")),
-        ),
-    )
-    added = F.concat(
-        F.transform(
-            F.filter("_rc", lambda x: F.size(partner(x, CENTRES, "atom_idx")) > 0),
-            lambda x: F.struct(
-                F.lit("Chiral_Center").alias("type"),
-                F.array(x["atom_idx"]).alias("indices"),
-                clean(F.element_at(partner(x, CENTRES, "atom_idx"), 1)["config"]).alias("config"),
-            ),
-        ),
-        F.transform(
-            F.filter("_rb", lambda x: F.size(partner(x, BONDS, "bond")) > 0),
-            lambda x: F.struct(
-                F.lit("E_Z_Bond").alias("type"),
-                x["bond"].alias("indices"),
-                F.element_at(partner(x, BONDS, "bond"), 1)["geometry"].alias("config"),
-            ),
-        ),
-    )
-    d = d.withColumn("removed", removed).withColumn("added", added)
-    return d.withColumn(
-        "strategy",
-        F.format_string("Modify %d stereochemical feature(s) to match the other side.", F.size("removed")),
-    ).drop("_rc", "_rb")
+    number = lambda kind: F.size(F.filter("removed", lambda x: x["kind"] == kind)).cast("string")
+    counts = F.concat(F.lit("centres "), number("centre"), F.lit(", bonds "), number("bond"))
+    return d.withColumn("added", added).withColumn("strategy", counts).drop("_theirs")
 
 
 def feature_coverage(df: DataFrame) -> DataFrame:

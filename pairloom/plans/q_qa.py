@@ -9,7 +9,7 @@ from pairloom.operators.choices import letter
 from pairloom.plans.frames import SQL_PREDICTIONS, predictions
 from pairloom.plans.q_filters import SQL_CODES, compared
 from pairloom.plans.q_ranking import SQL_CHOICES, SQL_SHOTS, choice_frame, example_text, shots
-from pairloom.plans.q_rowdiff import SQL_DIFF, SQL_PLAN, SQL_SITES, typed_pairs
+from pairloom.plans.q_rowdiff import SQL_DIFF, SQL_PLAN_TEXT, SQL_SITES, sql_unique, typed_pairs
 from pairloom.plans.registry import query, table
 
 SEED = 42
@@ -48,8 +48,7 @@ rec AS (
   UNION ALL SELECT 'generate', step2, source_index, context || nl || 'Active entity: ' || shown || nl || 'Parts to replace: ' || only_left || nl || 'Give the replacing parts.', to_json({{'answer': only_right}})::VARCHAR FROM s
   UNION ALL SELECT 'rewrite', step2, source_index, context || nl || 'Active entity: ' || shown || nl || 'Write the inactive counterpart.', to_json({{'answer': right_repr}})::VARCHAR FROM s
   UNION ALL SELECT 'rewrite_code', step2, source_index, context || nl || 'Active entity: ' || shown || nl || 'Write the code of the inactive counterpart.', to_json({{'answer': right_code}})::VARCHAR FROM s
-  UNION ALL SELECT 'instructed', step2, source_index, context || nl || 'Active entity: ' || shown || nl || 'Remove the following fragment' || CASE WHEN step2 = 'single_step' THEN '' ELSE '(s)' END || ': ''' || only_left ||
-     '''. Then add the following fragment' || CASE WHEN step2 = 'single_step' THEN '' ELSE '(s)' END || ': ''' || only_right || '''.', to_json({{'answer': right_repr}})::VARCHAR FROM s
+  UNION ALL SELECT 'instructed', step2, source_index, context || nl || 'Active entity: ' || shown || nl || CASE WHEN step2 = 'single_step' THEN 'Swap ''' ELSE 'Swap, one after the other, ''' END || only_left || ''' for ''' || only_right || '''.', to_json({{'answer': right_repr}})::VARCHAR FROM s
   UNION ALL SELECT 'stepwise', step2, source_index, context || nl || 'Active entity: ' || shown || nl || 'Name the parts to replace, the replacing parts, and the counterpart.', to_json({{'answer': right_repr, 'step1': only_left, 'step2': only_right}})::VARCHAR FROM s
   UNION ALL SELECT 'stepwise_code', step2, source_index, context || nl || 'Active entity: ' || shown || nl || 'Name the parts to replace, the replacing parts, and the counterpart''s code.', to_json({{'answer': right_code, 'step1': only_left, 'step2': only_right}})::VARCHAR FROM s),
 qa AS (SELECT *, row_number() OVER (PARTITION BY task, step ORDER BY md5('42' || source_index), source_index::VARCHAR) - 1 AS id FROM rec)"""
@@ -93,8 +92,7 @@ def q4(spark, sf):
 
 @query(
     "Q5_instruction_text",
-    f"""WITH {SQL_QA} SELECT source_index, 'Remove the following fragment' || p || ': ''' || only_left || '''. Then add the following fragment' || p || ': ''' || only_right || '''.' AS instruction
-    FROM (SELECT *, CASE WHEN step2 = 'single_step' THEN '' ELSE '(s)' END AS p FROM s)""",
+    f"""WITH {SQL_QA} SELECT source_index, CASE WHEN step2 = 'single_step' THEN 'Swap ''' ELSE 'Swap, one after the other, ''' END || only_left || ''' for ''' || only_right || '''.' AS instruction FROM s""",
 )
 def q5(spark, sf):
     d = qa_input(spark, sf)
@@ -143,66 +141,69 @@ def q8(spark, sf):
 
 def _task(style, kind):
     def run(spark, sf):
-        return Q.difference_task(typed(spark, sf), style, kind).select("qa_id", "step_num", "answer")
+        return Q.difference_task(typed(spark, sf), style, kind).select("qa_id", "step_num", "question", "answer")
 
     return run
 
 
-def _task_sql(style, kind, answer):
+def _task_sql(style, kind, question, answer):
     source = "fgk" if style == "only_fg" else "stk"
-    return f"WITH {SQL_TYPED} SELECT '{style}_{kind}_' || step_num || '_' || pair_id AS qa_id, step_num, {answer} AS answer FROM {source}"
+    return f"WITH {SQL_TYPED} SELECT '{style}_{kind}_' || step_num || '_' || pair_id AS qa_id, step_num, {question} AS question, {answer} AS answer FROM {source}"
 
 
 _J = "'[' || array_to_string(list_transform({0}, lambda x: '\"' || x || '\"'), ',') || ']'"
 _POS = "list_filter(range(len({side}_words)), lambda i: {side}_words[i + 1] = n)"
 _SITES = "'[' || array_to_string(flatten(list_transform(left_names, lambda n: list_transform(list_filter(range(len(l_words)), lambda i: l_words[i + 1] = n), lambda i: '{\"name\":\"' || n || '\",\"indices\":[' || i || ']}'))), ',') || ']'"
+# both sides need something to name when a pair is edited
+_ADDED_NAMES = "CASE WHEN len(right_names) > 0 THEN right_names WHEN len(mv) > 0 THEN mv ELSE left_names END"
 
 
-def _details(side, names):
-    pos = _POS.format(side=side)
-    text = f"CASE WHEN len({pos}) = 0 THEN n ELSE array_to_string(list_transform({pos}, lambda i: n || ' (atoms: ' || i || ')'), '; ') END"
-    return f"'[' || array_to_string(list_transform({names}, lambda n: '{{\"name\":\"' || n || '\",\"details\":\"' || {text} || '\"}}'), ',') || ']'"
+def _placed(side, names):
+    places = f"'[' || array_to_string(list_transform({_POS.format(side=side)}, lambda i: '[' || i || ']'), ',') || ']'"
+    return f"'[' || array_to_string(list_transform({names}, lambda n: '{{\"name\":\"' || n || '\",\"places\":' || {places} || '}}'), ',') || ']'"
 
 
-_REASON = """CASE WHEN len(left_names) + len(right_names) = 0 THEN 'No change required.' ELSE concat_ws(' and ', CASE WHEN len(left_names) > 0 THEN 'Remove left-side names (' || array_to_string(left_names, ', ') || ')' END,
-  CASE WHEN len(right_names) > 0 THEN 'replace with right-side names (' || array_to_string(right_names, ', ') || ')' END) END"""
-_MODIFICATION = "'Removed left-side names (' || array_to_string(left_names, ', ') || ')' || CASE WHEN len(right_names) > 0 THEN ' and introduced (' || array_to_string(right_names, ', ') || ')' ELSE '' END || '.'"
+def _listed(side, names):
+    return f"array_to_string(list_transform({names}, lambda n: n || ' at ' || array_to_string({_POS.format(side=side)}, ', ')), '; ')"
+
+
+_EDITS = "array_to_string(list_concat(list_transform(left_names, lambda n: '-' || n), list_transform(right_names, lambda n: '+' || n)), ' ')"
+_FG_HEAD = "'Pair: ' || l_name || ' | ' || r_name || chr(10) || 'Names: ' || array_to_string(list_sort(list_distinct(list_concat(l_all, r_all))), ', ')"
 _FG_ANSWERS = {
     "identify": "'{\"answer\":' || " + _J.format("left_names") + " || '}'",
     "localise": "'{\"sites\":' || " + _SITES + " || '}'",
-    "plan": f"'{{\"removed\":' || {_details('l', 'left_names')} || ',\"added\":' || {_details('r', 'right_names')} || ',\"reasoning\":\"' || {_REASON} || '\"}}'",
-    "repair": f"'{{\"target\":\"' || r_name || '\",\"modification\":\"' || {_MODIFICATION} || '\"}}'",
+    "plan": f"'{{\"out\":' || {_placed('l', 'left_names')} || ',\"in\":' || {_placed('r', 'right_names')} || ',\"edits\":\"' || {_EDITS} || '\"}}'",
+    "repair": f"'{{\"target\":\"' || r_name || '\",\"edits\":\"' || {_EDITS} || '\"}}'",
     "remove_add": "'{\"target\":\"' || r_name || '\"}'",
 }
 for _letter, _kind in zip("abcde", Q.KINDS):
-    query(f"Q8{_letter}_fg_{_kind}", _task_sql("only_fg", _kind, _FG_ANSWERS[_kind]))(_task("only_fg", _kind))
-
-_CENTRE = "lambda x: 'Chiral center at atom ' || x.atom_idx || ' (' || x.config || ' configuration)'"
-_BOND = "lambda x: 'E/Z bond [' || array_to_string(x.bond, ', ') || ']: ' || x.geometry || ' geometry'"
-
-
-def _unique(c, b):
-    return f"list_concat(list_transform({c}, {_CENTRE}), list_transform({b}, {_BOND}))"
-
+    _question = _FG_HEAD
+    if _kind == "remove_add":
+        _question += f" || chr(10) || 'Out: ' || {_listed('l', 'left_names')} || chr(10) || 'In: ' || {_listed('r', _ADDED_NAMES)}"
+    query(f"Q8{_letter}_fg_{_kind}", _task_sql("only_fg", _kind, _question, _FG_ANSWERS[_kind]))(_task("only_fg", _kind))
 
-_RC = "list_filter(list_transform(lc_only, lambda x: {'i': x.atom_idx, 'c': x.config}), lambda x: true)"
-_REC_C = "'{\"type\":\"Chiral_Center\",\"indices\":[' || x.atom_idx || '],\"config\":\"' || x.config || '\"}'"
-_REC_B = "'{\"type\":\"E_Z_Bond\",\"indices\":[' || array_to_string(x.bond, ',') || '],\"config\":\"' || x.geometry || '\"}'"
+_REC_C = "'{\"kind\":\"centre\",\"key\":[' || x.atom_idx || '],\"value\":\"' || x.config || '\"}'"
+_REC_B = "'{\"kind\":\"bond\",\"key\":[' || array_to_string(x.bond, ',') || '],\"value\":\"' || x.geometry || '\"}'"
 _REMOVED = f"list_concat(list_transform(lc_only, lambda x: {_REC_C}), list_transform(lb_only, lambda x: {_REC_B}))"
 # the other side's value of the same key, in the left side's order
 _ADDED = (
     f"list_concat(flatten(list_transform(lc_only, lambda y: list_transform(list_filter(r_c, lambda x: x.atom_idx = y.atom_idx), lambda x: {_REC_C}))), "
     f"flatten(list_transform(lb_only, lambda y: list_transform(list_filter(r_b, lambda x: x.bond = y.bond), lambda x: {_REC_B}))))"
 )
+_STEREO_HEAD = "'Pair: ' || l_name || ' | ' || r_name"
 _STEREO_ANSWERS = {
-    "identify": "'{\"answer\":' || " + _J.format(f"CASE WHEN len(lc_only) + len(lb_only) > 0 THEN {_unique('lc_only', 'lb_only')} ELSE {_unique('rc_only', 'rb_only')} END") + " || '}'",
+    "identify": "'{\"answer\":' || " + _J.format(f"CASE WHEN len({sql_unique('l')}) > 0 THEN {sql_unique('l')} ELSE {sql_unique('r')} END") + " || '}'",
     "localise": "'{\"sites\":' || " + SQL_SITES + " || '}'",
-    "plan": f"'{{\"removed\":[' || array_to_string({_REMOVED}, ',') || '],\"added\":[' || array_to_string({_ADDED}, ',') || '],\"strategy\":\"Modify ' || (len(lc_only) + len(lb_only)) || ' stereochemical feature(s) to match the other side.\"}}'",
+    "plan": f"'{{\"removed\":[' || array_to_string({_REMOVED}, ',') || '],\"added\":[' || array_to_string({_ADDED}, ',') || '],\"strategy\":\"centres ' || len(lc_only) || ', bonds ' || len(lb_only) || '\"}}'",
     "repair": "'{\"target\":\"' || r_name || '\"}'",
     "remove_add": "'{\"target\":\"' || r_name || '\"}'",
 }
+_WISHES = {"repair": "Differences:", "remove_add": "Edits to make:"}
 for _letter, _kind in zip("fghij", Q.KINDS):
-    query(f"Q8{_letter}_stereo_{_kind}", _task_sql("only_stereo", _kind, _STEREO_ANSWERS[_kind]))(_task("only_stereo", _kind))
+    _question = _STEREO_HEAD
+    if _kind in _WISHES:
+        _question += f" || chr(10) || '{_WISHES[_kind]}' || chr(10) || {SQL_PLAN_TEXT}"
+    query(f"Q8{_letter}_stereo_{_kind}", _task_sql("only_stereo", _kind, _question, _STEREO_ANSWERS[_kind]))(_task("only_stereo", _kind))
 
 
 @query(

@@ -104,14 +104,23 @@ def d9(spark, sf):
     return d.filter("is_mirror OR is_diastereo OR is_ez").select("pair_id", "primary_type")
 
 
-_CENTRE = "lambda x: 'Chiral center at atom ' || x.atom_idx || ' (' || x.config || ' configuration)'"
-_BOND = "lambda x: 'E/Z bond [' || array_to_string(x.bond, ', ') || ']: ' || x.geometry || ' geometry'"
+_CENTRE = "lambda x: 'centre ' || x.atom_idx || '=' || x.config"
+_BOND = "lambda x: 'bond ' || array_to_string(x.bond, '-') || '=' || x.geometry"
+
+
+def sql_elements(side):
+    """Texts of what one side (l or r) has and the other lacks or has otherwise."""
+    return f"list_concat(list_transform({side}c_only, {_CENTRE}), list_transform({side}b_only, {_BOND}))"
+
+
+def sql_unique(side):
+    own = sql_elements(side)
+    return f"CASE WHEN len({own}) = 0 AND (len(l_c) <> len(r_c) OR len(l_b) <> len(r_b)) THEN ['fewer elements'] ELSE {own} END"
 
 
 @query(
     "D10_unique_stereo",
-    f"""WITH {SQL_DIFF} SELECT pair_id, array_to_string(list_concat(list_transform(lc_only, {_CENTRE}), list_transform(lb_only, {_BOND})), '; ') AS left_unique,
-      array_to_string(list_concat(list_transform(rc_only, {_CENTRE}), list_transform(rb_only, {_BOND})), '; ') AS right_unique FROM df""",
+    f"WITH {SQL_DIFF} SELECT pair_id, array_to_string({sql_unique('l')}, '; ') AS left_unique, array_to_string({sql_unique('r')}, '; ') AS right_unique FROM df",
 )
 def d10(spark, sf):
     return part_pairs(spark, sf).select(
@@ -121,11 +130,9 @@ def d10(spark, sf):
     )
 
 
-_LINES = """list_concat(list_transform({c}, lambda x: '  - Chiral center at Atom ' || x.atom_idx || ': ' || x.config || '-configuration'),
-   list_transform({b}, lambda x: '  - E/Z bond at Atoms ' || array_to_string(x.bond, '-') || ': ' || x.geometry || '-geometry'))"""
-SQL_PLAN = f"""{SQL_DIFF}, ln AS (SELECT pair_id, {_LINES.format(c='lc_only', b='lb_only')} AS rem, {_LINES.format(c='rc_only', b='rb_only')} AS add_, len(l_c) + len(r_c) + len(l_b) + len(r_b) AS n FROM df),
-plan AS (SELECT pair_id, CASE WHEN n = 0 THEN 'No stereo information on either side.' WHEN len(rem) + len(add_) = 0 THEN 'No stereo change required.'
-  ELSE concat_ws(chr(10), CASE WHEN len(rem) > 0 THEN 'Remove:' || chr(10) || array_to_string(rem, chr(10)) END, CASE WHEN len(add_) > 0 THEN 'Add:' || chr(10) || array_to_string(add_, chr(10)) END) END AS plan FROM ln)"""
+SQL_PLAN_TEXT = f"""CASE WHEN len(l_c) + len(r_c) + len(l_b) + len(r_b) = 0 THEN '(nothing to compare)' WHEN len({sql_elements('l')}) + len({sql_elements('r')}) = 0 THEN '(no edits)'
+  ELSE array_to_string(list_concat(list_transform({sql_elements('l')}, lambda t: '-' || t), list_transform({sql_elements('r')}, lambda t: '+' || t)), chr(10)) END"""
+SQL_PLAN = f"{SQL_DIFF}, plan AS (SELECT pair_id, {SQL_PLAN_TEXT} AS plan FROM df)"
 
 
 @query("D11_plan_text", f"WITH {SQL_PLAN} SELECT pair_id, plan FROM plan")
@@ -158,7 +165,7 @@ def d12(spark, sf):
         "step_num",
         "pair_id",
         F.when(fg, left_names).alias("n_left_names"),
-        F.when(stereo, F.size(D.unique_stereo("left", "right"))).alias("n_left_stereo"),
+        F.when(stereo, F.size(D.changed_elements("left", "right"))).alias("n_left_stereo"),
     )
 
 
@@ -189,15 +196,15 @@ def d14(spark, sf):
     "D15_plan_records",
     f"""WITH {SQL_DIFF} SELECT pair_id, CAST(len(lc_only) + len(lb_only) AS INTEGER) AS n_removed,
       CAST(len(list_filter(lc_only, lambda x: list_contains(list_transform(r_c, lambda y: y.atom_idx), x.atom_idx))) + len(list_filter(lb_only, lambda x: list_contains(list_transform(r_b, lambda y: y.bond), x.bond))) AS INTEGER) AS n_added,
-      array_to_string(list_transform(lc_only, lambda x: x.config), ',') AS removed_configs, 'Modify ' || (len(lc_only) + len(lb_only)) || ' stereochemical feature(s) to match the other side.' AS strategy FROM df""",
+      array_to_string(list_transform(lc_only, lambda x: x.config), ',') AS removed_configs, 'centres ' || len(lc_only) || ', bonds ' || len(lb_only) AS strategy FROM df""",
 )
 def d15(spark, sf):
     d = D.plan_records(part_pairs(spark, sf))
-    centres = F.filter("removed", lambda x: x["type"] == "Chiral_Center")
+    centres = F.filter("removed", lambda x: x["kind"] == "centre")
     return d.select(
         "pair_id",
         F.size("removed").alias("n_removed"),
         F.size("added").alias("n_added"),
-        F.array_join(F.transform(centres, lambda x: x["config"]), ",").alias("removed_configs"),
+        F.array_join(F.transform(centres, lambda x: x["value"]), ",").alias("removed_configs"),
         "strategy",
     )
