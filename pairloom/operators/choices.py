@@ -11,8 +11,8 @@ ENOUGH = 3  # distinct other values an endpoint must offer to be used alone
 
 
 def hash_number(text: Column) -> Column:
-    """Non-negative integer from the first eight hex digits of the md5."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    """Non-negative 60-bit integer from the first hex digits of the md5."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def _seeded(seed: int, *parts: Column) -> Column:
@@ -28,7 +28,7 @@ def with_distractors(
     endpoint if it has at least three other values, else from all. The values of a pool stand in a
     seeded order on a ring; a question starts at a hash of its id and takes the next ones that are
     not its answer, so it meets n + 1 values and never the whole pool. A pool that is too small is
-    gone round again.
+    gone round again; what is still missing is filled with the answer.
     """
     values = pool.filter(F.trim(F.coalesce("value", F.lit(""))) != "").select("endpoint", "value").distinct()
     own = hash_rank(values, pick_seed, F.col("value"), ["endpoint"], "pos").withColumnRenamed("pos_n", "m")
@@ -52,10 +52,11 @@ def with_distractors(
     q = q.withColumn("j", F.explode(F.sequence(F.lit(0), steps))).withColumn("pos", (start + F.col("j")) % F.col("m"))
     ring = own.select("endpoint", "pos", "value").unionByName(every.select("endpoint", "pos", "value"))
     met = attach(q, ring, ["endpoint", "pos"]).filter(F.col("value") != F.col("answer"))
-    chosen = met.groupBy("id", "answer").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("j", "value"))), 1, n).alias("_c")
-    )
-    options = F.concat(F.transform("_c", lambda c: c["value"]), F.array("answer"))
+    chosen = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("j", "value"))), 1, n).alias("_c"))
+    # a question whose pool holds nothing but its answer keeps its place, filled up with the answer
+    chosen = questions.select("id", "answer").join(chosen, "id", "left")
+    found = F.transform(F.coalesce("_c", F.array().cast(chosen.schema["_c"].dataType)), lambda c: c["value"])
+    options = F.concat(found, F.array_repeat("answer", n - F.size(found)), F.array("answer"))
     mixed = F.sort_array(
         F.transform(options, lambda v: F.struct(F.md5(_seeded(order_seed, F.col("id"), v)).alias("h"), v.alias("v")))
     )

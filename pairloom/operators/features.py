@@ -52,7 +52,7 @@ def encode(values: DataFrame, name: str, key: str = "value") -> DataFrame:
                         got = fn(pd.Series([v])).iloc[0].to_dict()
                         rows.append({key: v, "status": "ok", "error": None, **{c: got[c] for c in names}})
                     except Exception as e:
-                        rows.append({key: v, "status": "error", "error": str(e)[:200], **dict.fromkeys(names)})
+                        rows.append({key: v, "status": "error", "error": str(e), **dict.fromkeys(names)})
                 out = pd.DataFrame(rows, columns=[key, "status", "error", *names])
             yield out[[key, "status", "error", *names]]
 

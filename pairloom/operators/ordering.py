@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.session import cut
+from pairloom.session import cut, shuffle_width
 
 _OFFSET_BITS = 33  # monotonically_increasing_id: partition number above, row offset below
 
@@ -92,24 +92,41 @@ def hash_rank(
 ) -> DataFrame:
     """0-based position in the pseudo-random order md5(seed || key), plus ``<name>_n``.
 
-    The first three hex digits cut every group into 4096 even buckets, so the ranking window is
-    per bucket and the bucket offsets are a prefix sum over at most 4096 rows per group.
+    The first hex digits cut every group into even buckets, at least 4096 and at least four per shuffle
+    partition, so buckets grow in number with the data. The ranking window is per bucket; bucket
+    offsets are prefix sums in two levels, each over at most 4096 rows while there are under 16^6 buckets.
     """
+    digits = 3
+    while 16**digits < 4 * shuffle_width(df.sparkSession):
+        digits += 1
     d = df.withColumn("_k", F.coalesce(key.cast("string"), F.lit(""))).withColumn(
         "_h", F.md5(F.concat(F.lit(str(seed)), F.col("_k")))
     )
-    d = d.withColumn("_b", F.substring("_h", 1, 3))
+    d = d.withColumn("_b", F.substring("_h", 1, digits))
     keys = ["_b"]
     if group:
         # one struct key: NULL groups match, and window and join share the same partitioning
         d, keys = d.withColumn("_g", F.struct(*group)), ["_g", "_b"]
     counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
     whole = Window.partitionBy(*keys[:-1])
-    counts = counts.select(
-        *keys,
-        (F.sum("_c").over(whole.orderBy("_b")) - F.col("_c")).alias("_base"),
-        F.sum("_c").over(whole).alias(f"{name}_n"),
-    )
+    if digits > 3:
+        counts = counts.withColumn("_a", F.substring("_b", 1, 3))
+        coarse = counts.groupBy(*keys[:-1], "_a").agg(F.sum("_c").alias("_t"))
+        coarse = coarse.select(
+            *keys[:-1],
+            "_a",
+            (F.sum("_t").over(whole.orderBy("_a")) - F.col("_t")).alias("_before"),
+            F.sum("_t").over(whole).alias(f"{name}_n"),
+        )
+        within = Window.partitionBy(*keys[:-1], "_a").orderBy("_b")
+        counts = counts.withColumn("_base", F.sum("_c").over(within) - F.col("_c")).join(coarse, [*keys[:-1], "_a"])
+        counts = counts.select(*keys, (F.col("_base") + F.col("_before")).alias("_base"), f"{name}_n")
+    else:
+        counts = counts.select(
+            *keys,
+            (F.sum("_c").over(whole.orderBy("_b")) - F.col("_c")).alias("_base"),
+            F.sum("_c").over(whole).alias(f"{name}_n"),
+        )
     inner = Window.partitionBy(*keys).orderBy("_h", "_k")
     d = d.withColumn("_r", F.row_number().over(inner) - 1)
     out = d.join(counts, keys)

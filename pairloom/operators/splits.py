@@ -257,7 +257,7 @@ def gap_fill_split(df: DataFrame, cluster: str, key: str, train: float = 0.8, va
 # --- clusters by similarity -----------------------------------------------------------------------
 
 
-def sphere_clusters(sets: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def sphere_clusters(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Cluster of every distinct set: centres are taken by (neighbours desc, id desc).
 
     ``sets`` from ``distinct_sets`` with ``last_id`` (largest member), ``pairs`` from
@@ -277,7 +277,7 @@ def sphere_clusters(sets: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -
             F.lit("open").alias("state"),
         )
     )
-    for _ in range(max_rounds):
+    while True:  # every round decides at least one open node
         still = nodes.filter("state = 'open'")
         if still.isEmpty():
             break
@@ -306,8 +306,6 @@ def sphere_clusters(sets: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -
                 .alias("state"),
             )
         )
-    else:
-        raise RuntimeError(f"clusters not settled after {max_rounds} rounds")
     centres = nodes.filter("state = 'centre'").select(F.col("first_id").alias("b"), F.col("p").alias("q"))
     joined = (
         edges.join(centres, "b")

@@ -162,16 +162,16 @@ def k4(spark, sf):
 SQL_CHOICES = """pool AS (SELECT DISTINCT p_brand AS endpoint, p_name AS v FROM part WHERE trim(p_name) <> ''),
 own AS (SELECT endpoint, v, row_number() OVER (PARTITION BY endpoint ORDER BY md5('5' || v), v) - 1 AS pos, count(*) OVER (PARTITION BY endpoint) AS m FROM pool),
 every AS (SELECT v, row_number() OVER (ORDER BY md5('5' || v), v) - 1 AS pos, count(*) OVER () AS m FROM (SELECT DISTINCT v FROM pool)),
-qs AS (SELECT o_orderkey AS id, 'Brand#' || (o_orderkey % 30) AS endpoint, p_name AS answer FROM orders JOIN part ON p_partkey = o_orderkey % 200),
+qs AS (SELECT o_orderkey AS id, 'Brand#' || (o_orderkey % 30) AS endpoint, p_name AS answer FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)),
 sz AS (SELECT endpoint, any_value(m) AS m FROM own GROUP BY 1),
 q1 AS (SELECT id, answer, endpoint, sz.m, coalesce(sz.m, 0) - CASE WHEN (endpoint, answer) IN (SELECT (endpoint, v) FROM own) THEN 1 ELSE 0 END >= 3 AS enough FROM qs LEFT JOIN sz USING (endpoint)),
 q2 AS (SELECT id, answer, CASE WHEN enough THEN endpoint END AS endpoint, CASE WHEN enough THEN m ELSE (SELECT max(m) FROM every) END AS m,
-  CAST('0x' || substr(md5('5' || id), 1, 8) AS BIGINT) AS h FROM q1),
+  CAST('0x' || substr(md5('5' || id), 1, 15) AS BIGINT) AS h FROM q1),
 q3 AS (SELECT id, answer, endpoint, j, (h + j) % m AS pos FROM q2, (SELECT unnest(range(8)) AS j) WHERE j <= CASE WHEN m > 3 THEN 3 ELSE 7 END),
 met AS (SELECT id, answer, j, own.v FROM q3 JOIN own ON own.endpoint = q3.endpoint AND own.pos = q3.pos WHERE own.v <> answer
   UNION ALL SELECT id, answer, j, every.v FROM q3 JOIN every ON q3.endpoint IS NULL AND every.pos = q3.pos WHERE every.v <> answer),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY j) AS rn FROM met),
-o AS (SELECT id, v FROM r WHERE rn <= 3 UNION ALL SELECT id, answer FROM qs),
+o AS (SELECT id, v FROM r WHERE rn <= 3 UNION ALL SELECT id, answer FROM qs UNION ALL SELECT id, answer FROM (SELECT id, answer, unnest(range(3 - (SELECT count(*) FROM r WHERE r.id = qs.id AND rn <= 3))) FROM qs)),
 s AS (SELECT id, list(v ORDER BY md5('6' || id || v), v) AS vs FROM o GROUP BY id),
 mcq AS (SELECT s.id, answer, vs, CAST(list_position(vs, answer) - 1 AS INTEGER) AS answer_index FROM s JOIN qs ON qs.id = s.id)"""
 
@@ -189,7 +189,9 @@ def choice_frame(spark, sf):
     part = table(spark, sf, "part")
     q = (
         table(spark, sf, "orders")
-        .select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 200).alias("p_partkey"))
+        .select(F.col("o_orderkey").alias("id"), "o_orderkey")
+        .crossJoin(F.broadcast(part.agg(F.count(F.lit(1)).alias("n"))))  # one row
+        .select("id", (F.col("o_orderkey") % F.col("n")).alias("p_partkey"))
         .join(part.select("p_partkey", F.col("p_name").alias("answer")), "p_partkey")
         .select("id", F.concat(F.lit("Brand#"), F.col("id") % 30).alias("endpoint"), "answer")
     )

@@ -22,6 +22,7 @@ def local_session(cores: str | int = 8, app: str = "pairloom") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.log.level", "ERROR")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -34,7 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     wanted = spark.conf.get("spark.checkpoint.dir", None)
     if not wanted:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         wanted = tempfile.mkdtemp(prefix="spark-pairloom-", dir="/tmp")
     sc.setCheckpointDir(wanted)

@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from pairloom.schema import LABEL_CANDIDATES, REPR_CANDIDATES, require_columns
 
 
-def load(spark: SparkSession, path: str, format: str = "auto", schema: str | None = None) -> DataFrame:
-    """CSV, TSV or Parquet by extension (a glob or folder keeps its last extension)."""
+def load(
+    spark: SparkSession, path: str, format: str = "auto", schema: str | None = None, quoted_lines: bool = True
+) -> DataFrame:
+    """CSV, TSV or Parquet by extension (a glob or folder keeps its last extension).
+
+    With ``quoted_lines`` a quoted field may hold line breaks; such a text file is read by one task, so
+    large inputs should be Parquet, or be read without it.
+    """
     kind = format
     if kind == "auto":
         ext = path.rstrip("/*").rsplit(".", 1)[-1].lower()
@@ -25,14 +31,24 @@ def load(spark: SparkSession, path: str, format: str = "auto", schema: str | Non
         return (
             reader.option("header", True)
             .option("sep", "\t" if kind == "tsv" else ",")
-            .option("multiLine", False)
+            .option("multiLine", quoted_lines)
             .csv(path)
         )
     raise ValueError(f"unknown format {kind}")
 
 
+#: Extensions taken off a dataset's name (fixed values).
+EXTENSIONS = ("csv", "tsv", "tab", "txt", "parquet", "json", "jsonl")
+
+
 def file_stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]+)*$", 1)
+    """Name of the dataset a file belongs to, with one known extension taken off.
+
+    A path that comes percent-encoded is decoded; a part file belongs to its folder.
+    """
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    own = F.regexp_replace(plain, r"/(?:part-[^/]*|[^/]+=[^/]+)(?:/(?:part-[^/]*|[^/]+=[^/]+))*$", "")
+    return F.regexp_replace(F.regexp_extract(own, "([^/]+)/*$", 1), rf"(?i)\.(?:{'|'.join(EXTENSIONS)})$", "")
 
 
 def load_directory(
@@ -47,7 +63,7 @@ def load_directory(
     if format == "parquet":
         raw = reader.parquet(*paths)
     else:
-        raw = reader.option("header", True).option("sep", "\t" if format == "tsv" else ",").csv(list(paths))
+        raw = reader.option("header", True).option("sep", "\t" if format == "tsv" else ",").option("multiLine", True).csv(list(paths))
     stem = file_stem(F.col("_metadata.file_path"))
     named = raw.withColumn("dataset_name", stem).filter(~F.col("dataset_name").isin(list(excluded)))
     endpoint = F.coalesce("Task", "dataset_name") if "Task" in raw.columns else F.col("dataset_name")
