@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,18 @@ from pairloom.session import ensure_checkpoint_dir, shuffle_width
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: a word is a run without ASCII white space
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster whose machines lack it there, the package is submitted with ``--py-files`` as usual.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and go on from the written table.
 
@@ -27,6 +40,7 @@ def staged(df: DataFrame) -> DataFrame:
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator needs, a NULL text as the empty one."""
+    importable(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
@@ -44,6 +58,7 @@ def map_rows(
             if out is not None:
                 yield out
 
+    importable(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
