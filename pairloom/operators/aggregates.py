@@ -297,6 +297,11 @@ def top_vocabulary(df: DataFrame, counts: str, k: int = 10) -> DataFrame:
     return d.orderBy(F.desc("n"), "name").limit(k)
 
 
+def feature_counts(df: DataFrame, key: str, counts: str) -> DataFrame:
+    """The matrix over the whole vocabulary in long form: key, name, n; absent names have no row."""
+    return df.select(key, F.explode(counts).alias("name", "n"))
+
+
 def feature_matrix(df: DataFrame, entity: str, counts: str, names: Sequence[str]) -> DataFrame:
     """One column per name of a bounded vocabulary, 0 where absent."""
     return df.select(

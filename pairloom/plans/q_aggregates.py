@@ -449,7 +449,7 @@ def a26_marginal(spark, sf):
       round(sum(mean_t3 * n_paired) / sum(CASE WHEN mean_t3 IS NOT NULL THEN n_paired END), 6) AS mean_t3 FROM m GROUP BY ROLLUP (endpoint)""",
 )
 def a27(spark, sf):
-    model = F.concat(F.lit("m"), (F.col("id") % 3).cast("string"))
+    model = F.concat(F.lit("m"), (F.floor(F.col("id") / 100) % 3).cast("string"))  # id: conversation * 100 + part
     m = aligned_three(spark, sf).groupBy(model.alias("model"), "endpoint").agg(
         F.count(F.lit(1)).alias("n_paired"),
         F.avg("t1_em").alias("mean_t1"),
@@ -471,6 +471,14 @@ def a28(spark, sf):
     return A.top_vocabulary(name_counts(spark, sf), "counts")
 
 
+@query(
+    "A28_feature_counts",
+    f"WITH {SQL_PART_PAIRS} SELECT p_partkey, w AS name, CAST(count(*) AS INTEGER) AS n FROM (SELECT p_partkey, unnest(words) AS w FROM part_entities) GROUP BY ALL",
+)
+def a28_counts(spark, sf):
+    return A.feature_counts(name_counts(spark, sf), "p_partkey", "counts")
+
+
 _VOCABULARY = ("economy", "promo", "bolt", "gear")
 
 

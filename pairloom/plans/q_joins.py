@@ -312,9 +312,9 @@ def j12(spark, sf):
     return J.only_in_first(loose, strict, ["pair_id"])
 
 
-# --- prediction alignment: the first turns of a conversation as three task outputs ----------------
-SQL_TASKS = f"""{SQL_PREDICTIONS}, tasks AS (SELECT conv_id AS id, turn, dataset_name,
-    CASE WHEN turn = 2 AND conv_id % 4 = 0 THEN NULL ELSE endpoint END AS endpoint, model, step,
+# --- prediction alignment: every three turns of a conversation are the outputs of three tasks ------
+SQL_TASKS = f"""{SQL_PREDICTIONS}, tasks AS (SELECT conv_id * 100 + turn // 3 AS id, CAST(turn % 3 AS INTEGER) AS turn, dataset_name,
+    CASE WHEN turn % 3 = 2 AND conv_id % 4 = 0 THEN NULL ELSE endpoint END AS endpoint, model, step,
     CASE WHEN length(pred) % 7 = 0 THEN NULL ELSE CAST(length(pred) % 2 AS DOUBLE) END AS em,
     CAST(length(gold) % 3 AS DOUBLE) / 2 AS bleu, pred, gold FROM predictions)"""
 
@@ -323,10 +323,10 @@ def task_frames(spark, sf):
     p = predictions(spark, sf)
     n = F.length("pred")
     t = p.select(
-        F.col("conv_id").alias("id"),
-        "turn",
+        (F.col("conv_id") * 100 + F.floor(F.col("turn") / 3)).alias("id"),
+        (F.col("turn") % 3).alias("turn"),
         "dataset_name",
-        F.when(~((F.col("turn") == 2) & (F.col("conv_id") % 4 == 0)), F.col("endpoint")).alias("endpoint"),
+        F.when(~((F.col("turn") % 3 == 2) & (F.col("conv_id") % 4 == 0)), F.col("endpoint")).alias("endpoint"),
         "model",
         "step",
         F.when(n % 7 != 0, (n % 2).cast("double")).alias("em"),

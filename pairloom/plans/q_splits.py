@@ -59,13 +59,12 @@ def x3(spark, sf):
 
 @query(
     "X4_ordered_label",
-    """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders WHERE o_orderkey % 1000 <> 3),
+    """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
     r AS (SELECT o_orderkey, row_number() OVER (PARTITION BY i // 10 ORDER BY md5('7' || o_orderkey), o_orderkey) - 1 AS r FROM o WHERE i < n // 10 * 10)
     SELECT o_orderkey, CASE WHEN r < 8 THEN 'train' WHEN r < 9 THEN 'valid' ELSE 'test' END AS split FROM r""",
 )
 def x4(spark, sf):
-    o = orders(spark, sf).filter("o_orderkey % 1000 <> 3")  # a size that is no multiple of ten
-    return X.ordered_label_split(o, "o_orderkey", "o_totalprice", seed=7).select("o_orderkey", "split")
+    return X.ordered_label_split(orders(spark, sf), "o_orderkey", "o_totalprice", seed=7).select("o_orderkey", "split")
 
 
 @query(
