@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pairloom.operators.setops import first_rows
 from pairloom.plans.frames import SQL_LABELLED, SQL_PREDICTIONS, labelled, predictions
 from pairloom.plans.registry import query, table
+from pairloom.session import ensure_checkpoint_dir
 from pairloom.sources import incremental, readers, writers
 
 
+def scratch(spark, name):
+    """A new folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query(
     "S1_load_by_extension",
     "SELECT doc_id, quality, toxic FROM labels",
@@ -83,23 +91,33 @@ def s5(spark, sf):
     return readers.clean_keyed(e, "user_key", ["k", "bad_number"], ["event_id"])
 
 
+@query(
+    "S5_tolerant_csv",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_comment_like END AS note
+    FROM (SELECT o_orderkey, o_orderstatus || ', ' || o_orderpriority AS o_comment_like FROM orders) WHERE o_orderkey % 7 <> 0""",
+)
+def s5_csv(spark, sf):
+    """Lines of a CSV file: every seventh has a field too many, every fifth lacks its last one."""
+    key = F.col("o_orderkey")
+    note = F.concat(F.lit('"'), "o_orderstatus", F.lit(", "), "o_orderpriority", F.lit('"'))
+    line = F.when(key % 7 == 0, F.concat(key, F.lit(","), note, F.lit(",surplus"))).when(key % 5 == 0, key.cast("string"))
+    path = scratch(spark, "tolerant")
+    table(spark, sf, "orders").select(line.otherwise(F.concat(key, F.lit(","), note)).alias("value")).write.option("lineSep", "\n").text(path)
+    return readers.load_tolerant_csv(spark, path, "o_orderkey long, note string", header=False)
+
+
 @query(
     "S6_json_records",
     """SELECT event_id, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS k
        FROM events WHERE event_type <> 'error'""",
 )
 def s6(spark, sf):
-    """Records inside a column: error rows are cut short, so they parse as corrupt and are left out."""
+    """Records as lines of a text file: those of error rows are cut short, so they are left out when read."""
     e = table(spark, sf, "events")
-    broken = F.when(F.col("event_type") == "error", F.substring("props", 1, 4)).otherwise(F.col("props"))
-    parsed = F.from_json(
-        broken, "k long, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}
-    )
-    return (
-        e.select("event_id", parsed.alias("r"))
-        .filter(F.col("r._corrupt_record").isNull())
-        .select("event_id", F.col("r.k").alias("k"))
-    )
+    line = F.to_json(F.struct("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")))
+    path = scratch(spark, "records")
+    e.select(F.when(F.col("event_type") == "error", F.substring(line, 1, 4)).otherwise(line).alias("value")).write.text(path)
+    return readers.load_records(spark, path, "event_id long, k long")
 
 
 _REL = "concat('task', {t}, '/out/', {r}, '/', {s}, '/results/predictions_', {m}, '.jsonl')"
@@ -144,6 +162,19 @@ def s9(spark, sf):
     return table(spark, sf, "pages").select("page_id", writers.path_name(F.col("url")).alias("folder"))
 
 
+@query(
+    "S9_partitioned_write",
+    """SELECT lang AS dataset, replace(source, 'src', 's_') AS endpoint_dir, count(*) AS n_rows, sum(doc_id)::BIGINT AS key_sum FROM documents GROUP BY ALL""",
+)
+def s9_write(spark, sf):
+    """Written to a folder per dataset and endpoint, names made path-safe, and read back by partition."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("dataset_name"), F.replace("source", F.lit("src"), F.lit("s::?")).alias("endpoint"))
+    path = scratch(spark, "by-endpoint")
+    writers.write_by_endpoint(d, path)
+    back = spark.read.parquet(path)
+    return back.groupBy("dataset", "endpoint_dir").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("doc_id").alias("key_sum"))
+
+
 _SPLIT_TYPE = "CASE WHEN l_returnflag = 'N' THEN 'unseen_endpoint_test' ELSE 'train_test' END"
 _SPLIT = "CASE WHEN l_returnflag = 'N' OR l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END"
 
@@ -155,10 +186,10 @@ _SPLIT = "CASE WHEN l_returnflag = 'N' OR l_orderkey % 5 = 0 THEN 'test' ELSE 't
     FROM t GROUP BY ALL""",
 )
 def s10(spark, sf):
-    t = table(spark, sf, "lineitem").withColumns(
-        {"split_type": F.expr(_SPLIT_TYPE), "split": F.expr(_SPLIT)}
-    )
-    train, test = writers.merge_splits(t)
+    path = scratch(spark, "split-tables")
+    t = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", F.expr(_SPLIT_TYPE).alias("split_type"), F.expr(_SPLIT).alias("split"))
+    t.write.partitionBy("split_type", "split").parquet(path)
+    train, test = writers.read_split_tables(spark, path)
     return (
         train.unionByName(test)
         .groupBy("split", "split_type", "l_returnflag")
@@ -176,7 +207,10 @@ def s11(spark, sf):
     record = F.struct(
         F.col("entity_id").alias("id"), "dataset_name", "endpoint", F.struct(F.col("label").alias("answer")).alias("answer")
     )
-    return e.select("entity_id", F.to_json(record).alias("line"))
+    path = scratch(spark, "record-lines")
+    writers.write_records(e.select(record.alias("r")).select("r.*"), path)
+    lines = spark.read.text(path).withColumnRenamed("value", "line")
+    return lines.select(F.get_json_object("line", "$.id").cast("long").alias("entity_id"), "line")
 
 
 @query(

@@ -102,11 +102,11 @@ def _drop_corrupt(df: DataFrame, bad: Column) -> DataFrame:
     return df.filter(~bad & touched).drop("_corrupt_record")
 
 
-def load_tolerant_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
+def load_tolerant_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
     """CSV where lines with too many fields are skipped; missing fields at the end are NULL."""
     df = (
         spark.read.schema(f"{schema}, _corrupt_record string")
-        .option("header", True)
+        .option("header", header)
         .option("sep", sep)
         .option("mode", "PERMISSIVE")
         .option("columnPruning", False)  # a line is judged by all its fields, whatever is selected
