@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -20,7 +22,7 @@ SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 _DIRTY = re.compile(f"[{SPACES}]\\Z")
 
-CACHE_UNITS = 900_000
+CACHE_UNITS = 1_500_000  # about 300 MB a worker
 KEEP_CHARS = 64
 
 
@@ -60,6 +62,13 @@ def units(text: str) -> list[str]:
     return UNIT.findall(text)
 
 
+def _bytes(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if a.itemsize != 4 or sys.byteorder != "little":
+        return np.asarray(ids, dtype="<u4").tobytes()
+    return a.tobytes()
+
+
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit bytes."""
 
@@ -74,7 +83,7 @@ class Encoder:
 
     def _ids(self, texts: Sequence[str]) -> list[bytes]:
         out = self.tok.encode_batch_fast(list(texts), add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in out]
+        return [_bytes(e.ids) for e in out]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of whole texts, in order."""
@@ -100,14 +109,19 @@ class Encoder:
             self.cache.clear()
         split = [texts[i].split(" ") for i in group]
         new = [p for p in set().union(*split) if p not in self.cache]
-        short, dirty = [], set()
+        short, dirty, stops = [], set(), []
         for p in new:
             if not p or _DIRTY.search(p):
                 dirty.add(p)
             elif len(p) <= KEEP_CHARS:
-                short.append(p)
+                # a stop after a letter is a piece of its own: such a word shares the ids of the bare one
+                (stops if p[-1] in ".," and p[-2:-1].isalpha() else short).append(p)
+        bare = {p[:-1] for p in stops}.difference(short)
+        short += [p for p in bare if p not in self.cache]
         extra: dict[str, bytes] = {}
         self.cache.update(zip(short, self._ids([" " + p for p in short]), strict=True))
+        marks = dict(zip(".,", self._ids([".", ","]), strict=True)) if stops else {}
+        self.cache.update((p, self.cache[p[:-1]] + marks[p[-1]]) for p in stops)
         long = [p for p in new if len(p) > KEEP_CHARS and p not in dirty]
         extra.update(zip(long, self._ids([" " + p for p in long]), strict=True))
         get = self.cache.__getitem__ if not extra else (lambda p: extra[p] if p in extra else self.cache[p])
