@@ -127,6 +127,20 @@ def k1(spark, sf):
     return d.withColumn("sim", F.round("sim", 6))
 
 
+@query(
+    "K2_error_records",
+    f"""WITH {SQL_KNN}, n2 AS (SELECT cand.lang, q_id, p_id, sim, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, p_id) AS rank FROM cand JOIN e p ON p.doc_id = p_id
+      WHERE q_id % 70 <> 0 AND p.n % 5 <> 0)
+    SELECT lang, q_id, CAST(rank AS INTEGER) AS rank, p_id, round(sim, 6) AS sim, NULL AS error FROM n2 WHERE rank <= 2
+    UNION ALL SELECT lang, doc_id, NULL, NULL, NULL, CASE WHEN doc_id % 70 = 0 THEN 'no features' END FROM e WHERE doc_id % 10 = 0 AND doc_id NOT IN (SELECT q_id FROM n2)""",
+)
+def k2_errors(spark, sf):
+    _, _, q, p = knn_sides(spark, sf)
+    q = q.withColumn("q_bits", F.when(F.col("q_id") % 70 != 0, F.col("q_bits")))
+    p = p.withColumn("p_other", F.when(F.size("p_bits") % 5 == 0, F.col("p_anchor")).otherwise("other side"))
+    return knn.nearest_records(q, p, 2, ["lang"]).withColumn("sim", F.round("sim", 6))
+
+
 @query("K2_nearest", f"WITH {SQL_KNN} SELECT lang, q_id, CAST(rank AS INTEGER) AS rank, p_id, round(sim, 6) AS sim FROM nn WHERE rank <= 10")
 def k2(spark, sf):
     _, _, q, p = knn_sides(spark, sf)
@@ -201,13 +215,13 @@ def choice_frame(spark, sf):
 
 @query(
     "K6_similar_distractors",
-    f"""WITH {SQL_KNN}, v AS (SELECT lang, q_id, p_anchor AS value, max(sim) AS sim, min_by(p_id, struct_pack(a := -sim, b := p_id)) AS p_id FROM cand WHERE sim <= 0.9 GROUP BY ALL),
+    f"""WITH {SQL_KNN}, v AS (SELECT lang, q_id, p_anchor AS value, max(sim) AS sim, min_by(p_id, struct_pack(a := -sim, b := p_id)) AS p_id FROM cand WHERE sim <= 0.9 OR q_id NOT IN (SELECT q_id FROM cand WHERE sim <= 0.9) GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, p_id) AS rank FROM v)
     SELECT lang, q_id, CAST(rank AS INTEGER) AS rank, p_id, round(sim, 6) AS sim FROM r WHERE rank <= 3""",
 )
 def k6(spark, sf):
     _, _, q, p = knn_sides(spark, sf)
-    return knn.nearest(q, p, 3, ["lang"], max_sim=0.9, distinct_anchor=True).withColumn("sim", F.round("sim", 6))
+    return knn.nearest_or_any(q, p, 3, ["lang"], 0.9, distinct_anchor=True).withColumn("sim", F.round("sim", 6))
 
 
 @query("K7_first_rows", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 30")
