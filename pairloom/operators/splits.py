@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
+from fractions import Fraction
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -24,8 +25,6 @@ from pairloom.session import cut
 # task functions travel with their code, so executors need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_CLUSTERS = 1_000_000
-
 
 def cut_by_index(index: Column, n: Column, train: float, valid: float) -> Column:
     """Split of a 0-based position; cut points are truncated."""
@@ -224,34 +223,61 @@ def group_test_first_split(df: DataFrame, by: Sequence[str], group: str, key: st
     return small_groups_to_test(df, by, group, key, F.lit(test) * F.col("n"), totals)
 
 
+def gap_runs(sizes: Sequence[tuple[int, int]], gaps: Sequence[float]) -> list[tuple[int, int, list[int]]]:
+    """Who takes the clusters of each size, largest size first, always the largest gap (the first of equal ones).
+
+    ``sizes``: (size, number of clusters). Gives (size, first rank, takers), where the takers go round until
+    the next run begins. A run stands for as many picks as keep their order, so the number of runs
+    depends on the number of different sizes, not of clusters.
+    """
+    left, out = [Fraction(g) for g in gaps], []
+    for size, count in sizes:
+        at = 0
+        while at < count:
+            top, second, third = sorted(range(len(left)), key=lambda i: (-left[i], i))
+            if left[top] - left[third] < size:
+                takers, picks = [top, second, third], count - at  # all gaps within one size: they go round for good
+            elif left[top] - left[second] >= size:
+                takers, picks = [top], int((left[top] - left[second]) / size)
+            elif left[second] - left[third] >= size:
+                takers, picks = [top, second], 2 * int((left[second] - left[third]) / size)
+            else:
+                takers, picks = [top], 1
+            picks = min(picks, count - at)
+            out.append((size, at, takers))
+            for k, i in enumerate(takers):
+                left[i] -= size * ((picks - k + len(takers) - 1) // len(takers))
+            at += picks
+    return out
+
+
 def gap_fill_split(df: DataFrame, cluster: str, key: str, train: float = 0.8, valid: float = 0.1, test: float = 0.1) -> DataFrame:
     """Given clusters, largest first, each to the split with the largest remaining gap.
 
-    Works on the table of clusters (their number is the parameter of the clustering; checked).
+    One task sees the table of different sizes; a cluster finds its split by its rank among those of its size.
     """
     clusters = cut(
         df.filter(F.col(cluster).isNotNull())
         .groupBy(cluster)
         .agg(F.count(F.lit(1)).alias("size"), F.min(key).alias("first"))
     )
-    if clusters.count() > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters: use group_greedy_split")
-    schema = T.StructType([clusters.schema[cluster], T.StructField("split", T.StringType())])
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "first"], ascending=[False, True])
-        n = int(pdf["size"].sum())
-        names = ("train", "valid", "test")
-        gaps = [train * n, valid * n, test * n]
-        chosen = []
-        for size in pdf["size"].tolist():
-            at = max(range(3), key=lambda i: gaps[i])  # the first of equal gaps
-            gaps[at] -= size
-            chosen.append(names[at])
-        return pd.DataFrame({cluster: pdf[cluster].to_numpy(), "split": chosen})
-
-    assigned = clusters.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fill, schema)
-    return df.join(assigned, cluster)
+    sizes = clusters.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+
+    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("size", ascending=False)
+        n = int((pdf["size"] * pdf["n"]).sum())
+        found = gap_runs(list(zip(pdf["size"].tolist(), pdf["n"].tolist())), [train * n, valid * n, test * n])
+        out = pd.DataFrame(found, columns=["size", "from_rank", "takers"])
+        return out.groupby("size", as_index=False).agg(list)
+
+    schema = "size long, from_rank array<long>, takers array<array<int>>"
+    takes = cut(sizes.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: runs(pdf.drop(columns="_all")), schema))
+    ranked = attach(ordered_index(clusters, [F.col("first"), F.col(cluster)], ["size"], "_r"), takes, ["size"])
+    at = F.size(F.filter("from_rank", lambda r: r <= F.col("_r")))
+    takers = F.element_at("takers", at)
+    own = F.element_at(takers, ((F.col("_r") - F.element_at("from_rank", at)) % F.size(takers) + 1).cast("int"))
+    split = F.element_at(F.array(F.lit("train"), F.lit("valid"), F.lit("test")), own + 1)
+    return df.join(ranked.select(cluster, split.alias("split")), cluster)
 
 
 # --- clusters by similarity -----------------------------------------------------------------------

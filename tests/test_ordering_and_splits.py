@@ -124,3 +124,74 @@ def test_splits_cover_and_do_not_straddle_groups(spark):
     tail = spark.range(23).withColumn("y", F.col("id"))
     assert X.ordered_label_split(tail, "id", "y").count() == 20
     assert X.ordered_label_split(tail, "id", "y", tail="train").count() == 23
+
+
+def test_gap_runs_equal_single_picks():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = sorted({rng.randint(1, 40): rng.randint(1, 60) for _ in range(rng.randint(1, 8))}.items(), reverse=True)
+        n = sum(s * c for s, c in sizes)
+        gaps = [0.8 * n, 0.1 * n, 0.1 * n]
+        runs = X.gap_runs(sizes, gaps)
+        for size, count in sizes:
+            own = [(a, t) for s, a, t in runs if s == size]
+            for r in range(count):
+                a, takers = [x for x in own if x[0] <= r][-1]
+                want = max(range(3), key=lambda i: gaps[i])
+                assert takers[(r - a) % len(takers)] == want
+                gaps[want] -= size
+    assert len(X.gap_runs([(1, 10**9)], [8e8, 1e8, 1e8])) < 6
+
+
+def test_ordered_label_keeps_whole_blocks_only(spark):
+    d = spark.range(27).selectExpr("id", "id * 2 AS y")
+    assert X.ordered_label_split(d, "id", "y", seed=7).count() == 20
+
+
+def test_hash_rank_is_the_same_for_any_number_of_buckets(spark):
+    from pairloom.operators.ordering import hash_rank
+
+    d = spark.range(3000).selectExpr("id", "id % 3 AS g")
+    few = {r.id: r.rnd for r in hash_rank(d, 1, F.col("id"), ["g"]).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1100")
+        many = hash_rank(d, 1, F.col("id"), ["g"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.id: r.rnd for r in many.collect()} == few
+
+
+def test_neighbour_records_and_fallback(spark):
+    from pairloom.operators import knn
+
+    q = spark.createDataFrame([(1, "a", ["x", "y"]), (2, "b", None)], "q_id long, q_anchor string, q_bits array<string>")
+    p = spark.createDataFrame([(10, "c", ["x", "y"]), (11, "d", ["x", "y"])], "p_id long, p_anchor string, p_bits array<string>")
+    rows = {r.q_id: r for r in knn.nearest_records(q, p, 1).collect()}
+    assert rows[1].p_id == 10 and rows[1].error is None and rows[2].p_id is None and rows[2].error == "no features"
+    got = knn.nearest_or_any(q.filter("q_id = 1"), p, 2, [], 0.9).collect()
+    assert [r.p_id for r in sorted(got, key=lambda r: r.rank)] == [10, 11]
+
+
+def test_a_question_without_other_options_stays(spark):
+    from pairloom.operators.choices import with_distractors
+
+    q = spark.createDataFrame([(1, "e", "only")], "id long, endpoint string, answer string")
+    pool = spark.createDataFrame([("e", "only")], "endpoint string, value string")
+    (r,) = with_distractors(q, pool, 3).collect()
+    assert r.choices == ["only"] * 4 and r.answer_index == 0
+
+
+def test_token_counts_beyond_the_broadcast(spark, monkeypatch):
+    from pairloom.operators import simjoin as S
+
+    rows = [(i, [f"t{(i * 7 + k) % 90}" for k in range(6)] + [f"u{i // 2}"]) for i in range(120)]
+    d = spark.createDataFrame(rows, "id long, bits array<string>").withColumn("ep", F.lit("e"))
+    sets = S.distinct_sets(d, ["ep"], "id", "bits")
+    want = sorted(map(tuple, S.similar_sets_within(sets, ["ep"], 1, 2).collect()))
+    for limit, heavy in ((10, 5), (0, 1)):
+        monkeypatch.setattr(S, "BROADCAST_TOKENS", limit)
+        monkeypatch.setattr(S, "HEAVY_TOKEN", heavy)
+        assert sorted(map(tuple, S.similar_sets_within(sets, ["ep"], 1, 2).collect())) == want

@@ -134,3 +134,17 @@ def test_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "rec")).count() == 2
     with pytest.raises(ValueError):
         require_columns(raw, ["nope"])
+
+
+def test_dataset_names_of_folders_and_quoted_lines(spark, tmp_path):
+    from pairloom.sources import readers
+
+    d = spark.createDataFrame([("a",), ("b",)], "text string").repartition(2)
+    d.write.parquet(str(tmp_path / "my data.v2.parquet"))
+    d.write.option("header", True).csv(str(tmp_path / "other set.csv"))
+    (tmp_path / "one.v3.csv").write_text('text\n"first\nsecond"\nthird\n')
+    got = readers.load_directory(spark, [str(tmp_path / "my data.v2.parquet")], "parquet", "text string").collect()
+    assert {r.dataset_name for r in got} == {"my data.v2"}
+    got = readers.load_directory(spark, [str(tmp_path / "other set.csv"), str(tmp_path / "one.v3.csv")], "csv", "text string").collect()
+    assert {(r.dataset_name, r.text) for r in got} == {("other set", "a"), ("other set", "b"), ("one.v3", "first\nsecond"), ("one.v3", "third")}
+    assert readers.load(spark, str(tmp_path / "one.v3.csv")).count() == 2
