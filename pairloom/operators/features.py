@@ -83,12 +83,6 @@ def text_features(values: DataFrame, key: str = "value") -> DataFrame:
     )
 
 
-def attach_encoded(df: DataFrame, column: str, features: DataFrame, take: dict[str, str], key: str = "value") -> DataFrame:
-    """Join features of ``column``'s strings back; ``take`` maps feature to new column."""
-    own = features.select(F.col(key).alias(column), *[F.col(c).alias(n) for c, n in take.items()])
-    return df.join(own, column, "left")
-
-
 def apply_to_pairs(df: DataFrame, name: str, fn: Callable[[pd.Series, pd.Series], pd.Series], left: str, right: str, type_: str) -> DataFrame:
     """A pure user function over both sides of a pair table, batch by batch."""
     udf = F.pandas_udf(fn, type_)

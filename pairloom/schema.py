@@ -6,34 +6,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
-PAIR_KEYS = ("dataset_name", "endpoint", "left_repr", "right_repr")
-
-RAW_LABELLED = "Drug_ID string, Y string, X string, Task string"
-RAW_TASK = "X string, Task string, Y string"
-RAW_TAB = "Drug_ID string, Drug string, Y string"
-RAW_TARGET = "SMILES string, Target string"
-
 # candidate names of the representation and the label column, first match wins (fixed values)
 REPR_CANDIDATES = ("X", "SMILES", "Drug", "smiles")
 LABEL_CANDIDATES = ("Y", "Label", "Target", "label")
 
-FEATURE_MAP = "map<string,array<array<int>>>"
-CENTRES = "array<struct<atom_idx:int,config:string>>"
-BONDS = "array<struct<bond:array<int>,geometry:string>>"
-FEATURE_DIFF = (
-    "array<struct<fg_name:string,reason:string,"
-    "left_positions:array<array<int>>,right_positions:array<array<int>>>>"
-)
-
-QA = (
-    "id long, question string, answer struct<answer:string>, "
-    "dataset_name string, endpoint string, source_index long"
-)
-PREDICTION = (
-    "model string, id long, dataset_name string, endpoint string, source_index long, "
-    "gold string, pred string, correct int, raw string"
-)
-
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
