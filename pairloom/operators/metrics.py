@@ -181,6 +181,34 @@ def evaluation_summary(long: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+#: task -> (its frame, the metric that says whether a prediction is correct)
+TASK_FRAMES = {
+    "identify": (lambda d, decoded: d.withColumns(fragment_metrics(F.col("gold"), F.col("pred"))), "fragment_em"),
+    "generate": (generated_fragment_frame, "fragment_em"),
+    "first": (lambda d, decoded: generated_fragment_frame(d, decoded, multiset=False), "fragment_em"),
+    "rewrite": (generated_string_frame, "exact_match"),
+    "rewrite_code": (generated_code_frame, "exact_match"),
+    "stepwise": (stepwise_frame, "exact_match"),
+    "stepwise_code": (lambda d, decoded: stepwise_frame(d, decoded, "code"), "exact_match"),
+    "code": (string_to_code_frame, "em"),
+}
+
+
+def evaluate(tasks: Mapping[str, DataFrame], decoded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each task's predictions by its own frame: task, keys, total, correct, accuracy."""
+    unknown = sorted(set(tasks) - set(TASK_FRAMES))
+    if unknown:
+        raise ValueError(f"unknown tasks: {', '.join(unknown)}")
+    parts = []
+    for task, df in tasks.items():
+        frame, main = TASK_FRAMES[task]
+        hit = F.coalesce((F.col(main) == 1).cast("long"), F.lit(0))
+        parts.append(frame(df, decoded).select(F.lit(task).alias("task"), *keys, hit.alias("_hit")))
+    both = reduce(lambda a, b: a.unionByName(b), parts)
+    out = both.groupBy("task", *keys).agg(F.count(F.lit(1)).alias("total"), F.sum("_hit").alias("correct"))
+    return out.withColumn("accuracy", F.col("correct") / F.col("total"))
+
+
 def report_table(summary: DataFrame, rows: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """One line per expected row, metrics as columns; expected rows without results stay empty."""
     wide = summary.groupBy(*by).pivot("metric", list(metrics)).agg(F.first("mean"))

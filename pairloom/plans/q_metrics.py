@@ -196,6 +196,20 @@ def m8(spark, sf):
     return summary(spark, sf).withColumn("mean", F.round("mean", 4))
 
 
+_MAIN = {"identify": "fragment_em", "generate": "fragment_em", "first": "text_em", "rewrite": "exact_match", "rewrite_code": "exact_match", "code": "text_em"}
+
+
+@query(
+    "M8_task_accuracy",
+    f"""WITH {SQL_FRAG}, {SQL_STRING}, hits AS ({' UNION ALL '.join(f"SELECT '{t}' AS task, id, {m} = 1 AS hit FROM {'strings' if m == 'exact_match' else 'frag'}" for t, m in _MAIN.items())})
+    SELECT task, model, count(*) AS total, sum(coalesce(hit, false)::INT)::BIGINT AS correct, sum(coalesce(hit, false)::INT) / count(*) AS accuracy FROM hits JOIN evals USING (id) GROUP BY ALL""",
+)
+def m8_accuracy(spark, sf):
+    e = evals(spark, sf)
+    tasks = {t: e.withColumnRenamed("gold_repr", "ref") if t == "code" else e for t in _MAIN}
+    return M.evaluate(tasks, decoded_table(spark, sf), ["model"])
+
+
 SQL_REASON = f"""{SQL_EVALS}, reasons AS (SELECT e.id, e.model, CASE WHEN e.pred = '' THEN 'empty' WHEN p.decoded IS NULL THEN 'decode_failed:' || coalesce(p.error, 'unknown')
   WHEN p.canon IS NULL THEN 'invalid:' || coalesce(p.error, 'unknown') END AS reason FROM evals e LEFT JOIN decoded p ON p.code = e.pred)"""
 
