@@ -1,20 +1,16 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Texts become sets of hashed shingles of ``size`` consecutive words. Equal sets are one class from
-there on. A class has ``trees`` prefixes of ``depth`` minimum hashes; equal prefixes meet in a node of
-that tree's trie. Matching starts at full depth and shortens the prefix until the chance that a
-pair at the threshold meets in some tree, 1 - (1 - s^d)^trees, reaches the target recall:
+there on, so copies, however many, cost nothing more. A class has ``trees`` prefixes of ``depth`` minimum
+hashes; equal prefixes meet in a node of that tree's trie. Matching starts at full depth and shortens the
+prefix until the chance that a pair at the threshold meets in some tree, 1 - (1 - s^d)^trees, reaches the
+target recall. A pair belongs to the first tree in which it meets and is looked at only there.
 
-1. At full depth meet the very similar. Every class is compared with the smallest class it meets (its
-   leader); within half the allowed distance it joins the leader's ball. Jaccard distance is a metric, so
-   all members of a ball are linked with one another without comparing them.
-2. At the shortened depth meet the rest, one entry per ball and node. Pairs of balls whose signatures
-   are far apart are dismissed; for the others the exact distance of the leaders decides, by the triangle
-   inequality, for all members together; only pairs in doubt are compared one by one.
-
-So copies and near copies, however many, cost a comparison each, and nothing lists all pairs of a group.
-A node with more than ``block`` balls is dealt to a grid of blocks, compared by signature there.
-Sets are fetched only for classes that met another one.
+A node is dealt to a grid of blocks of ``block`` classes. A first pass compares signatures in each block and
+tells which classes have a partner there that is not clearly too far; the sets of these, and only these,
+are made again from one text each and sent to their blocks, where a second pass compares exactly. A block
+gives back sums of links and one edge a class, never its pairs: a group of near copies is compared pair
+by pair (its links between different texts are counted exactly), but no list of pairs is ever a table.
 
 Words are runs without ASCII white space, as they stand. A text of one to ``size`` - 1 words is one
 shingle, all its words. Defined results: NULL text is the empty text; texts without words are equal to each
@@ -41,7 +37,7 @@ THRESHOLD = 0.8
 TREES = 16
 DEPTH = 6
 RECALL = 0.999
-BLOCK = 128
+BLOCK = 256
 BROADCAST_ROWS = 1_000_000  # keys of classes to fetch are broadcast only if counted to be at most so many
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FAR = 0.2  # what an estimate from TREES * DEPTH hashes may be off (over four standard deviations)
@@ -126,29 +122,36 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, n: int) -
     return map_rows(_with_key(docs, id_col, text_col), "doc_id long, rid long, cls binary, sig binary", make)
 
 
-def nodes(classes: DataFrame, trees: int, depth: int, short: int) -> DataFrame:
-    """cls, tree, deep, near: the class's node of each tree at both depths."""
+def near_keys(sig: np.ndarray, trees: int, short: int) -> np.ndarray:
+    """Node of each class (rows) in each tree at the shortened depth, from signatures."""
+    part = sig.reshape(len(sig), trees, -1).astype(np.uint64)
+    key = np.zeros((len(sig), trees), np.uint64)
+    for k in range(short):
+        key = (key + part[:, :, k] + np.uint64(1)) * _MIX
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
+def signature_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), -1)
+
+
+def nodes(classes: DataFrame, trees: int, short: int) -> DataFrame:
+    """cls, tree, near: the class's node in each tree."""
 
     def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             n = batch.num_rows
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(n, trees, depth).astype(np.uint64)
-            key, near = np.zeros((n, trees), np.uint64), None
-            for k in range(depth):
-                key = (key + sig[:, :, k] + np.uint64(1)) * _MIX
-                key ^= key >> np.uint64(31)
-                if k + 1 == short:
-                    near = key.copy()
-            at = np.repeat(np.arange(n), trees)
+            if not n:
+                return None
+            near = near_keys(signature_rows(batch.column(1)), trees, short)
+            at = pa.array(np.repeat(np.arange(n), trees))
             tree = np.tile(np.arange(trees, dtype=np.int32), n)
-            return pa.record_batch(
-                [batch.column(0).take(pa.array(at)), pa.array(tree), pa.array(key.reshape(-1).view(np.int64)), pa.array(near.reshape(-1).view(np.int64))],
-                names=["cls", "tree", "deep", "near"],
-            )
+            return pa.record_batch([batch.column(0).take(at), pa.array(tree), pa.array(near.reshape(-1))], names=["cls", "tree", "near"])
 
         return each
 
-    return map_rows(classes.select("cls", "sig"), "cls binary, tree int, deep long, near long", make)
+    return map_rows(classes.select("cls", "sig"), "cls binary, tree int, near long", make)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -174,81 +177,54 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     return made.withColumn("k", F.row_number().over(w)).filter("k = 1").select("cls", "set")
 
 
-def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with inter and total: sizes of intersection and union of the two sets."""
-    keep = pairs.columns
-    p = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("_sa")), "a")
-    p = p.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("_sb")), "b").select(*keep, "_sa", "_sb")
-
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            inter, total = [], []
-            for x, y in zip(batch.column(len(keep)), batch.column(len(keep) + 1), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                inter.append(both)
-                total.append(len(x) + len(y) - both)
-            return pa.record_batch([*batch.columns[: len(keep)], pa.array(inter, pa.int64()), pa.array(total, pa.int64())], names=[*keep, "inter", "total"])
-
-        return each
-
-    from pyspark.sql.types import LongType, StructType
-
-    schema = StructType([*pairs.schema.fields]).add("inter", LongType()).add("total", LongType())
-    return map_rows(p, schema, make)
-
-
-def _near_pairs(entries: DataFrame, block: int, slack: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of balls that share a node and whose signatures are near enough.
-
-    ``entries``: tree, near, ball, sig, reach (how far a member may be from the leader).
-    """
-    sized = entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tree", "near"))).filter("n > 1")
-    sized = staged(sized)
-    small = sized.filter(F.col("n") <= block)
-    right = small.select("tree", "near", F.col("ball").alias("b"))
-    pairs = small.select("tree", "near", F.col("ball").alias("a")).join(right, ["tree", "near"]).filter("a < b").select("a", "b").distinct()
-    info = sized.select("ball", "sig", "reach").dropDuplicates(["ball"])
-    pairs = pairs.join(info.select(F.col("ball").alias("a"), F.col("sig").alias("sa"), F.col("reach").alias("ra")), "a")
-    pairs = pairs.join(info.select(F.col("ball").alias("b"), F.col("sig").alias("sb"), F.col("reach").alias("rb")), "b")
+KEYS = ["tree", "near", "i", "j"]
 
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            b, a, sa, ra, sb, rb = (batch.column(c) for c in ("b", "a", "sa", "ra", "sb", "rb"))
-            x = np.frombuffer(b"".join(sa.to_pylist()), "<u4").reshape(batch.num_rows, -1)
-            y = np.frombuffer(b"".join(sb.to_pylist()), "<u4").reshape(batch.num_rows, -1)
-            far = 1 - (x == y).mean(axis=1)
-            ok = far <= slack + ra.to_numpy(zero_copy_only=False) + rb.to_numpy(zero_copy_only=False)
-            at = pa.array(np.flatnonzero(ok))
-            return pa.record_batch([a.take(at), b.take(at)], names=["a", "b"])
 
-        return each
+def by_block(rows: DataFrame, schema: str, work) -> DataFrame:
+    """``work(key, table)`` for the rows of each block; many small blocks share a task and its batches."""
+    placed = rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
 
-    found = map_rows(pairs.select("b", "a", "sa", "ra", "sb", "rb"), "a binary, b binary", make)
-    # crowded nodes: the balls of a node are dealt to blocks, each pair of blocks is one group
-    big = sized.filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    big = big.withColumn("own", F.pmod(F.xxhash64("ball"), F.col("blocks")).cast("int"))
-    big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    big = big.select("tree", "near", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ball", "sig", "reach")
-
-    def compare(key: tuple, t: pa.Table) -> pa.Table:
-        n = t.num_rows
-        balls = t.column("ball").to_pylist()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(n, -1)
-        reach, own = t.column("reach").to_numpy(), t.column("own").to_numpy()
-        i, j = key[2].as_py(), key[3].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for x in left.tolist():
-            far = 1 - (sig[right] == sig[x]).mean(axis=1)
-            for y in right[far <= slack + reach[right] + reach[x]].tolist():
-                if balls[x] < balls[y] or (i != j and balls[x] != balls[y]):
-                    a.append(min(balls[x], balls[y]))
-                    b.append(max(balls[x], balls[y]))
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    crowded = big.groupBy("tree", "near", "i", "j").applyInArrow(compare, "a binary, b binary")
-    return found.unionAll(crowded).distinct()
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), n]
+            out: list[pa.RecordBatch] = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                key = tuple(keys[:, a].tolist())
+                if held and key != last:
+                    out += work(last, pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = key
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+        if held:
+            yield from work(last, pa.Table.from_batches(held)).to_batches()
+
+    return placed.mapInArrow(run, schema)
+
+
+def partners(key: tuple, t: pa.Table, trees: int, short: int, far: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (p, q) of a block whose pairs meet first in this tree and whose signatures are near enough."""
+    tree, _, i, j = key
+    sig = signature_rows(t.column("sig").combine_chunks())
+    near, own = near_keys(sig, trees, short), t.column("own").to_numpy()
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    same = np.zeros((len(left), len(right)), np.int32)
+    for k in range(sig.shape[1]):
+        same += sig[left, k][:, None] == sig[right, k][None]
+    ok = same >= (1 - far) * sig.shape[1]
+    for k in range(tree):
+        ok &= near[left, k][:, None] != near[right, k][None]
+    if i == j:
+        ok &= left[:, None] < right[None]
+    p, q = np.nonzero(ok)
+    return left[p], right[q]
 
 
 def jaccard_join(
@@ -269,56 +245,76 @@ def jaccard_join(
     is the one that stays of its group (of repeated rows with that id, all are marked).
     """
     short = shortened(threshold, trees, depth, recall)
-    allowed = 1 - threshold
+    far = 1 - threshold + _FAR
     rows = staged(signatures(docs, id_col, text_col, size, trees * depth))
     classes = rows.groupBy("cls").agg(
         F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("class_id"), F.min(F.struct("rid", "sig")).alias("x")
     )
     classes = staged(classes.select("cls", "m", "class_id", "x.rid", "x.sig"))
-    forest = staged(nodes(classes, trees, depth, short))
-    # 1. full depth: the smallest class each one meets
-    least = forest.groupBy("tree", "deep").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    deep = forest.join(least, ["tree", "deep"]).groupBy(F.col("cls").alias("a")).agg(F.min("b").alias("b"))
-    leaders = staged(deep.filter("a <> b"))
-    met = forest.groupBy("tree", "near").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tree", "near")
-    wanted = forest.join(met, ["tree", "near"]).select("cls").distinct()
-    wanted = staged(classes.join(wanted, "cls", "left_semi").select("rid", "cls"))
-    sets = staged(shingle_sets(docs, wanted, id_col, text_col, size))
-    half = distances(leaders, sets).withColumn("r", 1 - F.col("inter") / F.col("total")).filter(F.col("r") <= allowed / 2)
-    balls = classes.select("cls", "m", "class_id").join(half.select(F.col("a").alias("cls"), F.col("b").alias("ball"), "r"), "cls", "left")
-    balls = staged(balls.select("cls", "m", "class_id", F.coalesce("ball", "cls").alias("ball"), F.coalesce("r", F.lit(0.0)).alias("r")))
-    reach = staged(balls.groupBy("ball").agg(F.max("r").alias("reach"), F.sum("m").alias("mass")))
-    # 2. shortened depth: balls that meet
-    entries = forest.join(met, ["tree", "near"]).join(balls.select("cls", "ball"), "cls").select("tree", "near", "ball").distinct()
-    entries = entries.join(reach.select("ball", "reach"), "ball").join(classes.select(F.col("cls").alias("ball"), "sig"), "ball")
-    pairs = _near_pairs(entries.select("tree", "near", "ball", "sig", "reach"), block, allowed + _FAR)
-    side = lambda x: reach.select(F.col("ball").alias(x), F.col("reach").alias(f"r{x}"), F.col("mass").alias(f"m{x}"))
-    far = distances(pairs, sets).withColumn("d", 1 - F.col("inter") / F.col("total"))
-    far = staged(far.join(side("a"), "a").join(side("b"), "b").filter(F.col("d") <= allowed + F.col("ra") + F.col("rb") + 1e-9))
-    exact = F.col("inter") >= threshold * F.col("total") - 1e-9
-    both_single = (F.col("ra") == 0) & (F.col("rb") == 0)
-    full = far.filter(F.when(both_single, exact).otherwise(F.col("d") + F.col("ra") + F.col("rb") <= allowed - 1e-9))
-    doubt = far.filter(~both_single & (F.col("d") + F.col("ra") + F.col("rb") > allowed - 1e-9)).select("a", "b", "d")
-    member = lambda x, y: balls.select(F.col("ball").alias(x), F.col("cls").alias(y), F.col("r").alias(f"r{y}"), F.col("m").alias(f"m{y}"))
-    some = doubt.join(member("a", "x"), "a").join(member("b", "y"), "b").filter(F.abs(F.col("d")) <= allowed + F.col("rx") + F.col("ry") + 1e-9)
-    some = some.select(F.col("a").alias("ball_a"), F.col("b").alias("ball_b"), F.col("x").alias("a"), F.col("y").alias("b"), "mx", "my")
-    single = staged(distances(some, sets).filter(exact))
-    # links: within the ball, to whole balls, to single classes
-    whole = full.select(F.col("a").alias("ball"), F.col("mb").alias("w")).unionAll(full.select(F.col("b").alias("ball"), F.col("ma").alias("w")))
-    whole = whole.groupBy("ball").agg(F.sum("w").alias("w_ball"))
-    parts = single.select(F.col("a").alias("cls"), F.col("my").alias("w")).unionAll(single.select(F.col("b").alias("cls"), F.col("mx").alias("w")))
-    parts = parts.groupBy("cls").agg(F.sum("w").alias("w_cls"))
-    edges = full.select("a", "b").unionAll(single.select(F.col("ball_a").alias("a"), F.col("ball_b").alias("b")))
-    roots = components(edges).select(F.col("node").alias("ball"), "root")
-    c = balls.join(reach.select("ball", "mass"), "ball").join(whole, "ball", "left").join(parts, "cls", "left").join(roots, "ball", "left")
-    zero = F.lit(0).cast("long")
-    c = c.select(
-        "cls",
-        "class_id",
-        F.coalesce("root", "ball").alias("root"),
-        (F.col("mass") - 1 + F.coalesce("w_ball", zero) + F.coalesce("w_cls", zero)).alias("n_links"),
-    )
-    c = staged(c)
+    # nodes with company, dealt to a grid of blocks
+    at = F.count(F.lit(1)).over(Window.partitionBy("tree", "near"))
+    met = nodes(classes, trees, short).withColumn("n", at).filter("n > 1")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    met = met.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("tree", "near", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls")
+    # 1. by signature: which classes have a partner in a block
+    first = met.join(classes.select("cls", "sig"), "cls").select(*KEYS, "own", "cls", "sig")
+
+    def tell(key: tuple, t: pa.Table) -> pa.Table:
+        p, q = partners(key, t, trees, short, far)
+        return t.select([*KEYS, "own", "cls"]).take(pa.array(np.union1d(p, q).astype(np.int64)))
+
+    needed = staged(by_block(first, "tree int, near long, i int, j int, own int, cls binary", tell))
+    wanted = classes.join(needed.select("cls").distinct(), "cls", "left_semi").select("rid", "cls")
+    sets = shingle_sets(docs, staged(wanted), id_col, text_col, size)
+    # 2. exactly: sums of links per class and the edges of each block's components
+    full = staged(classes.select("cls", "m", "sig").join(sets, "cls"))
+    second = needed.join(full, "cls").select(*KEYS, "own", "cls", "m", "sig", "set")
+    named = [("a", pa.binary()), ("b", pa.binary()), ("w", pa.int64())]
+
+    def verify(key: tuple, t: pa.Table) -> pa.Table:
+        p, q = partners(key, t, trees, short, far)
+        own = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        sizes, m = np.array([len(x) for x in own]), t.column("m").to_numpy()
+        hit = np.zeros(len(p), bool)
+        for x in np.unique(p).tolist():
+            mine = np.flatnonzero(p == x)
+            ys = q[mine]
+            every = np.concatenate([own[y] for y in ys.tolist()])
+            k = np.minimum(np.searchsorted(own[x], every), max(len(own[x]) - 1, 0))
+            found = own[x][k] == every if len(own[x]) else np.zeros(len(every), bool)
+            ends = np.cumsum(sizes[ys])
+            total = np.concatenate(([0], np.cumsum(found)))
+            both = total[ends] - total[ends - sizes[ys]]
+            hit[mine] = both >= threshold * (sizes[x] + sizes[ys] - both) - 1e-9
+        p, q = p[hit], q[hit]
+        names = t.column("cls").to_pylist()
+        w = np.bincount(p, m[q], minlength=len(names)) + np.bincount(q, m[p], minlength=len(names))
+        label = np.arange(len(names))
+        while True:
+            new = label.copy()
+            np.minimum.at(new, p, label[q])
+            np.minimum.at(new, q, new[p])
+            if (new == label).all():
+                break
+            label = new
+        some, edges = np.flatnonzero(w).tolist(), np.flatnonzero(label != np.arange(len(names))).tolist()
+        return pa.table(
+            [
+                pa.array([names[k] for k in some + edges], pa.binary()),
+                pa.array([None] * len(some) + [names[label[k]] for k in edges], pa.binary()),
+                pa.array([int(w[k]) for k in some] + [None] * len(edges), pa.int64()),
+            ],
+            schema=pa.schema(named),
+        )
+
+    found = staged(by_block(second, "a binary, b binary, w long", verify))
+    links = found.filter("w is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("w").alias("w"))
+    roots = components(found.filter("w is null").select("a", "b")).select(F.col("node").alias("cls"), "root")
+    c = classes.select("cls", "m", "class_id").join(links, "cls", "left").join(roots, "cls", "left")
+    n_links = F.col("m") - 1 + F.coalesce("w", F.lit(0).cast("long"))
+    c = staged(c.select("cls", "class_id", F.coalesce("root", "cls").alias("root"), n_links.alias("n_links")))
     groups = c.groupBy("root").agg(F.min("class_id").alias("group_id"))
     c = c.join(groups, "root").select("cls", "class_id", "n_links", "group_id")
     out = rows.select("doc_id", "rid", "cls").join(c, "cls")
