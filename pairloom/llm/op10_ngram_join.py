@@ -181,50 +181,68 @@ KEYS = ["tree", "near", "i", "j"]
 
 
 def by_block(rows: DataFrame, schema: str, work) -> DataFrame:
-    """``work(key, table)`` for the rows of each block; many small blocks share a task and its batches."""
+    """``work(table, keys)`` for tables of whole blocks; many small blocks are worked on together.
+
+    ``rows`` start with KEYS and ``own``; ``keys`` holds these five as rows of an array.
+    """
     placed = rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        last = None
+        held = None
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), n]
-            out: list[pa.RecordBatch] = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                key = tuple(keys[:, a].tolist())
-                if held and key != last:
-                    out += work(last, pa.Table.from_batches(held)).to_batches()
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = key
-            if out:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-        if held:
-            yield from work(last, pa.Table.from_batches(held)).to_batches()
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            keys = np.stack([t.column(k).to_numpy().astype(np.int64) for k in range(5)])
+            last = np.flatnonzero((keys[:4] == keys[:4, -1:]).all(axis=0))[0]  # the last block may go on
+            held = t.slice(last)
+            if last:
+                yield from work(t.slice(0, last), keys[:, :last]).to_batches()
+        if held is not None:
+            keys = np.stack([held.column(k).to_numpy().astype(np.int64) for k in range(5)])
+            yield from work(held, keys).to_batches()
 
     return placed.mapInArrow(run, schema)
 
 
-def partners(key: tuple, t: pa.Table, trees: int, short: int, far: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (p, q) of a block whose pairs meet first in this tree and whose signatures are near enough."""
-    tree, _, i, j = key
+def _pairs(keys: np.ndarray, small: int = 24):
+    """Row pairs within each block, in pieces; of two different parts only those between the parts."""
+    n = keys.shape[1]
+    cuts = np.concatenate(([0], np.flatnonzero((keys[:4, 1:] != keys[:4, :-1]).any(axis=0)) + 1, [n]))
+    sizes = np.diff(cuts)
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    own, few = keys[4], np.repeat(sizes <= small, sizes)
+    mixed = keys[2] != keys[3]
+    for d in range(1, min(small, int(sizes.max(initial=0)))):
+        p = np.flatnonzero((block[:-d] == block[d:]) & few[:-d])
+        p = p[~mixed[p] | (own[p] != own[p + d])]
+        if len(p):
+            yield p, p + d
+    for k in np.flatnonzero(sizes > small).tolist():
+        at = np.arange(cuts[k], cuts[k + 1])
+        if mixed[at[0]]:
+            left, right = at[own[at] == keys[2, at[0]]], at[own[at] == keys[3, at[0]]]
+            yield np.repeat(left, len(right)), np.tile(right, len(left))
+        else:
+            p, q = np.triu_indices(len(at), 1)
+            yield at[p], at[q]
+
+
+def partners(t: pa.Table, keys: np.ndarray, trees: int, short: int, far: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that meet first in their block's tree and whose signatures are near enough."""
     sig = signature_rows(t.column("sig").combine_chunks())
-    near, own = near_keys(sig, trees, short), t.column("own").to_numpy()
-    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    same = np.zeros((len(left), len(right)), np.int32)
-    for k in range(sig.shape[1]):
-        same += sig[left, k][:, None] == sig[right, k][None]
-    ok = same >= (1 - far) * sig.shape[1]
-    for k in range(tree):
-        ok &= near[left, k][:, None] != near[right, k][None]
-    if i == j:
-        ok &= left[:, None] < right[None]
-    p, q = np.nonzero(ok)
-    return left[p], right[q]
+    near, earlier = near_keys(sig, trees, short), np.arange(trees)[None]
+    out_p, out_q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for p, q in _pairs(keys):
+        for a in range(0, len(p), 50_000):
+            x, y = p[a : a + 50_000], q[a : a + 50_000]
+            ok = ~((near[x] == near[y]) & (earlier < keys[0, x][:, None])).any(axis=1)
+            x, y = x[ok], y[ok]
+            ok = (sig[x] == sig[y]).sum(axis=1) >= (1 - far) * sig.shape[1]
+            out_p.append(x[ok])
+            out_q.append(y[ok])
+    return np.concatenate(out_p), np.concatenate(out_q)
 
 
 def jaccard_join(
@@ -261,8 +279,8 @@ def jaccard_join(
     # 1. by signature: which classes have a partner in a block
     first = met.join(classes.select("cls", "sig"), "cls").select(*KEYS, "own", "cls", "sig")
 
-    def tell(key: tuple, t: pa.Table) -> pa.Table:
-        p, q = partners(key, t, trees, short, far)
+    def tell(t: pa.Table, keys: np.ndarray) -> pa.Table:
+        p, q = partners(t, keys, trees, short, far)
         return t.select([*KEYS, "own", "cls"]).take(pa.array(np.union1d(p, q).astype(np.int64)))
 
     needed = staged(by_block(first, "tree int, near long, i int, j int, own int, cls binary", tell))
@@ -273,14 +291,16 @@ def jaccard_join(
     second = needed.join(full, "cls").select(*KEYS, "own", "cls", "m", "sig", "set")
     named = [("a", pa.binary()), ("b", pa.binary()), ("w", pa.int64())]
 
-    def verify(key: tuple, t: pa.Table) -> pa.Table:
-        p, q = partners(key, t, trees, short, far)
+    def verify(t: pa.Table, keys: np.ndarray) -> pa.Table:
+        p, q = partners(t, keys, trees, short, far)
         own = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
         sizes, m = np.array([len(x) for x in own]), t.column("m").to_numpy()
+        order = np.argsort(p, kind="stable")
+        p, q = p[order], q[order]
         hit = np.zeros(len(p), bool)
-        for x in np.unique(p).tolist():
-            mine = np.flatnonzero(p == x)
-            ys = q[mine]
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(p)) + 1, [len(p)])) if len(p) else np.zeros(1, np.int64)
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            mine, x, ys = slice(a, b), int(p[a]), q[a:b]
             every = np.concatenate([own[y] for y in ys.tolist()])
             k = np.minimum(np.searchsorted(own[x], every), max(len(own[x]) - 1, 0))
             found = own[x][k] == every if len(own[x]) else np.zeros(len(every), bool)
