@@ -8,9 +8,12 @@ training step touches few rows. Training stops at the best loss on the calibrati
 
 The fit takes a bounded sample of labelled rows (``per_class`` rows of each label, lowest hash of the
 id first, texts of at most ``train_chars``; documented parameters); all documents are scored, whole.
-Label, language, source and id are no inputs of a score. Thresholds are calibrated per language on
-calibration rows (those the fit leaves out, by the id's hash): the threshold of best F1, the nearest to 0.5 among equals,
-0.5 where a language has fewer than ``least`` rows of either label.
+Label, language, source and id are no inputs of a score. Thresholds are calibrated per language on all
+labelled calibration rows, sampled or not and of any length (no held-out row; by the id's hash, so that no
+training step sees them): they are scored in Spark and counted per language, label and bin of the score's
+logit, so labels keep their real share and only counts go over the driver. The threshold is the one of best
+F1, the nearest to 0.5 among equals, 0.5 where a language has fewer than ``least`` rows of either label.
+An id with both labels counts once as each; rows of a repeated id count each.
 
 Defined results: NULL text is the empty text; the empty text has a score like any other; NULL ids stay
 NULL (their crc is that of the empty text); repeated rows repeat; labels that are neither 0 nor 1, and
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import key_crc, map_rows
+from pairloom.llm.common import key_crc, map_rows, staged
 
 _WORD = re.compile(r"\w+")
 WIDTHS = (1, 2, 3)
@@ -39,6 +42,7 @@ MAX_ROWS = 1 << 16
 PER_CLASS = 2500
 TRAIN_CHARS = 200_000
 CALIBRATION = 4  # one training row in so many is kept for early stopping and thresholds
+BINS = 64  # bins of a score per unit of its logit, which is within 30 of 0
 
 
 STARTS = (3, 4, 5, 6)
@@ -205,6 +209,16 @@ def train(
     return model, scores(held)
 
 
+def best_cut(low: np.ndarray, high: np.ndarray, toxic: np.ndarray, every: np.ndarray) -> float:
+    """The threshold of best F1 from bins of scores in rising order: their bounds, toxic rows and all rows."""
+    cuts = np.unique(np.concatenate(([0.5], low, (high[:-1] + low[1:]) / 2)))
+    at = np.searchsorted(low, cuts)  # the first bin at or above a cut; no cut is inside a bin
+    tp, n = (np.concatenate((x[::-1].cumsum()[::-1], [0]))[at] for x in (toxic, every))
+    f1 = 2 * tp / (n + toxic.sum())
+    good = cuts[f1 >= f1.max() - 1e-12]
+    return float(good[np.abs(good - 0.5).argmin()])
+
+
 def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list, least: int = 20) -> dict[str | None, float]:
     """Per language the threshold of best F1 on calibration rows, the nearest to 0.5 among equals."""
     out = {}
@@ -213,12 +227,8 @@ def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list, least: int =
         s, y = scores[m], labels[m]
         if min((y == 1).sum(), (y == 0).sum()) < least:
             continue
-        cuts = np.unique(np.concatenate(([0.5], s)))
-        cuts = np.unique(np.concatenate((cuts, (cuts[1:] + cuts[:-1]) / 2)))
-        tp = np.array([((s >= c) & (y == 1)).sum() for c in cuts])
-        f1 = 2 * tp / (np.array([(s >= c).sum() for c in cuts]) + (y == 1).sum())
-        good = cuts[f1 >= f1.max() - 1e-12]
-        out[lang] = float(good[np.abs(good - 0.5).argmin()])
+        low, at = np.unique(s, return_inverse=True)
+        out[lang] = best_cut(low, low, np.bincount(at, y == 1), np.bincount(at))
     return out
 
 
@@ -247,6 +257,38 @@ def sample(
     return [r for y in (0, 1) for r in [r for r in out if r["y"] == y][:per_class]]
 
 
+def kept_for_calibration(h: Column) -> Column:
+    """Whether the row of an id with this hash is left out of the training steps."""
+    return F.crc32(h.cast("string").cast("binary")) % CALIBRATION == 0
+
+
+def score_counts(
+    docs: DataFrame, labels: DataFrame, model: Model, id_col: str, text_col: str, lang_col: str, label_col: str
+) -> DataFrame:
+    """lang, bin, low, high, toxic, n: all labelled calibration rows, counted; no text is shuffled."""
+    lab = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1)).distinct()
+    key = F.col(id_col).cast(labels.schema[id_col].dataType)
+    rows = docs.select(key.alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = rows.filter(F.col("_id").isNotNull() & ~held_out(F.col("_id")) & kept_for_calibration(F.xxhash64("_id")))
+    s = F.col("score")
+    known = scored(rows, model).select("_id", "lang", "score", F.floor(F.log(s / (1 - s)) * BINS).alias("bin"))
+    bounds = (F.min("low").alias("low"), F.max("high").alias("high"))
+    # counted by id before the join, so that a repeated id is one row for each bin
+    known = known.groupBy("_id", "lang", "bin").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count(F.lit(1)).alias("m"))
+    return known.join(lab, "_id").groupBy("lang", "bin").agg(*bounds, F.sum(F.col("m") * F.col("y")).alias("toxic"), F.sum("m").alias("n"))
+
+
+def thresholds(counts: DataFrame, least: int = 20) -> dict[str | None, float]:
+    """Per language with enough rows of both labels the threshold of best F1 over ``counts``."""
+    counts = staged(counts)
+    total = counts.groupBy(F.col("lang").alias("l")).agg(F.sum("toxic").alias("t"), F.sum("n").alias("a"))
+    enough = total.filter((F.col("t") >= least) & (F.col("a") - F.col("t") >= least))
+    per: dict[str | None, list] = {}
+    for r in counts.join(enough, F.col("lang").eqNullSafe(F.col("l")), "left_semi").collect():  # at most 60 * BINS + 1 rows a language
+        per.setdefault(r["lang"], []).append((r["low"], r["high"], r["toxic"], r["n"]))
+    return {lang: best_cut(*np.array(sorted(rows), dtype=float).T) for lang, rows in per.items()}
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -257,13 +299,12 @@ def fit(
     per_class: int = PER_CLASS,
     train_chars: int = TRAIN_CHARS,
 ) -> Model:
-    """The model and its thresholds, from the bounded sample."""
+    """The model from the bounded sample and its thresholds from all labelled calibration rows."""
     rows = sample(docs, labels, id_col, text_col, lang_col, label_col, per_class, train_chars)
     y = np.array([r["y"] for r in rows], dtype=float)
     check = np.array([zlib.crc32(str(r["h"]).encode()) % CALIBRATION == 0 for r in rows], dtype=bool)
-    model, scores = train([r["text"] for r in rows], y, check)
-    at = np.flatnonzero(check)
-    model.thresholds = calibrate(scores, y[at], [rows[i]["lang"] for i in at])
+    model, _ = train([r["text"] for r in rows], y, check)
+    model.thresholds = thresholds(score_counts(docs, labels, model, id_col, text_col, lang_col, label_col))
     return model
 
 

@@ -298,6 +298,26 @@ def test_toxicity_tables(odd, empty, spark, small):
     assert all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0) for r in got)
 
 
+def test_thresholds_come_from_all_calibration_rows(spark):
+    """A capped sample of equal shares sees other scores than the labels' real share gives."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    rows = []
+    for k in range(4000):
+        y = k % 10 == 0
+        bad = rng.random() < (0.9 if y else 0.3)
+        rows.append((k, " ".join([word() for _ in range(20)] + ["zzbad"] * bad + ["zzworse"] * (y and rng.random() < 0.5)), None if k % 3 else "en", int(y)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(3)
+    got = toxicity(d.drop("toxic"), d.select("doc_id", "toxic"), per_class=200).join(d.select("doc_id", "lang", "toxic", F.xxhash64("doc_id").alias("h")), "doc_id").collect()
+    kept = [r for r in got if not r.held_out and zlib.crc32(str(r.h).encode()) % 4 == 0]
+    assert len(kept) > 600
+    for lang in ("en", None):
+        s, y = np.array([(r.score, r.toxic) for r in kept if r.lang == lang]).T
+        f1 = lambda c: 2 * ((s >= c) & (y == 1)).sum() / ((s >= c).sum() + (y == 1).sum())  # noqa: B023, E731
+        (cut,) = {r.threshold for r in got if r.lang == lang}
+        assert f1(cut) >= max(f1(c) for c in s) - 0.01
+
+
 def test_pipeline_stages(odd, spark):
     sf = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "secret_scans", "mixing", "packing"]
