@@ -245,7 +245,7 @@ def partners(t: pa.Table, keys: np.ndarray, trees: int, short: int, far: float)
     return np.concatenate(out_p), np.concatenate(out_q)
 
 
-def jaccard_join(
+def grouped(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -256,12 +256,7 @@ def jaccard_join(
     recall: float = RECALL,
     block: int = BLOCK,
 ) -> DataFrame:
-    """Per document: doc_id, rid, class_id, n_links, group_id, kept.
-
-    class_id: smallest id with the same shingle set; n_links: other documents with at least the
-    threshold's likeness, copies included; group_id: smallest id reachable by links; kept: whether the row
-    is the one that stays of its group (of repeated rows with that id, all are marked).
-    """
+    """The columns of ``jaccard_join`` and root, the smallest class of the row's group: the group itself."""
     short = shortened(threshold, trees, depth, recall)
     far = 1 - threshold + _FAR
     rows = staged(signatures(docs, id_col, text_col, size, trees * depth))
@@ -336,18 +331,30 @@ def jaccard_join(
     n_links = F.col("m") - 1 + F.coalesce("w", F.lit(0).cast("long"))
     c = staged(c.select("cls", "class_id", F.coalesce("root", "cls").alias("root"), n_links.alias("n_links")))
     groups = c.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    c = c.join(groups, "root").select("cls", "class_id", "n_links", "group_id")
+    c = c.join(groups, "root").select("cls", "class_id", "n_links", "group_id", "root")
     out = rows.select("doc_id", "rid", "cls").join(c, "cls")
-    return out.select("doc_id", "rid", "class_id", "n_links", "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept")
+    return out.select("doc_id", "rid", "class_id", "n_links", "group_id", kept, "root")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """Per document: doc_id, rid, class_id, n_links, group_id, kept.
+
+    class_id: smallest id with the same shingle set; n_links: other documents with at least the
+    threshold's likeness, copies included; group_id: smallest id reachable by links; kept: whether the row
+    is the one that stays of its group (of repeated rows with that id, all are marked).
+    """
+    return grouped(docs, id_col, text_col, **settings).drop("root")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """All columns of ``docs``, one document of each group: the smallest id, of equal ones the smallest row key.
 
-    Repeated rows and groups that have only NULL ids keep one row as well.
+    Repeated rows and groups that have only NULL ids keep one row as well, each group its own: neither NULL
+    nor an id that different texts share names a group.
     """
-    found = staged(jaccard_join(docs, id_col, text_col, **settings).filter("kept").select("group_id", "rid"))
-    stays = found.groupBy("group_id").agg(F.min("rid").alias("_rid"), F.count(F.lit(1)).alias("_n"))
+    found = staged(grouped(docs, id_col, text_col, **settings).filter("kept").select("root", "rid"))
+    stays = found.groupBy("root").agg(F.min("rid").alias("_rid"), F.count(F.lit(1)).alias("_n"))
     keys = stays.select("_rid", "_n").filter("_rid is not null")
     if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)

@@ -263,6 +263,13 @@ def test_join_equals_brute_force(odd, empty, spark):
         assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+def test_groups_without_a_name_of_their_own_keep_one_row_each(spark):
+    texts = ["first clean text without id", "first clean text without id", "second clean text, nothing like it", "one text of the id", "quite another of it"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (9, texts[3])]
+    kept = deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, texts[0]), (0, texts[2]), (7, texts[3]), (7, texts[4])]
+
+
 def test_prefix_is_shortened_to_the_target():
     d = shortened(0.8, 16, 6, 0.999)
     assert 1 - (1 - 0.8**d) ** 16 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 16
