@@ -9,13 +9,17 @@ of the original text.
 
 Escapes decode in place: the layer is the whole text with its escapes resolved, characters beside
 them keep their places. base64 and hex runs decode to a layer of their own; each of its characters
-stands for the whole run. Runs that do not decode to UTF-8 text without control characters
-(after gzip, zlib or bzip2 are unpacked) are left alone, so hashes and keys give no further layers.
+stands for the whole run. What a run decodes to is read, at any size, as UTF-8 and (where it holds a NUL)
+as UTF-16 with stray bytes replaced, and unpacked where it begins as gzip, zlib or bzip2. A reading with
+stray or control characters is a layer only if it holds a secret or an encoded stretch, so hashes and keys
+give no further layers.
 
 Defined results: NULL text is the empty text (no spans); NULL ids stay NULL; repeated rows repeat;
 an empty table gives an empty table; other columns are ignored; texts are searched whole. A packed
-layer that unfolds to more than ``max_layer`` bytes is searched in overlapping windows as it
-unfolds (bounded memory, nothing skipped) and not opened further; ``n_streamed`` counts those.
+layer that unfolds to more than ``max_layer`` bytes is read in overlapping windows as it unfolds; each
+window is a layer like others, and a packed layer within is unpacked as a stream; ``n_streamed`` counts those.
+A window repeats the last ``TAIL`` bytes and the unfinished run before it, of which at most ``max_layer`` bytes: only
+packed data in one longer run within such a layer is not unpacked whole.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ import html
 import re
 import urllib.parse
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +56,9 @@ _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _PART = re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
 _HEXRUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){12,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){12,}(?![0-9A-Za-z])")
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f�]")
+_RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n\0"
 MAX_LAYER = 1 << 24
+TAIL = 8192
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -80,6 +87,15 @@ class Layer:
     def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
         self.text, self.starts, self.ends = text, starts, ends
 
+    @classmethod
+    def of_run(cls, text: str, a: int, b: int) -> Layer:
+        """All characters stand for one stretch; its places take no memory."""
+        return cls(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)))
+
+    @property
+    def one_run(self) -> bool:
+        return self.starts.strides == (0,)
+
     def span(self, a: int, b: int) -> tuple[int, int]:
         return int(self.starts[a:b].min()), int(self.ends[a:b].max())
 
@@ -116,6 +132,9 @@ def unescaped(layer: Layer) -> Layer | None:
             continue
         a, b = m.span()
         parts += [text[at:a], new]
+        if layer.one_run:
+            at = b
+            continue
         starts += [layer.starts[at:a], np.full(len(new), layer.starts[a])]
         ends += [layer.ends[at:a], np.full(len(new), layer.ends[b - 1])]
         at = b
@@ -123,6 +142,8 @@ def unescaped(layer: Layer) -> Layer | None:
             starts[-1], ends[-1] = layer.starts[a:b:3], layer.ends[a + 2 : b : 3]
     if not parts:
         return None
+    if layer.one_run:
+        return Layer.of_run("".join([*parts, text[at:]]), int(layer.starts[0]), int(layer.ends[0]))
     return Layer(
         "".join([*parts, text[at:]]),
         np.concatenate([*starts, layer.starts[at:]]),
@@ -130,12 +151,21 @@ def unescaped(layer: Layer) -> Layer | None:
     )
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and not _CONTROL.search(text) else None
+def _may_decode(text: str) -> bool:
+    return bool(("%" in text or "\\" in text or "&" in text) and _ESCAPES.search(text) or _B64.search(text))
+
+
+def _readings(data: bytes) -> Iterator[str]:
+    """The texts that bytes may be; those with odd characters only if there is something in them."""
+    text = data.decode("utf-8", "replace")
+    if not _CONTROL.search(text) or find(text) or _may_decode(text):
+        yield text
+    if b"\0" in data:
+        for code in ("utf-16-le", "utf-16-be"):
+            for at in (0, 1):  # a stray byte or a window's start may shift the pairs
+                text = data[at:].decode(code, "replace")
+                if find(text) or _may_decode(text):
+                    yield text
 
 
 def _unpackers(data: bytes):
@@ -147,27 +177,35 @@ def _unpackers(data: bytes):
         yield bz2.BZ2Decompressor
 
 
-def unpacked(data: bytes, most: int) -> Iterator[tuple[bytes, bool]]:
-    """Pieces of what ``data`` holds when it is compressed; True marks that it came out whole at once."""
-    for make in _unpackers(data):
-        try:
-            d = make()
-            first = d.decompress(data, most)
+def _inflated(make: Callable, pieces: Iterator[bytes], most: int) -> Iterator[bytes]:
+    d, rest = make(), b""
+    for piece in pieces:
+        rest += piece
+        while True:
+            try:
+                out = d.decompress(rest, most)
+            except (zlib.error, OSError, EOFError, ValueError):
+                return
             rest = getattr(d, "unconsumed_tail", b"")
-            if d.eof or (not rest and len(first) < most):
-                if first:
-                    yield first, True
+            if out:
+                yield out
+            if d.eof:
                 return
-            yield first, False
-            while not d.eof:
-                more = d.decompress(rest, most) if isinstance(rest, bytes) and rest else d.decompress(b"", most)
-                rest = getattr(d, "unconsumed_tail", b"")
-                if not more:
-                    break
-                yield more, False
-            return
-        except (zlib.error, OSError, EOFError, ValueError):
-            continue
+            if not out:
+                break
+
+
+def unpacked(make: Callable, pieces: Iterator[bytes], most: int) -> Iterator[bytes]:
+    """What compressed pieces hold, up to where they are sound, in pieces of ``most`` bytes or little more; only the last is shorter."""
+    held, size = [], 0
+    for out in _inflated(make, pieces, most):
+        held.append(out)
+        size += len(out)
+        if size >= most:
+            yield b"".join(held)
+            held, size = [], 0
+    if held:
+        yield b"".join(held)
 
 
 def _payloads(run: str) -> Iterator[bytes]:
@@ -190,35 +228,38 @@ class Scanner:
     def scan(self, text: str) -> tuple[list, list, int, int]:
         """Base spans, all spans, number of decoded layers, number of layers read as a stream."""
         base = find(text)
-        if not self._may_decode(text):
+        if not _may_decode(text):
             return base, base, 0, 0
         places = np.arange(len(text), dtype=np.int64)
-        first = Layer(text, places, places + 1)
-        spans, streamed = set(base), 0
-        seen = {(0, len(text), text)}
-        work = [first]
-        layers = 0
-        while work:
-            layer = work.pop()
+        spans, seen, layers = set(base), set(), 0
+        self.streamed = 0
+        work = [iter([Layer(text, places, places + 1)])]
+        while work:  # depth first, so that of a streamed layer one window is held
+            layer = next(work[-1], None)
+            if layer is None:
+                work.pop()
+                continue
+            if not layer.text:
+                continue
+            key = (int(layer.starts[0]), int(layer.ends[-1]), len(layer.text), hash(layer.text))
+            if key in seen:
+                continue
+            seen.add(key)
             if layers:
                 spans.update((k, *layer.span(a, b)) for k, a, b in find(layer.text))
             layers += 1
-            plain = unescaped(layer)
-            if plain is not None:
-                self._push(plain, seen, work)
-            for m in _B64.finditer(layer.text):
-                for i, j in self._stretches(m):
-                    a, b = layer.span(i, j)
-                    readable, hits, n = self._open(layer.text[i:j])
-                    streamed += n
-                    spans.update((k, a, b) for k in hits)
-                    for new in readable:
-                        self._push(Layer(new, np.full(len(new), a), np.full(len(new), b)), seen, work)
-        return base, ordered(spans), layers - 1, streamed
-
-    @staticmethod
-    def _may_decode(text: str) -> bool:
-        return bool(("%" in text or "\\" in text or "&" in text) and _ESCAPES.search(text) or _B64.search(text))
+            work.append(self._decoded(layer))
+        return base, ordered(spans), layers - 1, self.streamed
+
+    def _decoded(self, layer: Layer) -> Iterator[Layer]:
+        plain = unescaped(layer)
+        if plain is not None:
+            yield plain
+        for m in _B64.finditer(layer.text):
+            for i, j in self._stretches(m):
+                a, b = layer.span(i, j)
+                for text in self._open(layer.text[i:j]):
+                    yield Layer.of_run(text, a, b)
 
     @staticmethod
     def _stretches(m: re.Match) -> Iterator[tuple[int, int]]:
@@ -228,39 +269,42 @@ class Scanner:
             if len(part[0]) < len(m[0]):
                 yield m.start() + part.start(), m.start() + part.end()
 
-    def _open(self, run: str) -> tuple[list[str], set[str], int]:
-        """Readable layers in an encoded run, kinds found in packed layers too large to hold, their number."""
-        readable, hits, streamed = [], set(), 0
-        stack, seen = list(_payloads(run)), set()
-        while stack:
-            data = stack.pop()
-            mark = hashlib.sha256(data).digest()
-            if mark in seen:
-                continue
-            seen.add(mark)
-            text = _readable(data)
-            if text is not None:
-                readable.append(text)
-                continue
-            tail = ""
-            for piece, whole in unpacked(data, self.max_layer):
-                if whole:
-                    stack.append(piece)
-                    continue
-                streamed += not tail
-                window = tail + piece.decode("utf-8", "ignore")
-                hits.update(k for k, _, _ in find(window))
-                tail = window[-4096:] or " "
-        return readable, hits, streamed
-
-    @staticmethod
-    def _push(layer: Layer, seen: set, work: list) -> None:
-        if not layer.text:
-            return
-        key = (int(layer.starts[0]), int(layer.ends[-1]), layer.text)
-        if key not in seen:
-            seen.add(key)
-            work.append(layer)
+    def _open(self, run: str) -> Iterator[str]:
+        """The texts in an encoded run, a large one by windows."""
+        seen: set[bytes] = set()
+        for data in _payloads(run):
+            yield from self._texts(lambda data=data: iter((data,)), seen)
+
+    def _texts(self, source: Callable[[], Iterator[bytes]], seen: set[bytes]) -> Iterator[str]:
+        pieces = source()
+        first, second = next(pieces, b""), next(pieces, None)
+        mark = hashlib.sha256(first)
+        if second is None:
+            if not first or mark.digest() in seen:
+                return
+            yield from _readings(first)
+        else:
+            self.streamed += 1
+            window = first
+            yield from _readings(window)
+            for piece in chain((second,), pieces):
+                mark.update(piece)
+                window = self._tail(window) + piece
+                yield from _readings(window)
+            if mark.digest() in seen:
+                return
+        seen.add(mark.digest())
+        for make in _unpackers(first):
+            yield from self._texts(lambda make=make: unpacked(make, source(), self.max_layer), seen)
+
+    def _tail(self, window: bytes) -> bytes:
+        """What the next window repeats; a run too long for it is cut at a multiple of four characters."""
+        run = len(window) - len(window.rstrip(_RUN))
+        if run > max(TAIL, self.max_layer):
+            most = max(TAIL, self.max_layer)
+            run = most - (most - run) % 4
+            return window[len(window) - run :]
+        return window[-max(TAIL, run) :]
 
 
 def secret_scans(

@@ -63,6 +63,21 @@ def test_large_packed_layer_is_read_as_a_stream():
     assert streamed == 1 and [s[0] for s in spans] == ["assign"]
 
 
+def test_one_rule_for_layers_of_every_size():
+    plain = SECRET.encode()
+    odd = [b"\x1b[31mred\x1b[0m " + plain, b"nul \0 " + plain, b"stray \xff\xfe\xe9 " + plain, SECRET.encode("utf-16"), ("log " + SECRET).encode("utf-16-be")]
+    inner = [urllib.parse.quote(SECRET, safe="").encode(), b"".join(b"\\u%04x" % c for c in plain), base64.b64encode(plain), base64.b64encode(gzip.compress(plain))]
+    filler = b"".join(b"line %d\n" % k for k in range(8_000))
+    for data in odd + inner:
+        for packed in (data, gzip.compress(data), gzip.compress(filler + data + b" \n" + filler), gzip.compress(gzip.compress(filler + data + b" \n"))):
+            for most in (1 << 24, 1 << 16):
+                _, spans, _, streamed = Scanner(max_layer=most).scan("x " + base64.b64encode(packed).decode())
+                assert "assign" in {s[0] for s in spans}, (data, len(packed), most)
+    for at in range(65_536 - 60, 65_536, 7):  # an encoded stretch over the end of a window
+        bomb = gzip.compress(b". " * (at // 2) + inner[3] + b" " + b". " * 60_000)
+        assert [s[0] for s in Scanner(max_layer=1 << 16).scan(base64.b64encode(bomb).decode())[1]] == ["assign"]
+
+
 def brute(text):
     assign = [m.span() for m in re.finditer(r"(?a)((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 6]
     access = [m.span() for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
