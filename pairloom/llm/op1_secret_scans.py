@@ -9,7 +9,9 @@ of the original text.
 
 Escapes decode in place: the layer is the whole text with its escapes resolved, characters beside
 them keep their places. base64 and hex runs decode to a layer of their own; each of its characters
-stands for the whole run. What a run decodes to is read, at any size, as UTF-8 and (where it holds a NUL)
+stands for the whole run. A run is also tried over its line breaks and from where a payload glued to a path or
+name may begin: the first beginning at each place modulo four (it decodes all that follows) and each that
+shows a packed one. All members of a packed stream are read. What a run decodes to is read, at any size, as UTF-8 and (where it holds a NUL)
 as UTF-16 with stray bytes replaced, and unpacked where it begins as gzip, zlib or bzip2. A reading with
 stray or control characters is a layer only if it holds a secret or an encoded stretch, so hashes and keys
 give no further layers.
@@ -32,6 +34,7 @@ import html
 import re
 import urllib.parse
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -54,6 +57,10 @@ _ESCAPES = re.compile(
 )
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _PART = re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
+#: Lines of one run; a line with further words belongs to none.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[\x20\t>]*\r?\n[\x20\t>]*[A-Za-z0-9+/_-]++(?![\x20\t]+[^\s=]))+={0,2}")
+_LINE = re.compile(r"[^\x20\t>\r\n]+")
+_MARK = re.compile("[+/_-]")
 _HEXRUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){12,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){12,}(?![0-9A-Za-z])")
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f�]")
 _RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n\0"
@@ -177,11 +184,28 @@ def _unpackers(data: bytes):
         yield bz2.BZ2Decompressor
 
 
+def _begun(data: bytes):
+    for make in _unpackers(data):
+        try:
+            make().decompress(data[:4096], 1)
+            return make()
+        except (zlib.error, OSError, EOFError, ValueError):
+            continue
+    return None
+
+
 def _inflated(make: Callable, pieces: Iterator[bytes], most: int) -> Iterator[bytes]:
     d, rest = make(), b""
     for piece in pieces:
         rest += piece
         while True:
+            if d is None:  # the next member, behind padding
+                rest = rest.lstrip(b"\0")
+                if len(rest) < 4:
+                    break
+                d = _begun(rest)
+                if d is None:
+                    return
             try:
                 out = d.decompress(rest, most)
             except (zlib.error, OSError, EOFError, ValueError):
@@ -190,8 +214,8 @@ def _inflated(make: Callable, pieces: Iterator[bytes], most: int) -> Iterator[by
             if out:
                 yield out
             if d.eof:
-                return
-            if not out:
+                d, rest = None, d.unused_data
+            elif not out:
                 break
 
 
@@ -212,11 +236,22 @@ def _payloads(run: str) -> Iterator[bytes]:
     if _HEXRUN.fullmatch(run):
         yield bytes.fromhex(run)
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 != 1:
-        try:
-            yield base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            pass
+    body = body[: len(body) - (len(body) % 4 == 1)]  # a single character more holds no byte
+    try:
+        yield base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        pass
+
+
+def _beginnings(run: str, starts: list[int]) -> Iterator[int]:
+    """Where else a payload in a run may begin: the first of ``starts`` at each place modulo four, and packed ones."""
+    known = {0}
+    for k in starts:
+        if len(run) - k < 16:
+            break
+        if k % 4 not in known or any(_unpackers(next(_payloads(run[k : k + 4]), b""))):
+            known.add(k % 4)
+            yield k
 
 
 class Scanner:
@@ -260,14 +295,34 @@ class Scanner:
                 a, b = layer.span(i, j)
                 for text in self._open(layer.text[i:j]):
                     yield Layer.of_run(text, a, b)
+        for m in _WRAPPED.finditer(layer.text):
+            for i, run in self._unwrapped(m):
+                a, b = layer.span(i, m.end())
+                for text in self._open(run):
+                    yield Layer.of_run(text, a, b)
 
     @staticmethod
     def _stretches(m: re.Match) -> Iterator[tuple[int, int]]:
-        """The run, and its parts between the marks that also stand in paths and names."""
+        """The run, its parts between the marks that also stand in paths and names, and what begins behind a mark."""
         yield m.span()
         for part in _PART.finditer(m[0]):
             if len(part[0]) < len(m[0]):
                 yield m.start() + part.start(), m.start() + part.end()
+        for k in _beginnings(m[0], [x.end() for x in _MARK.finditer(m[0])]):
+            yield m.start() + k, m.end()
+
+    @staticmethod
+    def _unwrapped(m: re.Match) -> Iterator[tuple[int, str]]:
+        """Lines joined to one run, and what begins with a line or behind a mark; with the place in the text."""
+        lines, starts, at = [x.span() for x in _LINE.finditer(m[0])], [], 0
+        for a, b in lines:
+            starts.append(at)
+            at += b - a
+        run = "".join(m[0][a:b] for a, b in lines)
+        yield m.start(), run
+        for k in _beginnings(run, sorted({*starts[1:], *(x.end() for x in _MARK.finditer(run))})):
+            line = bisect_right(starts, k) - 1
+            yield m.start() + lines[line][0] + k - starts[line], run[k:]
 
     def _open(self, run: str) -> Iterator[str]:
         """The texts in an encoded run, a large one by windows."""

@@ -1,13 +1,16 @@
 """Secret scans, token counts, packing, token files: against the library and brute force."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
 import math
 import random
 import re
+import textwrap
 import urllib.parse
+import zlib
 
 import numpy as np
 
@@ -78,6 +81,30 @@ def test_one_rule_for_layers_of_every_size():
         assert [s[0] for s in Scanner(max_layer=1 << 16).scan(base64.b64encode(bomb).decode())[1]] == ["assign"]
 
 
+def test_wrapped_glued_and_concatenated_payloads():
+    noise = "".join(hashlib.sha256(b"%d" % k).hexdigest().upper() + "\n" for k in range(60))
+    late = (noise + SECRET).encode()
+    wrap = lambda data, n, end: end.join(textwrap.wrap(base64.b64encode(data).decode(), n))
+    for n in range(4):
+        plain = b"." * (40 + n) + SECRET.encode()  # the secret goes over the line break
+        for data in (plain, gzip.compress(late), zlib.compress(late), bz2.compress(late)):
+            for code in (wrap(data, 64, "\n"), wrap(data, 76, "\r\n"), wrap(data, 64, "\n    "), f"-----BEGIN CERTIFICATE-----\n{wrap(data, 64, chr(10))}\n-----END CERTIFICATE-----"):
+                text = f"some words\n{code}\nand more words"
+                spans = [s for s in Scanner().scan(text)[1] if s[0] == "assign"]
+                assert spans and all(11 <= a < b <= 11 + len(code) for _, a, b in spans), (data[:4], code[:80])
+        glued = base64.b64encode(gzip.compress(late + b"%d" % n, mtime=n)).decode()
+        assert "/" in glued
+        for path in ("cb/", "a_b-", "data/x/", "name-0123456789_"):
+            for code in (path + glued, path + base64.b64encode(b"\xff\xff\xfe??" + SECRET.encode()).decode() + "/more/path"):
+                assert "assign" in layers(f"see {code} there"), code[:60]
+    for pack in (gzip.compress, bz2.compress, zlib.compress):
+        for data in (pack(b"one") + pack(b"two") + pack(SECRET.encode()), pack(b"one") + gzip.compress(SECRET.encode()), pack(b"." * 200_000) * 2 + pack(SECRET.encode())):
+            for most in (1 << 24, 1 << 16):
+                assert "assign" in {s[0] for s in Scanner(most).scan(base64.b64encode(data).decode())[1]}
+    text = "averylongwordwithoutbreaks\nThe quick brown fox\nanotherverylongwordhere\nword"
+    assert layers(text) == set()
+
+
 def brute(text):
     assign = [m.span() for m in re.finditer(r"(?a)((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 6]
     access = [m.span() for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
