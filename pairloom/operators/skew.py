@@ -20,49 +20,79 @@ def grid_join(
     right_salt: Column,
     condition: Column | None = None,
     cell_rows: int = 20_000,
+    how: str = "inner",
+    null_safe: bool = False,
 ) -> DataFrame:
-    """Inner join on ``keys`` where a key with many rows is cut into cells of ``cell_rows`` per side.
+    """Join on ``keys`` where a key with many rows is cut into cells of ``cell_rows`` per side.
 
     Rows per key are counted first (map-side combined). Without a hot key this is a plain join;
     otherwise a hot key's rows are dealt to rows and columns of a grid by hash, so every pair meets
     in exactly one cell and no task gets a whole hot key. Both inputs are read twice, so they
     should be written tables or cheap scans. Other columns of the two sides need different names.
+
+    ``how="left"`` keeps left rows without a partner. There a key is hot by its left rows alone, and left
+    rows with a NULL key, which match nothing, do not enter the join. With ``null_safe`` NULL keys are equal
+    to each other. ``condition`` filters the joined rows of an inner join.
     """
+    if how not in ("inner", "left") or (how == "left" and condition is not None):
+        raise ValueError("grid_join is an inner join, or a left join without a condition")
+    loose = None
+    on = list(keys)
+    if null_safe:
+        key = F.struct(*keys)  # structs compare their NULL fields as equal
+        left, right, on = left.withColumn("_key", key), right.withColumn("_key", key).drop(*keys), ["_key"]
+    elif how == "left":
+        whole = F.lit(True)
+        for k in keys:
+            whole = whole & F.col(k).isNotNull()
+        loose, left = left.filter(~whole), left.filter(whole)
+    joined = _dealt(left, right, on, left_salt, right_salt, cell_rows, how)
+    if loose is not None:
+        joined = joined.unionByName(loose, allowMissingColumns=True)
+    if null_safe:
+        joined = joined.drop("_key")
+    return joined if condition is None else joined.filter(condition)
+
+
+def _dealt(
+    left: DataFrame, right: DataFrame, keys: list[str], left_salt: Column, right_salt: Column, cell_rows: int, how: str
+) -> DataFrame:
     sides = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(
         right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
     )
+    large = (F.col("_nl") > cell_rows) | (F.col("_nr") > cell_rows)
+    wanted = (F.col("_nl") > 0) & large
+    if how == "inner":
+        wanted = wanted & (F.col("_nr") > 0)
+    cells = lambda n: F.greatest(F.ceil(F.col(n) / cell_rows), F.lit(1)).cast("int")
     hot = cut(
         sides.groupBy(*keys)
         .agg(F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"))
-        .filter(
-            (F.col("_nl") > 0)
-            & (F.col("_nr") > 0)
-            & ((F.col("_nl") > cell_rows) | (F.col("_nr") > cell_rows))
-        )
-        .select(
-            *keys,
-            F.ceil(F.col("_nl") / cell_rows).cast("int").alias("_gl"),
-            F.ceil(F.col("_nr") / cell_rows).cast("int").alias("_gr"),
-        )
+        .filter(wanted)
+        .select(*keys, cells("_nl").alias("_gl"), cells("_nr").alias("_gr"), (F.col("_nr") > 0).alias("_met"))
     )  # at most rows / cell_rows keys
     n_hot = hot.limit(BROADCAST_KEYS + 1).count()
     if n_hot == 0:
-        out = left.join(right, list(keys))
-        return out if condition is None else out.filter(condition)
+        return left.join(right, keys, how)
     if n_hot <= BROADCAST_KEYS:
         hot = F.broadcast(hot)
     one = F.lit(1)
-    lhs = left.join(hot, list(keys), "left")
+    lhs = left.join(hot, keys, "left")
     lhs = (
         lhs.withColumn("_cl", F.pmod(F.xxhash64(left_salt), F.coalesce("_gl", one)).cast("int"))
         .withColumn("_cr", F.explode(F.sequence(F.lit(0), F.coalesce("_gr", one) - 1)))
         .drop("_gl", "_gr")
     )
-    rhs = right.join(hot, list(keys), "left")
+    rhs = right.join(hot.drop("_met"), keys, "left")
     rhs = (
         rhs.withColumn("_cr", F.pmod(F.xxhash64(right_salt), F.coalesce("_gr", one)).cast("int"))
         .withColumn("_cl", F.explode(F.sequence(F.lit(0), F.coalesce("_gl", one) - 1)))
         .drop("_gl", "_gr")
     )
-    out = lhs.join(rhs, [*keys, "_cl", "_cr"]).drop("_cl", "_cr")
-    return out if condition is None else out.filter(condition)
+    if how == "left":
+        # a hot key's rows meet their partners in other cells too: an empty cell is no missing partner
+        out = lhs.join(rhs.withColumn("_hit", F.lit(True)), [*keys, "_cl", "_cr"], "left")
+        out = out.filter(F.col("_hit").isNotNull() | ~F.coalesce("_met", F.lit(False))).drop("_hit")
+    else:
+        out = lhs.join(rhs, [*keys, "_cl", "_cr"])
+    return out.drop("_cl", "_cr", "_met")
