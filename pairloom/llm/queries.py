@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.common import table
 from pairloom.llm.op10_ngram_join import jaccard_join
+from pairloom.llm.op13_exact_dedup import exact_groups
 from pairloom.llm.op1_secret_scans import secret_scans
 from pairloom.llm.op2_token_counts import token_counts
 from pairloom.llm.op3_packing import packed
@@ -101,3 +102,19 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_embedding_dedup")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "embeddings"), cosine=0.9)
+
+
+EXACT_SQL = """
+SELECT doc_id,
+       first_value(doc_id) OVER w AS keep_id,
+       count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+       row_number() OVER w = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW w AS (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+"""
+
+
+@query("op13_exact_dedup", EXACT_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_groups(table(spark, sf, "documents"))
