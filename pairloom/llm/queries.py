@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.common import table
 from pairloom.llm.op10_ngram_join import jaccard_join
+from pairloom.llm.op12_conversation_repair import conversation_repair
 from pairloom.llm.op13_exact_dedup import exact_groups
 from pairloom.llm.op1_secret_scans import secret_scans
 from pairloom.llm.op2_token_counts import token_counts
@@ -118,3 +119,8 @@ WINDOW w AS (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST ROW
 @query("op13_exact_dedup", EXACT_SQL)
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return exact_groups(table(spark, sf, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_repair(table(spark, sf, "conversations"))
