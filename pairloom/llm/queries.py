@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.common import table
 from pairloom.llm.op10_ngram_join import jaccard_join
+from pairloom.llm.op11_hard_negatives import hard_negatives
 from pairloom.llm.op12_conversation_repair import conversation_repair
 from pairloom.llm.op13_exact_dedup import exact_groups
 from pairloom.llm.op1_secret_scans import secret_scans
@@ -124,3 +125,31 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_conversation_repair")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return conversation_repair(table(spark, sf, "conversations"))
+
+
+NEGATIVES_SQL = """
+WITH e AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id AND len(a.v) = len(b.v)
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id,
+       p.positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return hard_negatives(table(spark, sf, "embeddings"))
