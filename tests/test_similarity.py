@@ -119,7 +119,7 @@ def test_nearest_equals_brute_force_over_many_tiles(spark, distinct_anchor):
     df = spark.createDataFrame(rows, "id long, ep string, bits array<string>").withColumn("a", F.concat(F.lit("a"), F.col("id") % 25))
     q = df.filter("id % 3 = 0").select("ep", F.col("id").alias("q_id"), F.col("a").alias("q_anchor"), F.col("bits").alias("q_bits"))
     p = df.select("ep", F.col("id").alias("p_id"), F.col("a").alias("p_anchor"), F.col("bits").alias("p_bits"))
-    got = {(r.q_id, r["rank"]): r.p_id for r in knn.nearest(q, p, 4, ["ep"], distinct_anchor=distinct_anchor, tile=7).collect()}
+    got = {(r.q_id, r["rank"]): r.p_id for r in knn.nearest(q, p, 4, ["ep"], distinct_anchor=distinct_anchor, shard_rows=7).collect()}
     for i, e, a in rows:
         if i % 3:
             continue
@@ -144,7 +144,6 @@ def test_similarity_stats_over_tiles(spark):
     df = spark.createDataFrame(rows, "id long, ep string, bits array<string>")
     ls = S.distinct_sets(df.filter("id % 4 < 2"), ["ep"], "id", "bits")
     rs = S.distinct_sets(df.filter("id % 4 >= 2"), ["ep"], "id", "bits")
-    original = knn.TILE_ROWS
     for r in knn.similarity_stats(ls, rs, ["ep"]).collect():
         sims = []
         for i, e, a in rows:
@@ -157,4 +156,3 @@ def test_similarity_stats_over_tiles(spark):
         assert r.median_sim == pytest.approx(np.median(sims))
         assert r.std_sim == pytest.approx(np.std(sims))
         assert (r.max_sim, r.min_sim) == (pytest.approx(max(sims)), pytest.approx(min(sims)))
-    assert knn.TILE_ROWS == original
