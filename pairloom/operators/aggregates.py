@@ -24,9 +24,17 @@ def pair_counts(pairs: DataFrame, left: DataFrame, right: DataFrame, by: Sequenc
     return attach(sides, found, by, "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
 
 
-def condition_counts(pairs: DataFrame, by: Sequence[str], conditions: dict[str, Column]) -> DataFrame:
-    """How many pairs meet each condition, per block and in total (block names become ``total``)."""
-    counts = [F.count_if(c).alias(n) for n, c in conditions.items()]
+def condition_counts(
+    pairs: DataFrame, by: Sequence[str], conditions: dict[str, Column], weight: Column | None = None
+) -> DataFrame:
+    """How many pairs meet each condition, per block and in total (block names become ``total``).
+
+    With ``weight`` a row stands for that many pairs.
+    """
+    if weight is None:
+        counts = [F.count_if(c).alias(n) for n, c in conditions.items()]
+    else:
+        counts = [F.sum(F.when(c, weight).otherwise(0)).alias(n) for n, c in conditions.items()]
     rolled = pairs.groupingSets([[F.col(c) for c in by], []], *[F.col(c) for c in by]).agg(
         *counts, F.grouping_id().alias("_g")
     )

@@ -54,6 +54,22 @@ def grid_join(
     return joined if condition is None else joined.filter(condition)
 
 
+def lookup(
+    df: DataFrame, table: DataFrame, keys: Sequence[str], salt: Column, how: str = "left", null_safe: bool = False
+) -> DataFrame:
+    """Join with a table of one row a key: broadcast only if counted to be small, else dealt as a grid.
+
+    ``table`` is counted first, so it should be written or cheap; ``salt`` is any column of ``df`` that spreads its rows.
+    """
+    if table.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        if not null_safe:
+            return df.join(F.broadcast(table), list(keys), how)
+        key = F.struct(*keys)
+        joined = df.withColumn("_key", key).join(F.broadcast(table.withColumn("_key", key).drop(*keys)), "_key", how)
+        return joined.drop("_key")
+    return grid_join(df, table, keys, salt, F.lit(0), how=how, null_safe=null_safe)
+
+
 def _dealt(
     left: DataFrame, right: DataFrame, keys: list[str], left_salt: Column, right_salt: Column, cell_rows: int, how: str
 ) -> DataFrame:

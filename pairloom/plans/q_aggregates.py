@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.sets import fragments, tanimoto, words
 from pairloom.operators import aggregates as A
+from pairloom.operators import contrast as C
 from pairloom.operators import knn
 from pairloom.operators import simjoin as S
 from pairloom.operators.filters import pair_step, pair_type
@@ -94,9 +95,11 @@ def a3(spark, sf):
     FROM contrastive GROUP BY GROUPING SETS ((dataset_name, endpoint), ())""",
 )
 def a4(spark, sf):
-    pairs = S.contrastive_pairs(page_entities(spark, sf))
+    pairs = C.with_styles(C.ContrastivePairs(page_entities(spark, sf)).weighted())
     flags = {"sub": "sub_ok", "chiral": "chiral_ok", "grp": "group_ok", "string": "string_ok", "any_fg": "is_fg"}
-    return A.condition_counts(pairs, ["dataset_name", "endpoint"], {n: F.col(c) for n, c in flags.items()})
+    return A.condition_counts(
+        pairs, ["dataset_name", "endpoint"], {n: F.col(c) for n, c in flags.items()}, F.col("n_pairs")
+    )
 
 
 @query(
@@ -108,20 +111,17 @@ def a4(spark, sf):
 )
 def a5(spark, sf):
     """Group similarity of at least 1 - 1e-6 is equality of the group sets."""
-    pairs = S.contrastive_pairs(page_entities(spark, sf))
-    host = "regexp_extract({0}, '//([^/]+)', 1)"
-    a, b = (F.sort_array(words(F.expr(host.format(c)))) for c in ("left_repr", "right_repr"))
-    eq = (F.size(a) > 0) & (a == b)
-    chiral = F.col("chiral_ok") | F.col("group_eq") | F.col("string_ok")
+    chiral = F.col("chiral_ok") | F.col("group_same") | F.col("string_ok")
     return A.condition_counts(
-        pairs.withColumn("group_eq", eq),
+        C.ContrastivePairs(page_entities(spark, sf)).weighted(),
         ["dataset_name"],
         {
-            "fg": F.col("sub_ok") | F.col("group_eq") | F.col("string_ok"),
+            "fg": F.col("sub_ok") | F.col("group_same") | F.col("string_ok"),
             "stereo": chiral,
             "isomer": chiral & F.col("same_formula"),
-            "group_eq": F.col("group_eq"),
+            "group_eq": F.col("group_same"),
         },
+        F.col("n_pairs"),
     )
 
 

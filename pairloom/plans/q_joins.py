@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.sets import tanimoto, words
 from pairloom.operators import joins as J
-from pairloom.operators import knn, rowdiff
+from pairloom.operators import contrast, rowdiff
 from pairloom.operators import simjoin as S
 from pairloom.plans.frames import (
     SQL_PARITY,
@@ -19,6 +19,7 @@ from pairloom.plans.frames import (
 )
 from pairloom.plans.part_pairs import SQL_PART_PAIRS, part_entities, part_pairs
 from pairloom.plans.registry import query, table
+from pairloom.session import together
 
 # --- set joins: documents of one language, odd ids against even ids ------------------------------
 
@@ -34,7 +35,8 @@ sims AS (SELECT *, ln + rn - i AS u FROM overlap)"""
 
 def parity_sets(spark, sf):
     d = parity_docs(spark, sf)
-    return [S.distinct_sets(d.filter(F.col("label") == v), ["lang"], "doc_id", "bits") for v in (1, 0)]
+    side = lambda v: S.distinct_sets(d.filter(F.col("label") == v), ["lang"], "doc_id", "bits")
+    return together(lambda: side(1), lambda: side(0))
 
 
 def _set_join(num, den):
@@ -117,7 +119,7 @@ contrastive AS (SELECT *, sub_ok OR group_ok OR string_ok AS is_fg, chiral_ok OR
       same_formula, is_fg, is_stereo, is_isomer FROM contrastive""",
 )
 def j1(spark, sf):
-    return S.contrastive_pairs(page_entities(spark, sf))
+    return contrast.contrastive_pairs(page_entities(spark, sf)).drop("group_same")
 
 
 @query(

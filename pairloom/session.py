@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,5 +52,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def together(*steps: Callable[[], Any]) -> list[Any]:
+    """Results of steps that do not need each other, run at once: one's last tasks leave no executor idle."""
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inherit(step)) for step in steps]]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
