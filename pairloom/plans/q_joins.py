@@ -142,9 +142,29 @@ def j3(spark, sf):
     )
 
 
-@query("J3_edit_join_texts")
+# A pair within k edits keeps all but k of the left text's disjoint pieces (4 characters, 8 from length 135 on).
+# This engine's levenshtein counts bytes, so each letter beyond ASCII becomes a control character first.
+SQL_LETTERS = "translate({0}, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', " + " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 27)]) + ")"
+SQL_NEAR_TEXTS = f"""WITH t AS (SELECT lang, doc_id % 2 AS label, text, min(doc_id) AS id, count(*) AS m, length(text) AS n FROM documents
+    WHERE text <> '' GROUP BY lang, doc_id % 2, text),
+  lp AS (SELECT DISTINCT lang, id, n, CASE WHEN n < 135 THEN 4 ELSE 8 END AS g, unnest(CASE WHEN n < 9 THEN [text] WHEN n < 135
+      THEN regexp_extract_all(text, '(?s).{{4}}') ELSE regexp_extract_all(text, '(?s).{{8}}') END) AS tok FROM t WHERE label = 1),
+  rg AS (SELECT DISTINCT lang, id, n, tok FROM (SELECT lang, id, n, unnest(list_transform(range(1, n - 2), lambda i: substr(text, i, 4))) AS tok
+      FROM t WHERE label = 0 AND n BETWEEN 9 AND 150
+    UNION ALL SELECT lang, id, n, unnest(list_transform(range(1, n - 6), lambda i: substr(text, i, 8))) FROM t WHERE label = 0 AND n >= 120
+    UNION ALL SELECT lang, id, n, text FROM t WHERE label = 0 AND n < 9)),
+  np AS (SELECT lang, id, count(*) AS pieces FROM lp GROUP BY ALL),
+  met AS (SELECT l.lang, l.id AS l_id, r.id AS r_id, count(*) AS hits, any_value(greatest(l.n, r.n)) AS longest FROM lp l JOIN rg r ON l.lang = r.lang AND l.tok = r.tok
+    AND abs(l.n - r.n) * 10 <= greatest(l.n, r.n) GROUP BY ALL),
+  cand AS (SELECT met.* FROM met JOIN np ON np.lang = met.lang AND np.id = met.l_id WHERE hits >= pieces - longest // 10),
+  d AS (SELECT c.lang, l_id, r_id, longest, a.m * b.m AS n_pairs, CASE WHEN a.text = b.text THEN 0 ELSE levenshtein({SQL_LETTERS.format('a.text')}, {SQL_LETTERS.format('b.text')}) END AS distance
+    FROM cand c JOIN t a ON a.lang = c.lang AND a.label = 1 AND a.id = l_id JOIN t b ON b.lang = c.lang AND b.label = 0 AND b.id = r_id)
+  SELECT lang, l_id, r_id, CAST(distance AS INTEGER) AS distance, n_pairs FROM d WHERE distance * 10 <= longest"""
+
+
+@query("J3_edit_join_texts", SQL_NEAR_TEXTS)
 def j3_texts(spark, sf):
-    """Whole document texts; too slow as a SQL cross join, checked against brute force in the tests."""
+    """Whole document texts."""
     d = parity_docs(spark, sf)
     left, right = (
         S.distinct_strings(d.filter(F.col("label") == v), ["lang"], "doc_id", "text") for v in (1, 0)

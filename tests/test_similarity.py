@@ -106,6 +106,20 @@ def test_edit_join_equals_brute_force(spark):
     assert got == want
 
 
+def test_few_grams_pass_the_filter(spark):
+    r = random.Random(8)
+    text = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(30, 120)))
+    left = [(i, "e", text()) for i in range(60)]
+    right = [(100 + i, "e", text()) for i in range(600)] + [(900 + i, "e", s[:-1] + "x") for i, _, s in left]
+    make = lambda rows: S.distinct_strings(spark.createDataFrame(rows, "id long, ep string, s string"), ["ep"], "id", "s")
+    pieces, strings = S._placed_pieces(make(left), ["ep"]), make(right)
+    every, passed = S._placed_grams(strings, ["ep"]), S.met_grams(pieces, strings, ["ep"])
+    assert passed.count() * 10 < every.count()
+    # nothing that is a piece at its place is lost
+    keys = S._banded(pieces).select("ep", "cls", "key").distinct()
+    assert every.join(keys, ["ep", "cls", "key"], "left_semi").exceptAll(passed).count() == 0
+
+
 def test_grid_join_splits_a_hot_key(spark):
     a = spark.range(60).select((F.col("id") % 3 * (F.col("id") % 2)).alias("k"), F.col("id").alias("x"))
     b = spark.range(50).select((F.col("id") % 2).alias("k"), F.col("id").alias("y"))
