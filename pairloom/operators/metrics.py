@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.sets import tanimoto
+from pairloom.functions.sets import fragments, tanimoto
 from pairloom.functions.strings import (
     char_precision,
     exact_match,
@@ -22,17 +22,26 @@ from pairloom.functions.strings import (
     set_precision_recall_f1,
     text_or_empty,
 )
+from pairloom.operators.joins import attach_source_row
+from pairloom.operators.ranking import relaxed_score, top_per_group
+from pairloom.operators.skew import lookup, row_hash
 
 BITS = ("rdk", "maccs", "morgan")
 
 
 def decoded_as(df: DataFrame, column: str, table: DataFrame, prefix: str) -> DataFrame:
-    own = table.select(
-        F.col("code").alias(column),
+    """The decoded forms of a column's strings.
+
+    A blank or NULL string decodes to nothing and stays out of the join, a frequent string is dealt over many
+    tasks, and the table is broadcast only if counted to be small.
+    """
+    own = table.filter(F.trim("code") != "").select(
+        F.col("code").alias("_code"),
         *[F.col(c).alias(f"{prefix}_{c}") for c in ("decoded", "canon", "error")],
         *[F.col(f"bits_{b}").alias(f"{prefix}_bits_{b}") for b in BITS],
     )
-    return df.join(own, column, "left")
+    asked = df.withColumn("_code", F.when(F.trim(column) != "", F.col(column)))
+    return lookup(asked, own, ["_code"], row_hash(df)).drop("_code")
 
 
 def fragment_metrics(gold: Column, pred: Column, multiset: bool = True) -> dict[str, Column]:
@@ -215,6 +224,37 @@ def report_table(summary: DataFrame, rows: DataFrame, by: Sequence[str], metrics
     return rows.select(*by).join(wide, list(by), "left")
 
 
+def correct_answer(gold: Column, pred: Column, given: Column | None = None) -> Column:
+    """A stored verdict if there is one, else whether the answers agree apart from case and outer blanks."""
+    def plain(c: Column) -> Column:
+        return F.upper(F.trim(text_or_empty(c)))
+
+    same = plain(gold) == plain(pred)
+    return same if given is None else F.coalesce(given.cast("int") == 1, same)
+
+
+CASE_FEATURES = ("sim", "shared_atoms", "shared_bonds", "atom_gap", "bond_gap", "ring_gap", "only_left", "only_right")
+
+
+def best_cases(
+    predictions: DataFrame, features: DataFrame, k: int = 2, gate: float = 0.62, show: Sequence[str] = (), ties: Sequence[str] = ()
+) -> DataFrame:
+    """The k best correct predictions of each task, step and model by the pair's relaxed score.
+
+    ``predictions``: source_index, task, step, model, gold, pred, optionally correct; ``features``: a row per
+    source_index with :data:`CASE_FEATURES` (atom and bond gaps as ratios) and ``show``. Pairs below the gate are left
+    out, and in single steps those with other than one changed fragment a side. Equal scores go by source_index
+    and ``ties``.
+    """
+    given = F.col("correct") if "correct" in predictions.columns else None
+    right = predictions.filter(correct_answer(F.col("gold"), F.col("pred"), given))
+    d = attach_source_row(right, features, [*CASE_FEATURES, *show]).filter(F.col("sim") >= gate)
+    one_each = (F.size(fragments("only_left")) == 1) & (F.size(fragments("only_right")) == 1)
+    d = d.filter((F.col("step") != "single_step") | one_each)
+    d = d.withColumn("score", relaxed_score(*[F.col(c) for c in CASE_FEATURES[:6]]))
+    return top_per_group(d, ["task", "step", "model"], [F.desc("score"), F.col("source_index"), *[F.col(c) for c in ties]], k)
+
+
 def flatten(df: DataFrame, nested: Mapping[str, Sequence[str]]) -> DataFrame:
     """Struct fields as ``<struct>_<field>`` columns."""
     cols = [c for c in df.columns if c not in nested]

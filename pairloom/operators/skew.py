@@ -12,6 +12,12 @@ from pairloom.session import cut
 BROADCAST_KEYS = 200_000  # hot keys are broadcast only if counted to be at most this many
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A salt from all plain columns of a table, for joins whose rows have no id of their own."""
+    plain = [c for c, t in df.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
+    return F.xxhash64(*[F.col(c) for c in plain]) if plain else F.lit(0)
+
+
 def grid_join(
     left: DataFrame,
     right: DataFrame,

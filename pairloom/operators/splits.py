@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from pairloom.operators.joins import move_flagged
 from pairloom.operators.ordering import attach, hash_rank, ordered_index, running_total
+from pairloom.operators.skew import lookup, row_hash
 from pairloom.session import cut
 
 # task functions travel with their code, so executors need no copy of the package
@@ -40,8 +41,8 @@ def random_split(df: DataFrame, key: str, train: float = 0.8, valid: float = 0.1
 
 def random_group_split(df: DataFrame, group: str, train: float = 0.8, valid: float = 0.1, seed: int = 0) -> DataFrame:
     """Whole groups; the cut is on the number of groups."""
-    groups = random_split(df.select(group).distinct(), group, train, valid, seed)
-    return attach(df, groups, [group])
+    groups = cut(random_split(df.select(group).distinct(), group, train, valid, seed))
+    return lookup(df, groups, [group], row_hash(df), "inner", null_safe=True)
 
 
 def stratified_split(
@@ -202,7 +203,7 @@ def group_greedy_split(
     else:
         totals = df.agg(F.count(F.lit(1)).alias("n"))
     groups = fill_by_size(_group_table(df, by, group, key), totals, by, [F.desc("first")], train, valid)
-    return attach(df.filter(F.col(group).isNotNull()), groups.drop("size", "first"), [*by, group])
+    return lookup(df.filter(F.col(group).isNotNull()), cut(groups.drop("size", "first")), [*by, group], F.col(key), "inner", null_safe=True)
 
 
 def small_groups_to_test(df: DataFrame, by: Sequence[str], group: str, key: str, limit: Column, totals: DataFrame) -> DataFrame:
@@ -214,7 +215,7 @@ def small_groups_to_test(df: DataFrame, by: Sequence[str], group: str, key: str,
     g = attach(g, totals, by) if by else g.crossJoin(F.broadcast(totals))  # one row
     g = g.withColumn("split", F.when(F.col("below") + F.col("size") <= limit, "test").otherwise("train"))
     keep = [*by, group, "split"]
-    return attach(df.filter(F.col(group).isNotNull()), g.select(*keep), [*by, group])
+    return lookup(df.filter(F.col(group).isNotNull()), cut(g.select(*keep)), [*by, group], F.col(key), "inner", null_safe=True)
 
 
 def group_test_first_split(df: DataFrame, by: Sequence[str], group: str, key: str, test: float = 0.2) -> DataFrame:
@@ -277,7 +278,7 @@ def gap_fill_split(df: DataFrame, cluster: str, key: str, train: float = 0.8, va
     takers = F.element_at("takers", at)
     own = F.element_at(takers, ((F.col("_r") - F.element_at("from_rank", at)) % F.size(takers) + 1).cast("int"))
     split = F.element_at(F.array(F.lit("train"), F.lit("valid"), F.lit("test")), own + 1)
-    return df.join(ranked.select(cluster, split.alias("split")), cluster)
+    return lookup(df, cut(ranked.select(cluster, split.alias("split"))), [cluster], F.col(key), "inner")
 
 
 # --- clusters by similarity -----------------------------------------------------------------------
@@ -375,21 +376,22 @@ def endpoint_split(
     d = df.filter(F.trim(F.coalesce(text, F.lit(""))) != "")
     sizes = cut(d.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
     small = sizes.filter(F.col("n") <= unseen_threshold)
-    unseen = attach(d, small, by).drop("n").withColumns(
+    unseen = lookup(d, small, by, F.col(key), "inner", null_safe=True).drop("n").withColumns(
         {"split_type": F.lit("unseen_endpoint_test"), "split": F.lit("test")}
     )
     large = sizes.filter(F.col("n") > unseen_threshold).withColumn(
         "n_test",
         F.least(F.greatest(F.lit(min_test), F.bround(F.lit(0.1) * F.col("n"))), F.col("n") - 1),
     )
-    rows = attach(d, large, by).drop("n", "n_test")
+    rows = lookup(d, large, by, F.col(key), "inner", null_safe=True).drop("n", "n_test")
     filled = cut(small_groups_to_test(rows, by, group, key, F.col("n_test") / F.col("n") * F.col("n"), large))
     counts = filled.groupBy(*by).agg(
         F.count_if(F.col("split") == "test").alias("_nt"), F.count_if(F.col("split") == "train").alias("_na")
     )
     need = F.lit(min_test) - F.col("_nt")
     short = counts.withColumn("_need", F.when((need > 0) & (F.col("_na") > need), need).otherwise(0)).select(*by, "_need")
-    train = attach(hash_rank(filled.filter("split = 'train'"), seed, F.col(key), by, "_i"), short, by)
+    train = hash_rank(filled.filter("split = 'train'"), seed, F.col(key), by, "_i")
+    train = lookup(train, cut(short), by, F.col(key), "inner", null_safe=True)
     train = train.withColumn("split", F.when(F.col("_i") < F.col("_need"), "test").otherwise("train"))
     both = train.drop("_i", "_i_n", "_need").unionByName(filled.filter("split = 'test'"))
     return both.withColumn("split_type", F.lit("train_test")).unionByName(unseen)

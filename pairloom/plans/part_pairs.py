@@ -89,3 +89,38 @@ part_pairs AS (
     list_distinct(a.words) AS l_all, list_distinct(b.words) AS r_all,
     a.cc AS l_c, b.cc AS r_c, a.bb AS l_b, b.bb AS r_b
   FROM part_entities a JOIN part_entities b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 2 = 0)"""
+
+
+def case_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Part pairs as cases: letters as features, words of the name as fragments."""
+    p = part_pairs(spark, sf)
+    letters = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: F.trim(x) != ""))
+    d = p.select(
+        F.col("pair_id").alias("source_index"),
+        letters("left_p_name").alias("x"),
+        letters("right_p_name").alias("y"),
+        F.split("left_p_name", " ").alias("lw"),
+        F.split("right_p_name", " ").alias("rw"),
+        F.col("left_p_size").alias("l_size"),
+        F.col("right_p_size").alias("r_size"),
+    )
+    common = F.size(F.array_intersect("x", "y"))
+    d = d.withColumns({"n_x": F.size("x"), "n_y": F.size("y"), "n_common": common})
+    left, right = F.array_except("lw", "rw"), F.array_except("rw", "lw")
+    return d.select(
+        "source_index", "n_x", "n_y", "n_common", "l_size", "r_size",
+        (F.col("n_common") / (F.col("n_x") + F.col("n_y") - F.col("n_common"))).alias("sim"),
+        F.array_join(left, ".").alias("only_left"),
+        F.array_join(right, ".").alias("only_right"),
+        F.size(left).alias("n_left"),
+        F.size(right).alias("n_right"),
+    )
+
+
+SQL_CASE_PAIRS = f"""{SQL_PART_PAIRS}, letters AS (SELECT pair_id AS source_index, l_size, r_size,
+    list_distinct(list_filter(string_split(l_name, ''), lambda c: trim(c) <> '')) AS x, list_distinct(list_filter(string_split(r_name, ''), lambda c: trim(c) <> '')) AS y,
+    string_split(l_name, ' ') AS lw, string_split(r_name, ' ') AS rw FROM part_pairs),
+common AS (SELECT *, len(list_intersect(x, y)) AS n_common, list_distinct(list_filter(lw, lambda w: NOT list_contains(rw, w))) AS ol,
+    list_distinct(list_filter(rw, lambda w: NOT list_contains(lw, w))) AS orr FROM letters),
+case_pairs AS (SELECT source_index, l_size, r_size, x, y, n_common, n_common / (len(x) + len(y) - n_common) AS sim,
+    array_to_string(ol, '.') AS only_left, array_to_string(orr, '.') AS only_right, len(ol) AS n_left, len(orr) AS n_right FROM common)"""

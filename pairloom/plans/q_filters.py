@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairloom.functions.sets import fragments, tanimoto, words
+from pairloom.functions.sets import fragments, words
 from pairloom.functions.strings import plain_placeholders
 from pairloom.operators import filters as P
 from pairloom.operators.setops import compare_fragments
@@ -18,6 +18,7 @@ from pairloom.plans.frames import (
     trades,
     turns,
 )
+from pairloom.plans.part_pairs import SQL_CASE_PAIRS, case_pairs
 from pairloom.plans.registry import query, table
 
 # words joined by dots stand in for a fragment code; both engines see the same text
@@ -221,29 +222,25 @@ def p12(spark, sf):
 
 @query(
     "P13_case_study_gate",
-    f"""WITH {SQL_CODES}, g AS (SELECT source_index, n_only_left AS only_left_count, n_only_right AS only_right_count,
-        length(only_left) AS only_left_size, length(only_right) AS only_right_size,
-        n_common / (len(a) + len(b) - n_common) AS sim FROM cmp WHERE len(a) + len(b) > 0)
-    SELECT source_index, CAST(only_left_size AS INTEGER) AS only_left_size, round(sim, 6) AS sim FROM g
-    WHERE sim BETWEEN 0.0 AND 0.9 AND only_left_size BETWEEN 1 AND 200 AND only_right_size BETWEEN 1 AND 400
-      AND only_left_count <= 12 AND only_right_count <= 40""",
+    f"""WITH {SQL_CASE_PAIRS} SELECT source_index, only_left, only_right, round(sim, 6) AS sim FROM case_pairs
+    WHERE sim BETWEEN 0.70 AND 0.90 AND n_left = 1 AND n_right = 1 AND length(only_left) BETWEEN 4 AND 20 AND length(only_right) BETWEEN 4 AND 20
+      AND l_size <= 40 AND r_size <= 40""",
 )
 def p13(spark, sf):
-    """The gates' numbers are parameters; the counts enter as caps because turns differ in many words."""
-    c = compared(spark, sf).withColumn("sim", tanimoto(words(F.col("left_repr")), words(F.col("right_repr"))))
-    sized = c.withColumns(
-        {
-            "only_left_size": F.length("only_left"),
-            "only_right_size": F.length("only_right"),
-            "only_left_count": F.lit(1),
-            "only_right_count": F.lit(1),
-        }
-    )
+    c = case_pairs(spark, sf)
     gated = P.case_study_gate(
-        sized, F.col("sim"), (1, 400), (0.0, 0.9),
-        {"only_left_size": 200, "n_only_left": 12, "n_only_right": 40},
+        c.withColumns(
+            {
+                "only_left_count": F.col("n_left"),
+                "only_right_count": F.col("n_right"),
+                "only_left_size": F.length("only_left"),
+                "only_right_size": F.length("only_right"),
+            }
+        ),
+        F.col("sim"),
+        caps={"l_size": 40, "r_size": 40},
     )
-    return gated.select("source_index", "only_left_size", F.round("sim", 6).alias("sim"))
+    return gated.select("source_index", "only_left", "only_right", F.round("sim", 6).alias("sim"))
 
 
 @query(

@@ -12,11 +12,9 @@ from pairloom.functions.parsing import json_field
 from pairloom.functions.sets import shingles, words
 from pairloom.operators import features as E
 from pairloom.operators import metrics as M
-from pairloom.operators import ranking as W
 from pairloom.operators.aggregates import reason_histogram
-from pairloom.operators.joins import attach_source_row
 from pairloom.plans.frames import SQL_FRAGMENTS, SQL_TURNS, SQL_WORDS, turns
-from pairloom.plans.q_filters import SQL_CODES, compared
+from pairloom.plans.part_pairs import SQL_CASE_PAIRS, case_pairs
 from pairloom.plans.q_functions import SQL_PRF, SQL_TOKENS, sql_char_precision
 from pairloom.plans.registry import query, table
 
@@ -236,66 +234,78 @@ def m10(spark, sf):
     return r.select("task", "step", "model", *[F.round(c, 4).alias(c) for c in shown])
 
 
-SQL_BEST = f"""{SQL_CODES}, ft AS (SELECT source_index, dataset_name, endpoint, n_common / (len(a) + len(b) - n_common) AS sim, n_common / greatest(len(a), len(b), 1) AS shared,
-  abs(len(a) - len(b)) AS gap, abs(len(a) - len(b)) / greatest(len(a), len(b), 1) AS gap_ratio, n_only_left, n_only_right, length(only_left) AS left_size FROM cmp WHERE len(a) + len(b) > 0),
-sc AS (SELECT *, 0.55 * sim + 0.30 * shared + 0.15 * shared - 0.12 * gap_ratio - 0.06 * gap_ratio - 0.03 * (gap % 3) AS score FROM ft WHERE sim >= 0.05 AND source_index % 4 <> 1)"""
-
-
-def features_of_turns(spark, sf):
-    c = compared(spark, sf)
-    na, nb = F.col("n_common") + F.col("n_only_left"), F.col("n_common") + F.col("n_only_right")
-    longest = F.greatest(na, nb, F.lit(1))
-    gap = F.abs(na - nb)
-    return c.filter(na + nb > 0).select(
-        "source_index",
-        "dataset_name",
-        "endpoint",
-        (F.col("n_common") / (na + nb - F.col("n_common"))).alias("sim"),
-        (F.col("n_common") / longest).alias("shared"),
-        gap.alias("gap"),
-        (gap / longest).alias("gap_ratio"),
-        "n_only_left",
-        "n_only_right",
-        F.length("only_left").alias("left_size"),
+# --- best cases: pairs of parts, with the answers of their order lines --------------------------------
+
+SQL_CASES = f"""{SQL_CASE_PAIRS}, answers AS (SELECT l_orderkey, l_linenumber, l_partkey - l_partkey % 2 AS source_index, l_linestatus AS task,
+    CASE WHEN l_quantity < 25 THEN 'single_step' ELSE 'multi_step' END AS step, 'm' || l_linenumber AS model, l_returnflag AS gold, substr(p_name, 1, 1) AS pred
+  FROM lineitem JOIN part ON p_partkey = l_partkey),
+sc AS (SELECT a.*, c.*, 0.55 * sim + 0.30 * n_common / greatest(len(x), len(y)) + 0.15 * n_common / (len(x) + len(y)) - 0.12 * abs(len(x) - len(y)) / greatest(len(x), len(y))
+    - 0.06 * abs(l_size - r_size) / greatest(l_size, r_size) - 0.03 * abs(n_left - n_right) AS score
+  FROM answers a JOIN case_pairs c USING (source_index)
+  WHERE upper(trim(gold)) = upper(trim(pred)) AND sim >= 0.62 AND (step <> 'single_step' OR (n_left = 1 AND n_right = 1))),
+best AS (SELECT *, row_number() OVER (PARTITION BY task, step, model ORDER BY score DESC, source_index, l_orderkey, l_linenumber) AS rank FROM sc)"""
+
+
+def case_answers(spark, sf):
+    """Each order line answers for its part's pair: gold is its flag, the prediction the part's initial."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.substring("p_name", 1, 1).alias("pred"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_linestatus", "l_returnflag")
+    return li.join(part, "l_partkey").select(
+        "l_orderkey",
+        "l_linenumber",
+        (F.col("l_partkey") - F.col("l_partkey") % 2).alias("source_index"),
+        F.col("l_linestatus").alias("task"),
+        F.when(F.col("l_quantity") < 25, "single_step").otherwise("multi_step").alias("step"),
+        F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("model"),
+        F.col("l_returnflag").alias("gold"),
+        "pred",
     )
 
 
-def best_cases(spark, sf):
-    preds = turns(spark, sf).select(
-        "source_index", (F.col("source_index") % 4 != 1).cast("int").alias("correct")
-    )
-    d = attach_source_row(
-        preds.filter("correct = 1"),
-        features_of_turns(spark, sf),
-        ["dataset_name", "endpoint", "sim", "shared", "gap", "gap_ratio", "n_only_left", "n_only_right", "left_size"],
+def cases(spark, sf):
+    c = case_pairs(spark, sf)
+    longest = F.greatest("n_x", "n_y")
+    features = c.select(
+        "source_index",
+        "sim",
+        (F.col("n_common") / longest).alias("shared_atoms"),
+        (F.col("n_common") / (F.col("n_x") + F.col("n_y"))).alias("shared_bonds"),
+        (F.abs(F.col("n_x") - F.col("n_y")) / longest).alias("atom_gap"),
+        (F.abs(F.col("l_size") - F.col("r_size")) / F.greatest("l_size", "r_size")).alias("bond_gap"),
+        F.abs(F.col("n_left") - F.col("n_right")).alias("ring_gap"),
+        "only_left",
+        "only_right",
+        "n_left",
+        "n_right",
+        "n_common",
     )
-    s = W.relaxed_score(F.col("sim"), F.col("shared"), F.col("shared"), F.col("gap_ratio"), F.col("gap_ratio"), F.col("gap") % 3)
-    gated = d.filter(F.col("sim") >= 0.05).withColumn("score", s)  # the gate (0.62 for fingerprints) is a parameter
-    return W.top_per_group(gated, ["dataset_name", "endpoint"], [F.desc("score"), F.col("source_index")], 2)
+    return M.best_cases(case_answers(spark, sf), features, 2, show=["n_left", "n_right", "n_common"], ties=["l_orderkey", "l_linenumber"])
 
 
 @query(
     "M11_best_cases",
-    f"""WITH {SQL_BEST} SELECT dataset_name, endpoint, source_index, CAST(rank AS INTEGER) AS rank, round(score, 6)::DOUBLE AS score FROM (
-      SELECT *, row_number() OVER (PARTITION BY dataset_name, endpoint ORDER BY score DESC, source_index) AS rank FROM sc) WHERE rank <= 2""",
+    f"""WITH {SQL_CASES} SELECT task, step, model, source_index, l_orderkey, CAST(rank AS INTEGER) AS rank, round(score, 6)::DOUBLE AS score FROM best WHERE rank <= 2""",
 )
 def m11(spark, sf):
-    return best_cases(spark, sf).select("dataset_name", "endpoint", "source_index", "rank", F.round("score", 6).alias("score"))
+    return cases(spark, sf).select("task", "step", "model", "source_index", "l_orderkey", "rank", F.round("score", 6).alias("score"))
 
 
 @query(
     "M12_augmented_cases",
-    f"""WITH {SQL_BEST} SELECT source_index, CAST(n_only_left AS INTEGER) AS counts_left, CAST(n_only_right AS INTEGER) AS counts_right, CAST(left_size AS INTEGER) AS counts_left_size, round(sim, 6) AS features_sim, CAST(gap AS INTEGER) AS features_gap FROM (
-      SELECT *, row_number() OVER (PARTITION BY dataset_name, endpoint ORDER BY score DESC, source_index) AS rank FROM sc) WHERE rank <= 2""",
+    f"""WITH {SQL_CASES} SELECT task, step, model, source_index, CAST(n_left AS INTEGER) AS counts_left, CAST(n_right AS INTEGER) AS counts_right,
+      CAST(length(only_left) AS INTEGER) AS counts_left_size, round(sim, 6) AS features_sim, CAST(n_common AS INTEGER) AS features_common FROM best WHERE rank <= 2""",
 )
 def m12(spark, sf):
     """Nested case records flattened to a wide table."""
-    d = best_cases(spark, sf).select(
+    d = cases(spark, sf).select(
+        "task",
+        "step",
+        "model",
         "source_index",
-        F.struct(F.col("n_only_left").alias("left"), F.col("n_only_right").alias("right"), F.col("left_size")).alias("counts"),
-        F.struct(F.round("sim", 6).alias("sim"), "gap").alias("features"),
+        F.struct(F.col("n_left").alias("left"), F.col("n_right").alias("right"), F.length("only_left").alias("left_size")).alias("counts"),
+        F.struct(F.round("sim", 6).alias("sim"), F.col("n_common").alias("common")).alias("features"),
     )
-    return M.flatten(d, {"counts": ["left", "right", "left_size"], "features": ["sim", "gap"]})
+    return M.flatten(d, {"counts": ["left", "right", "left_size"], "features": ["sim", "common"]})
 
 
 # --- the encode-once job ----------------------------------------------------------------------

@@ -108,7 +108,7 @@ def test_edit_join_equals_brute_force(spark):
 
 def test_few_grams_pass_the_filter(spark):
     r = random.Random(8)
-    text = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(30, 120)))
+    text = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(30, 120)))
     left = [(i, "e", text()) for i in range(60)]
     right = [(100 + i, "e", text()) for i in range(600)] + [(900 + i, "e", s[:-1] + "x") for i, _, s in left]
     make = lambda rows: S.distinct_strings(spark.createDataFrame(rows, "id long, ep string, s string"), ["ep"], "id", "s")
