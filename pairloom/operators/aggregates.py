@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators.ordering import attach, exact_quantiles
+from pairloom.operators.ordering import attach, exact_quantiles, ordered_index
 from pairloom.operators.ranking import top_per_group
+from pairloom.operators.skew import lookup
+from pairloom.session import cut
 
 TOTAL = "total"
 
@@ -42,11 +44,18 @@ def condition_counts(
     return rolled.withColumns(names).drop("_g")
 
 
-def threshold_table(pairs: DataFrame, block: str, twentieths: Sequence[int], tag: str) -> DataFrame:
-    """Pairs at or above each threshold (in twentieths) as columns, per block and in total."""
+def threshold_table(
+    pairs: DataFrame, block: str, twentieths: Sequence[int], tags: Mapping[str, Column]
+) -> DataFrame:
+    """Pairs at or above each threshold (in twentieths) as columns, per block and in total.
+
+    ``tags``: column prefix -> which pairs count there, so several measures of one pair table stand side by side.
+    """
     w, i, u = F.col("n_pairs"), F.col("n_common"), F.col("n_union")
     cols = [
-        F.sum(F.when(i * 20 >= u * t, w).otherwise(0)).alias(f"{tag}_{t * 5:03d}") for t in twentieths
+        F.sum(F.when(which & (i * 20 >= u * t), w).otherwise(0)).alias(f"{tag}_{t * 5:03d}")
+        for tag, which in tags.items()
+        for t in twentieths
     ]
     rolled = pairs.rollup(block).agg(*cols, F.grouping_id().alias("_g"))
     return rolled.withColumn(block, F.when(F.col("_g") > 0, TOTAL).otherwise(F.col(block))).drop("_g")
@@ -310,11 +319,42 @@ def feature_counts(df: DataFrame, key: str, counts: str) -> DataFrame:
     return df.select(key, F.explode(counts).alias("name", "n"))
 
 
-def feature_matrix(df: DataFrame, entity: str, counts: str, names: Sequence[str]) -> DataFrame:
-    """One column per name of a bounded vocabulary, 0 where absent."""
-    return df.select(
-        entity, *[F.coalesce(F.try_element_at(counts, F.lit(n)), F.lit(0)).alias(n) for n in sorted(names)]
-    )
+def vocabulary(df: DataFrame, counts: str) -> DataFrame:
+    """name, idx: every name of a name -> count map, numbered from 0 in alphabetical order."""
+    names = df.select(F.explode(F.map_keys(counts)).alias("name")).distinct()
+    return ordered_index(names, [F.col("name")], name="idx").select("name", "idx")
+
+
+def sparse_matrix(df: DataFrame, key: str, counts: str, words: DataFrame) -> DataFrame:
+    """key, indices, counts, n_names: each row's names as positions in the vocabulary; n_names is its length."""
+    long = df.select(key, F.explode_outer(counts).alias("name", "n"))
+    placed = lookup(long, words, ["name"], F.col(key))
+    size = words.agg(F.count(F.lit(1)).alias("n_names"))
+    pairs = F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "n"))))  # one row's names
+    d = placed.groupBy(key).agg(pairs.alias("_p")).crossJoin(F.broadcast(size))  # one row
+    return d.select(key, F.col("_p.idx").alias("indices"), F.col("_p.n").alias("counts"), "n_names")
+
+
+def dense_rows(matrix: DataFrame, key: str) -> DataFrame:
+    """key, vector: counts over the whole vocabulary, 0 where absent."""
+    by_index = F.map_from_arrays("indices", "counts")
+    zero = F.lit(0).cast(matrix.schema["counts"].dataType.elementType)
+    value = lambda i: F.coalesce(F.try_element_at("_m", i), zero)
+    all_of = F.when(F.col("n_names") > 0, F.sequence(F.lit(0).cast("long"), F.col("n_names") - 1)).otherwise(F.array().cast("array<bigint>"))
+    return matrix.withColumn("_m", by_index).select(key, F.transform(all_of, value).alias("vector"))
+
+
+def wide_groups(matrix: DataFrame, key: str, words: DataFrame, width: int = 1000) -> Iterator[DataFrame]:
+    """The matrix with one column a name, in tables of at most ``width`` columns that share the key.
+
+    Only a table's own column names come to the driver, one table at a time.
+    """
+    total = words.count()
+    by_index = F.map_from_arrays("indices", "counts")
+    for start in range(0, total, width):
+        own = words.filter((F.col("idx") >= start) & (F.col("idx") < start + width)).orderBy("idx").collect()
+        columns = [F.coalesce(F.try_element_at("_m", F.lit(r.idx)), F.lit(0)).alias(r.name) for r in own]
+        yield matrix.withColumn("_m", by_index).select(key, *columns)
 
 
 def density_histogram(df: DataFrame, value: str, by: str, bins: int = 40) -> DataFrame:
@@ -323,7 +363,8 @@ def density_histogram(df: DataFrame, value: str, by: str, bins: int = 40) -> Dat
     stats = df.filter(x.isNotNull()).groupBy(by).agg(
         F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean"), F.count(x).alias("n_total")
     )
-    d = attach(df.filter(x.isNotNull()).select(by, value), stats, [by])
+    # the counted table of groups goes to the rows, and rows are counted where they are before anything is moved
+    d = lookup(df.filter(x.isNotNull()).select(by, value), cut(stats), [by], x, "inner", null_safe=True)
     width = (F.col("hi") - F.col("lo")) / bins
     index = F.when(width == 0, 0).otherwise(F.least(F.floor((x - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
     counted = d.groupBy(by, index.alias("bin")).agg(

@@ -29,12 +29,13 @@ from pairloom.operators.rowdiff import (
 VARIANTS = ("only_text", "only_code", "both_repre")
 
 
-def render(template: str) -> Column:
-    """``{name}`` slots are filled with columns; NULL becomes an empty string."""
+def render(template: str, slots: Mapping[str, Column] | None = None) -> Column:
+    """``{name}`` slots are filled with ``slots`` or the columns of that name; NULL becomes an empty string."""
     parts = []
     for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
         if i % 2:
-            parts.append(F.coalesce(F.col(piece).cast("string"), F.lit("")))
+            value = (slots or {}).get(piece, F.col(piece))
+            parts.append(F.coalesce(value.cast("string"), F.lit("")))
         elif piece:
             parts.append(F.lit(piece))
     return F.concat(*parts)
@@ -98,32 +99,30 @@ def instruction(removed: Column, added: Column, step: Column) -> Column:
     return F.concat(several, removed, F.lit("' for '"), added, F.lit("'."))
 
 
-def task_table(df: DataFrame, task: Task) -> DataFrame:
-    """id-less records of one task: question, answer (JSON), dataset_name, endpoint, source_index, step.
-
-    ``df``: context, shown, the task's columns, dataset_name, endpoint, source_index, repre. Rows
-    lacking both dataset and endpoint are left out.
-    """
-    d = drop_unplaced(df).withColumn("step", step_of_fragments(*[F.col(c) for c in task.step_from]))
-    if "{instruction}" in task.question:
-        d = d.withColumn("instruction", instruction(F.col("only_left"), F.col("only_right"), F.col("step")))
+def _record(task: Task) -> Column:
+    """step, question and answer (JSON) of one task as a struct of the row's columns."""
+    step = step_of_fragments(*[F.col(c) for c in task.step_from])
+    slots = {"instruction": instruction(F.col("only_left"), F.col("only_right"), step)}
     answer = F.to_json(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(f) for f, c in task.answer.items()]))
-    return d.select(
-        F.lit(task.name).alias("task"),
-        "repre",
-        "step",
-        render(task.question).alias("question"),
-        answer.alias("answer"),
-        "dataset_name",
-        "endpoint",
-        "source_index",
+    return F.struct(
+        F.lit(task.name).alias("task"), step.alias("step"), render(task.question, slots).alias("question"), answer.alias("answer")
     )
 
 
+def task_records(df: DataFrame, tasks: Sequence[Task] = TASKS) -> DataFrame:
+    """id-less records of all tasks, fanned out of one pass over the rows.
+
+    ``df``: context, shown, the tasks' columns, dataset_name, endpoint, source_index, repre. Rows
+    lacking both dataset and endpoint are left out. Gives task, repre, step, question, answer, dataset_name,
+    endpoint, source_index.
+    """
+    d = drop_unplaced(df).withColumn("_task", F.explode(F.array(*[_record(t) for t in tasks])))
+    return d.select("_task.task", "repre", "_task.step", "_task.question", "_task.answer", "dataset_name", "endpoint", "source_index")
+
+
 def task_tables(df: DataFrame, seed: int, tasks: Sequence[Task] = TASKS) -> DataFrame:
     """All tasks with ids 0..n-1 per (task, representation, step) in a seeded order."""
-    records = reduce(lambda a, b: a.unionByName(b), [task_table(df, t) for t in tasks])
-    return shuffled_ids(records, seed, F.col("source_index"), ["task", "repre", "step"])
+    return shuffled_ids(task_records(df, tasks), seed, F.col("source_index"), ["task", "repre", "step"])
 
 
 def code_tables(df: DataFrame, split: str | None = None) -> DataFrame:
@@ -226,54 +225,43 @@ def _listed(side: str, names: Column) -> Column:
     return F.array_join(F.transform(_placed(side, names), one), "; ")
 
 
-def fg_task(df: DataFrame, kind: str) -> DataFrame:
-    """``question`` and JSON ``answer`` of one of the five feature-name kinds."""
-    d = named_differences(df).filter(F.size("left_names") > 0)
+def fg_records() -> dict[str, tuple[Column, Column, Column]]:
+    """kind -> (condition, question, JSON answer) of the feature-name kinds, over :func:`named_differences` columns."""
     left, right = F.col("left_names"), F.col("right_names")
     shown = F.array_join(F.sort_array(F.array_distinct(F.concat(F.map_keys("left_fg_full"), F.map_keys("right_fg_full")))), ", ")
     head = F.concat(F.lit("Pair: "), "left_repr", F.lit(" | "), "right_repr", F.lit("\nNames: "), shown)
-    if kind == "identify":
-        answer = F.to_json(F.struct(left.alias("answer")))
-    elif kind == "localise":
-        answer = F.to_json(F.struct(_positions("left", left).alias("sites")))
-    elif kind == "plan":
-        answer = F.to_json(F.struct(_placed("left", left).alias("out"), _placed("right", right).alias("in"), _edits(left, right).alias("edits")))
-    elif kind == "repair":
-        answer = F.to_json(F.struct(F.col("right_repr").alias("target"), _edits(left, right).alias("edits")))
-    elif kind == "remove_add":
-        # both sides need something to name; the right side falls back to moved names, then the left's
-        d = d.withColumn(
-            "right_names",
-            F.coalesce(F.when(F.size("right_names") > 0, F.col("right_names")), F.when(F.size("moved") > 0, F.col("moved")), F.col("left_names")),
-        ).filter(F.size("right_names") > 0)
-        head = F.concat(head, F.lit("\nOut: "), _listed("left", left), F.lit("\nIn: "), _listed("right", right))
-        answer = F.to_json(F.struct(F.col("right_repr").alias("target")))
-    else:
-        raise ValueError(f"unknown kind {kind}")
-    return d.withColumn("question", head).withColumn("answer", answer)
-
-
-def stereo_task(df: DataFrame, kind: str) -> DataFrame:
-    """``question`` and JSON ``answer`` of one of the five stereo kinds."""
+    named = F.size(left) > 0
+    # both sides need something to name; the right side falls back to moved names, then the left's
+    some = F.coalesce(F.when(F.size(right) > 0, right), F.when(F.size("moved") > 0, F.col("moved")), left)
+    exchange = F.concat(head, F.lit("\nOut: "), _listed("left", left), F.lit("\nIn: "), _listed("right", some))
+    plan = F.struct(_placed("left", left).alias("out"), _placed("right", right).alias("in"), _edits(left, right).alias("edits"))
+    target = F.col("right_repr").alias("target")
+    return {
+        "identify": (named, head, F.to_json(F.struct(left.alias("answer")))),
+        "localise": (named, head, F.to_json(F.struct(_positions("left", left).alias("sites")))),
+        "plan": (named, head, F.to_json(plan)),
+        "repair": (named, head, F.to_json(F.struct(target, _edits(left, right).alias("edits")))),
+        "remove_add": (named & (F.size(some) > 0), exchange, F.to_json(F.struct(target))),
+    }
+
+
+def stereo_records() -> dict[str, tuple[Column, Column, Column]]:
+    """kind -> (condition, question, JSON answer) of the stereo kinds, over :func:`plan_records` columns."""
     size = F.lit(0)
     for side in ("left", "right"):
         size = size + F.size(f"{side}_chiral_centers") + F.size(f"{side}_ez_bonds")
     head = F.concat(F.lit("Pair: "), "left_repr", F.lit(" | "), "right_repr")
-    if kind == "identify":
-        d = df.withColumn("_u", unique_stereo("left", "right")).withColumn("_o", unique_stereo("right", "left"))
-        d = d.withColumn("_u", F.when(F.size("_u") > 0, F.col("_u")).otherwise(F.col("_o"))).filter(F.size("_u") > 0)
-        return d.withColumn("question", head).withColumn("answer", F.to_json(F.struct(F.col("_u").alias("answer")))).drop("_u", "_o")
-    d = df.filter(size > 0)
-    if kind == "localise":
-        return d.withColumn("question", head).withColumn("answer", F.to_json(F.struct(site_list().alias("sites"))))
-    if kind == "plan":
-        d = plan_records(d)
-        return d.withColumn("question", head).withColumn("answer", F.to_json(F.struct("removed", "added", "strategy")))
-    if kind in ("repair", "remove_add"):
-        wish = "Differences:" if kind == "repair" else "Edits to make:"
-        question = F.concat(head, F.lit(f"\n{wish}\n"), plan_text())
-        return d.withColumn("question", question).withColumn("answer", F.to_json(F.struct(F.col("right_repr").alias("target"))))
-    raise ValueError(f"unknown kind {kind}")
+    own, other = unique_stereo("left", "right"), unique_stereo("right", "left")
+    shown = F.when(F.size(own) > 0, own).otherwise(other)
+    target = F.to_json(F.struct(F.col("right_repr").alias("target")))
+    out = {
+        "identify": (F.size(shown) > 0, head, F.to_json(F.struct(shown.alias("answer")))),
+        "localise": (size > 0, head, F.to_json(F.struct(site_list().alias("sites")))),
+        "plan": (size > 0, head, F.to_json(F.struct("removed", "added", "strategy"))),
+    }
+    for kind, wish in (("repair", "Differences:"), ("remove_add", "Edits to make:")):
+        out[kind] = (size > 0, F.concat(head, F.lit(f"\n{wish}\n"), plan_text()), target)
+    return out
 
 
 KINDS = ("identify", "localise", "plan", "repair", "remove_add")
@@ -282,27 +270,28 @@ STEPS = ("one_step", "multi_step")
 REGISTRY = tuple((style, kind, step) for style in ("only_fg", "only_stereo") for kind in KINDS for step in STEPS)
 
 
+def _fanned(typed: DataFrame, wanted: Sequence[tuple[str, str]], key: str) -> DataFrame:
+    """Records of (style, kind) tasks, all from one pass over the typed pair table."""
+    d = plan_records(named_differences(typed.filter(F.col("diff_type").isin(*{style for style, _ in wanted}))))
+    makers = {"only_fg": fg_records(), "only_stereo": stereo_records()}
+    records = []
+    for style, kind in wanted:
+        applies, question, answer = makers[style][kind]
+        record = F.struct(F.lit(style).alias("style"), F.lit(kind).alias("kind"), question.alias("question"), answer.alias("answer"))
+        records.append(F.when((F.col("diff_type") == style) & applies, record))
+    d = d.withColumn("_task", F.explode(F.array(*records))).filter(F.col("_task").isNotNull())
+    name = F.concat("_task.style", F.lit("_"), "_task.kind", F.lit("_"), "step_num", F.lit("_"), F.col(key).cast("string"))
+    return d.select(
+        name.alias("qa_id"), "_task.style", "_task.kind", "step_num", "_task.question", "_task.answer", "dataset_name", "endpoint", key
+    )
+
+
 def difference_task(typed: DataFrame, style: str, kind: str, step: str | None = None, limit: int | None = None, key: str = "pair_id") -> DataFrame:
     """One registered task over the typed pair table; ``limit`` keeps the first rows by key."""
-    d = typed.filter(F.col("diff_type") == style)
-    if step:
-        d = d.filter(F.col("step_num") == step)
-    out = (fg_task if style == "only_fg" else stereo_task)(d, kind)
-    out = out.select(
-        F.concat(F.lit(f"{style}_{kind}_"), "step_num", F.lit("_"), F.col(key).cast("string")).alias("qa_id"),
-        F.lit(style).alias("style"),
-        F.lit(kind).alias("kind"),
-        "step_num",
-        "question",
-        "answer",
-        "dataset_name",
-        "endpoint",
-        key,
-    )
+    out = _fanned(typed if step is None else typed.filter(F.col("step_num") == step), [(style, kind)], key)
     return out.orderBy(key).limit(limit) if limit else out
 
 
 def difference_tasks(typed: DataFrame) -> DataFrame:
-    """All registered tasks in one table (each pair is read once per style and kind)."""
-    parts = [difference_task(typed, style, kind) for style in ("only_fg", "only_stereo") for kind in KINDS]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """All registered tasks in one table."""
+    return _fanned(typed, [(style, kind) for style in ("only_fg", "only_stereo") for kind in KINDS], "pair_id")

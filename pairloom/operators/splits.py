@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 from fractions import Fraction
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -289,7 +290,8 @@ def sphere_clusters(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
     ``sets`` from ``distinct_sets`` with ``last_id`` (largest member), ``pairs`` from
     ``similar_sets_within``. A node is decided once no undecided neighbour comes before it, so whole
-    waves of centres are found per round; each round is checkpointed. Copies count as neighbours.
+    waves of centres are found per round. A round carries only the frontier: open nodes and the edges between two
+    of them; what it decides is written once and not read again before the end. Copies count as neighbours.
     Gives first_id, centre_key, centre_degree, centre_id.
     """
     links = pairs.filter(F.col("l_id") != F.col("r_id"))
@@ -301,47 +303,41 @@ def sphere_clusters(sets: DataFrame, pairs: DataFrame) -> DataFrame:
         sets.join(degree, "first_id", "left").select(
             "first_id",
             F.struct((F.coalesce("d", F.lit(0)) + F.col("n_members") - 1).alias("degree"), F.col("last_id").alias("id")).alias("p"),
-            F.lit("open").alias("state"),
         )
     )
-    while True:  # every round decides at least one open node
-        still = nodes.filter("state = 'open'")
-        if still.isEmpty():
-            break
-        nbr = still.select(F.col("first_id").alias("b"), F.col("p").alias("q"))
-        ahead = edges.join(nbr, "b").groupBy("a").agg(F.max("q").alias("best")).withColumnRenamed("a", "first_id")
-        centres = (
-            still.join(ahead, "first_id", "left")
-            .filter(F.col("best").isNull() | (F.col("p") > F.col("best")))
-            .select("first_id", F.lit(True).alias("is_centre"))
-        )
-        covered = (
-            edges.join(centres.withColumnRenamed("first_id", "b"), "b")
-            .select(F.col("a").alias("first_id"), F.lit(True).alias("is_covered"))
-            .distinct()
-        )
-        nodes = cut(
-            nodes.join(centres, "first_id", "left")
-            .join(covered, "first_id", "left")
-            .select(
-                "first_id",
-                "p",
-                F.when(F.col("state") != "open", F.col("state"))
-                .when(F.col("is_centre"), "centre")
-                .when(F.col("is_covered"), "covered")
-                .otherwise("open")
-                .alias("state"),
-            )
-        )
-    centres = nodes.filter("state = 'centre'").select(F.col("first_id").alias("b"), F.col("p").alias("q"))
+    # every edge knows the places of both ends in the order, so a round needs no join with the nodes
+    ends = edges
+    for end in ("a", "b"):
+        ends = ends.join(nodes.select(F.col("first_id").alias(end), F.col("p").alias(f"p{end}")), end)
+    open_edges = ends = cut(ends)
+    lonely = nodes.join(edges.select(F.col("a").alias("first_id")).distinct(), "first_id", "left_anti")
+    centres = [lonely]
+    while not open_edges.isEmpty():
+        # a centre comes before all its open neighbours; every round finds at least one
+        best = open_edges.groupBy("a").agg(F.max("pb").alias("_best"), F.first("pa").alias("p"))
+        found = cut(best.filter(F.col("p") > F.col("_best")).select(F.col("a").alias("first_id"), "p"))
+        centres.append(found)
+        reached = open_edges.join(found.select(F.col("first_id").alias("b")), "b", "left_semi").select(F.col("a").alias("first_id"))
+        decided = cut(reached.unionByName(found.select("first_id")).distinct())
+        left = open_edges
+        for end in ("a", "b"):
+            left = left.join(decided.select(F.col("first_id").alias(end)), end, "left_anti")
+        left = cut(left)
+        # open nodes that lost their last open neighbour, all of whose neighbours are covered, are centres too
+        bare = open_edges.select(F.col("a").alias("first_id"), F.col("pa").alias("p")).distinct()
+        bare = bare.join(decided, "first_id", "left_anti").join(left.select(F.col("a").alias("first_id")).distinct(), "first_id", "left_anti")
+        centres.append(cut(bare))
+        open_edges = left
+    taken = reduce(lambda x, y: x.unionByName(y), centres)
+    taken = cut(taken.select("first_id", "p"))
     joined = (
-        edges.join(centres, "b")
+        ends.join(taken.select(F.col("first_id").alias("b")), "b", "left_semi")
         .groupBy("a")
-        .agg(F.max(F.struct("q", "b")).alias("c"))
+        .agg(F.max(F.struct(F.col("pb").alias("q"), "b")).alias("c"))
         .select(F.col("a").alias("first_id"), "c")
     )
-    own = nodes.filter("state = 'centre'").select("first_id", F.struct(F.col("p").alias("q"), F.col("first_id").alias("b")).alias("c"))
-    rest = nodes.filter("state = 'covered'").select("first_id").join(joined, "first_id")
+    own = taken.select("first_id", F.struct(F.col("p").alias("q"), F.col("first_id").alias("b")).alias("c"))
+    rest = joined.join(taken.select("first_id"), "first_id", "left_anti")
     return own.unionByName(rest).select(
         "first_id", F.col("c.b").alias("centre_key"), F.col("c.q.degree").alias("centre_degree"), F.col("c.q.id").alias("centre_id")
     )

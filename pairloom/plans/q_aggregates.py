@@ -18,6 +18,7 @@ from pairloom.plans.frames import (
     SQL_TRADES,
     SQL_TURNS,
     SQL_WORDS,
+    parity_docs,
     TRADE_PROPS,
     labelled,
     predictions,
@@ -35,6 +36,7 @@ from pairloom.plans.q_joins import (
     parity_sets,
 )
 from pairloom.plans.registry import query, table
+from pairloom.session import cut, together
 
 
 def rounded(df, *columns, digits=6):
@@ -128,15 +130,32 @@ def a5(spark, sf):
 _STEPS = range(10, 19)
 
 
+SQL_CASED = "list_distinct(list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))"
+SQL_TWO_MEASURES = f"""both_bits AS (SELECT lang, doc_id, CAST(doc_id % 2 AS INTEGER) AS label, 'plain' AS measure, {SQL_WORDS.format('text')} AS bits FROM documents
+  UNION ALL SELECT lang, doc_id, CAST(doc_id % 2 AS INTEGER), 'cased', {SQL_CASED} FROM documents),
+t AS (SELECT lang, measure, label, doc_id, len(bits) AS n, unnest(bits) AS tok FROM both_bits),
+o AS (SELECT a.lang, a.measure, any_value(a.n) + any_value(b.n) - count(*) AS u, count(*) AS i FROM t a JOIN t b ON a.lang = b.lang AND a.measure = b.measure AND a.tok = b.tok
+  WHERE a.label = 1 AND b.label = 0 GROUP BY a.lang, a.measure, a.doc_id, b.doc_id)"""
+
+
 @query(
     "A6_threshold_table",
-    f"""WITH {SQL_SETS} SELECT CASE WHEN GROUPING(lang) = 1 THEN 'total' ELSE lang END AS lang, {', '.join(
-        f"coalesce(sum(CASE WHEN i * 20 >= u * {t} THEN n_pairs END), 0)::BIGINT AS ge_{t * 5:03d}" for t in _STEPS)}
-    FROM sims WHERE i * 2 >= u GROUP BY ROLLUP (lang)""",
+    f"""WITH {SQL_TWO_MEASURES} SELECT CASE WHEN GROUPING(lang) = 1 THEN 'total' ELSE lang END AS lang, {', '.join(
+        f"count(*) FILTER (measure = '{m}' AND i * 20 >= u * {t}) AS {m}_{t * 5:03d}" for m in ("plain", "cased") for t in _STEPS)}
+    FROM o WHERE i * 2 >= u GROUP BY ROLLUP (lang)""",
 )
 def a6(spark, sf):
-    left, right = parity_sets(spark, sf)
-    return A.threshold_table(S.similar_sets(left, right, ["lang"], 1, 2), "lang", _STEPS, "ge")
+    """Two measures in one pass: the sets of both are blocks of one table with one token order and one candidate table."""
+    d = parity_docs(spark, sf)
+    cased = F.array_distinct(F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda x: x != ""))
+    kinds = F.array(
+        F.struct(F.lit("plain").alias("measure"), F.col("bits")), F.struct(F.lit("cased").alias("measure"), cased.alias("bits"))
+    )
+    d = d.select("lang", "label", "doc_id", F.explode(kinds).alias("_k")).select("lang", "label", "doc_id", "_k.*")
+    by = ["lang", "measure"]
+    side = lambda v: S.distinct_sets(d.filter(F.col("label") == v), by, "doc_id", "bits")
+    pairs = S.similar_sets(*together(lambda: side(1), lambda: side(0)), by, 1, 2)
+    return A.threshold_table(pairs, "lang", _STEPS, {m: F.col("measure") == m for m in ("plain", "cased")})
 
 
 @query("A7_distinct_entities", "SELECT count(DISTINCT trim(text)) AS n_entities FROM documents")
@@ -479,15 +498,18 @@ def a28_counts(spark, sf):
     return A.feature_counts(name_counts(spark, sf), "p_partkey", "counts")
 
 
-_VOCABULARY = ("economy", "promo", "bolt", "gear")
-
-
 @query(
     "A28_feature_matrix",
-    f"WITH {SQL_PART_PAIRS} SELECT p_partkey, {', '.join(f'CAST(len(list_filter(words, lambda x: x = {chr(39)}{w}{chr(39)})) AS INTEGER) AS {w}' for w in _VOCABULARY)} FROM part_entities",
+    f"""WITH {SQL_PART_PAIRS}, v AS (SELECT list(w ORDER BY w) AS names FROM (SELECT DISTINCT unnest(words) AS w FROM part_entities))
+    SELECT p_partkey, array_to_string(list_transform(names, lambda n: len(list_filter(words, lambda w: w = n))), ',') AS vector, len(names) AS n_names FROM part_entities, v""",
 )
 def a28_matrix(spark, sf):
-    return A.feature_matrix(name_counts(spark, sf), "p_partkey", "counts", _VOCABULARY)
+    """Counts over every name of the data, in alphabetical order."""
+    d = name_counts(spark, sf)
+    names = cut(A.vocabulary(d, "counts"))
+    m = cut(A.sparse_matrix(d, "p_partkey", "counts", names))
+    rows = A.dense_rows(m, "p_partkey").join(m.select("p_partkey", "n_names"), "p_partkey")
+    return rows.select("p_partkey", F.array_join(F.col("vector").cast("array<string>"), ",").alias("vector"), "n_names")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairloom.operators import simjoin as S
 from pairloom.operators import splits as X
 from pairloom.operators.ordering import ordered_index
-from pairloom.plans.frames import SQL_TRADES, parity_docs, trades
+from pairloom.plans.frames import SQL_PARITY, SQL_TRADES, parity_docs, trades
 from pairloom.plans.registry import query, table
 from pairloom.session import cut
 
@@ -154,7 +154,35 @@ def x11(spark, sf):
     return X.group_test_first_split(d, ["lang"], "grp", "doc_id").select("doc_id", "lang", "split")
 
 
-@query("X12_cluster_greedy")
+# one sweep over the sets in order: a set is a centre if no earlier centre is its neighbour
+SQL_CLUSTERS = f"""{SQL_PARITY}, sets AS (SELECT list_sort(bits) AS bits, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS m, any_value(len(bits)) AS n
+    FROM parity WHERE len(bits) > 0 GROUP BY list_sort(bits)),
+toks AS (SELECT first_id, n, m, unnest(bits) AS tok FROM sets),
+links AS (SELECT a.first_id AS a, b.first_id AS b, any_value(b.m) AS w FROM toks a JOIN toks b ON a.tok = b.tok AND a.first_id <> b.first_id
+  GROUP BY 1, 2 HAVING count(*) * 10 >= (any_value(a.n) + any_value(b.n) - count(*)) * 4),
+places AS (SELECT first_id, last_id, d, m, row_number() OVER (ORDER BY d DESC, last_id DESC) AS k FROM (
+  SELECT first_id, last_id, any_value(m) AS m, coalesce(sum(w), 0) + any_value(m) - 1 AS d FROM sets LEFT JOIN links ON a = first_id GROUP BY 1, 2)),
+near AS (SELECT o.k, list(p.k) AS ks FROM links JOIN places o ON o.first_id = links.a JOIN places p ON p.first_id = links.b GROUP BY o.k),
+sweep AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS centres UNION ALL
+  SELECT s.k + 1, CASE WHEN near.ks IS NULL OR len(list_intersect(near.ks, s.centres)) = 0 THEN list_append(s.centres, s.k + 1) ELSE s.centres END
+  FROM sweep s JOIN places o ON o.k = s.k + 1 LEFT JOIN near ON near.k = o.k),
+found AS (SELECT centres FROM sweep ORDER BY k DESC LIMIT 1),
+owners AS (SELECT p.first_id, p.m, CASE WHEN list_contains(centres, p.k) THEN p.k ELSE list_min(list_intersect(ks, centres)) END AS c
+  FROM places p LEFT JOIN near ON near.k = p.k, found),
+g AS (SELECT c, size, row_number() OVER (ORDER BY size DESC, c) AS k FROM (SELECT c, sum(m) AS size FROM owners GROUP BY c)),
+n AS (SELECT sum(m) AS n FROM sets),
+f AS (SELECT 0::BIGINT AS k, 0::HUGEINT AS a, 0::HUGEINT AS b, 0::BIGINT AS c, '' AS split UNION ALL
+  SELECT f.k + 1, a + CASE WHEN a + size <= 0.8::DOUBLE * n.n THEN size ELSE 0 END,
+    b + CASE WHEN a + size <= 0.8::DOUBLE * n.n THEN 0 WHEN a + b + size <= (0.8::DOUBLE + 0.1::DOUBLE) * n.n THEN size ELSE 0 END, g.c,
+    CASE WHEN a + size <= 0.8::DOUBLE * n.n THEN 'train' WHEN a + b + size <= (0.8::DOUBLE + 0.1::DOUBLE) * n.n THEN 'valid' ELSE 'test' END
+  FROM f JOIN g ON g.k = f.k + 1, n)"""
+
+
+@query(
+    "X12_cluster_greedy",
+    f"""WITH RECURSIVE {SQL_CLUSTERS} SELECT p.doc_id, centre.last_id AS cluster, f.split FROM parity p JOIN sets s ON s.bits = list_sort(p.bits)
+    JOIN owners o ON o.first_id = s.first_id JOIN places centre ON centre.k = o.c JOIN f ON f.c = o.c""",
+)
 def x12(spark, sf):
     d = parity_docs(spark, sf).withColumn("_all", F.lit(0))
     sets = S.distinct_sets(d, ["_all"], "doc_id", "bits")
