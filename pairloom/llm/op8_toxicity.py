@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -109,28 +110,73 @@ def pooled(x: np.ndarray, tables: list[np.ndarray], step: int = 200_000) -> tupl
     return best, where
 
 
-def train(
-    texts: list[str], labels: np.ndarray, check: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 0.08, seed: int = 7
+class Words:
+    """Texts as 32-bit word numbers, and the hashes of each word's parts."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {"": 0}
+
+    def numbers(self, text: str) -> np.ndarray:
+        index = self.index
+        found = _WORD.findall(text.lower())
+        return np.fromiter((index.setdefault(w, len(index)) for w in found), dtype=np.int32, count=len(found))
+
+    def hashes(self) -> np.ndarray:
+        every = (h for w in self.index for h in (parts(w) if w else [0] * PARTS))
+        return np.fromiter(every, dtype=np.int64, count=len(self.index) * PARTS).reshape(-1, PARTS)
+
+
+def in_order(docs: list[np.ndarray], hashes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Words numbered by their first place in ``docs``, so the numbers do not depend on the order texts came in."""
+    seen, first = np.unique(np.concatenate([np.zeros(1, np.int32), *docs]), return_index=True)
+    order = seen[np.argsort(first, kind="stable")]
+    new = np.zeros(len(hashes), dtype=np.int32)
+    new[order] = np.arange(len(order), dtype=np.int32)
+    return [new[d] for d in docs], hashes[order]
+
+
+def part_counts(docs: list[np.ndarray], hashes: np.ndarray, held: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of parts and in how many of ``docs`` they occur, merged every ``held`` hashes."""
+    keys, n, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+    for k, d in enumerate(docs):
+        waiting.append(np.unique(hashes[np.unique(d)]))
+        size += len(waiting[-1])
+        if size >= held or k == len(docs) - 1:
+            every = np.concatenate([keys, *waiting])
+            weight = np.concatenate([n, np.ones(size, np.int64)])
+            keys, at = np.unique(every, return_inverse=True)
+            n, waiting, size = np.bincount(at, weight).astype(np.int64), [], 0
+    return keys[keys != 0], n[keys != 0]
+
+
+def train(texts: Iterable[str], labels: np.ndarray, check: np.ndarray, **settings) -> tuple[Model, np.ndarray]:
+    """:func:`train_words` on texts."""
+    words = Words()
+    docs = [words.numbers(t) for t in texts]
+    return train_words(docs, words.hashes(), labels, check, **settings)
+
+
+def train_words(
+    docs: list[np.ndarray],
+    hashes: np.ndarray,
+    labels: np.ndarray,
+    check: np.ndarray,
+    epochs: int = 10,
+    batch: int = 32,
+    rate: float = 0.08,
+    seed: int = 7,
 ) -> tuple[Model, np.ndarray]:
-    """Fit on texts; rows with ``check`` set are kept for early stopping. Returns the model and those rows' scores."""
+    """Fit on word numbers; rows with ``check`` set are kept for early stopping. Returns the model and those rows' scores."""
     share = float(labels.mean()) if len(labels) else 0.0
     model = Model(shift=float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     fit = np.flatnonzero(~check)
     held = np.flatnonzero(check)
     if len(fit) == 0 or len(np.unique(labels[fit])) < 2:
         return model, np.full(len(held), share)
-    index: dict[str, int] = {"": 0}
-    docs = [
-        np.array([index.setdefault(w, len(index)) for w in _WORD.findall(t.lower())], dtype=np.int64) for t in texts
-    ]
-    hashes = np.array([parts(w) if w else [0] * PARTS for w in index], dtype=np.int64)
-    df: dict[int, int] = {}
-    for i in fit:
-        for h in np.unique(hashes[np.unique(docs[i])]).tolist():
-            df[h] = df.get(h, 0) + 1
-    df.pop(0, None)
+    parts_seen, df = part_counts([docs[i] for i in fit], hashes)
     least = max(2, round(len(fit) / 1000))
-    often = sorted((h for h, n in df.items() if n >= least), key=lambda h: (-df[h], h))[: MAX_ROWS - 1]
+    parts_seen, df = parts_seen[df >= least], df[df >= least]
+    often = parts_seen[np.lexsort((parts_seen, -df))][: MAX_ROWS - 1].tolist()
     model.rows = {h: k + 1 for k, h in enumerate(often)}
     keys = np.array(sorted([0, *often]), dtype=np.int64)
     place = np.array([model.rows.get(int(h), 0) for h in keys.tolist()], dtype=np.int64)
@@ -238,23 +284,33 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
 
 def sample(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str, per_class: int, train_chars: int
-) -> list:
-    """At most ``per_class`` labelled training rows of each label. Ids first, then their texts."""
+) -> tuple[list[tuple[int, int]], list[np.ndarray], np.ndarray]:
+    """At most ``per_class`` labelled training rows of each label: (label, hash of the id), word numbers, hashes of parts.
+
+    Ids first, then their texts.
+    """
     lab = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).filter(
         F.col("y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))
     )
     lengths = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
-    known = lab.dropDuplicates(["_id"]).withColumn("h", F.xxhash64("_id"))
+    known = lab.groupBy("_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("_id"))
     # twice as many ids as wanted, since labels may lack a document
     ids = None
     for y in (0, 1):
         one = known.filter(F.col("y") == y).orderBy("h").limit(2 * per_class)
         ids = one if ids is None else ids.unionAll(one)
-    found = lengths.join(F.broadcast(ids), "_id").filter(F.length("text") <= train_chars).dropDuplicates(["_id"])
-
-    out = found.select("text", "lang", "y", "h").collect()  # bounded: 4 * per_class texts of at most train_chars
-    out.sort(key=lambda r: r["h"])
-    return [r for y in (0, 1) for r in [r for r in out if r["y"] == y][:per_class]]
+    short = lengths.filter(F.length("text") <= train_chars)
+    found = short.select("_id").join(F.broadcast(ids), "_id").dropDuplicates(["_id"])
+    rows = sorted(found.select("_id", "y", "h").collect(), key=lambda r: r["h"])  # bounded: 4 * per_class ids
+    rows = [r for y in (0, 1) for r in [r for r in rows if r["y"] == y][:per_class]]
+    # then the texts of those alone, one partition at a time; what stays is their word numbers
+    place = {r["_id"]: k for k, r in enumerate(rows)}
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in place], found.select("_id").schema)
+    texts = short.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_id", "text")
+    words, numbers = Words(), [np.zeros(0, np.int32)] * len(rows)
+    for r in texts.toLocalIterator():
+        numbers[place[r["_id"]]] = words.numbers(r["text"])
+    return [(r["y"], r["h"]) for r in rows], *in_order(numbers, words.hashes())
 
 
 def kept_for_calibration(h: Column) -> Column:
@@ -300,10 +356,10 @@ def fit(
     train_chars: int = TRAIN_CHARS,
 ) -> Model:
     """The model from the bounded sample and its thresholds from all labelled calibration rows."""
-    rows = sample(docs, labels, id_col, text_col, lang_col, label_col, per_class, train_chars)
-    y = np.array([r["y"] for r in rows], dtype=float)
-    check = np.array([zlib.crc32(str(r["h"]).encode()) % CALIBRATION == 0 for r in rows], dtype=bool)
-    model, _ = train([r["text"] for r in rows], y, check)
+    rows, words, hashes = sample(docs, labels, id_col, text_col, lang_col, label_col, per_class, train_chars)
+    y = np.array([y for y, _ in rows], dtype=float)
+    check = np.array([zlib.crc32(str(h).encode()) % CALIBRATION == 0 for _, h in rows], dtype=bool)
+    model, _ = train_words(words, hashes, y, check)
     model.thresholds = thresholds(score_counts(docs, labels, model, id_col, text_col, lang_col, label_col))
     return model
 
