@@ -10,17 +10,13 @@ from pyspark.sql.window import Window
 
 from pairloom.functions.sets import tanimoto
 from pairloom.operators.skew import grid_join
-from pairloom.session import cut
+from pairloom.session import cut, together
 
 
-def pairs_sharing_key(
-    entities: DataFrame, by: Sequence[str], key: str, repr_col: str = "repr", compat: bool = False
-) -> DataFrame:
-    """Positive x negative strings of a block with the same non-empty key.
-
-    Strings found in both classes are dropped from both. ``compat=True`` gives the sequential
-    subtraction instead, where such a string stays on the negative side.
-    """
+def _sides_of_keys(
+    entities: DataFrame, by: Sequence[str], key: str, repr_col: str, compat: bool
+) -> tuple[DataFrame, DataFrame]:
+    """by, key, left_repr and by, key, right_repr: distinct strings of each class, written once."""
     d = entities.filter(F.col(key).isNotNull() & (F.col(key) != "") & F.col("label").isin(0, 1))
     # classes of a string are looked up among all its rows, keyed or not
     seen = (
@@ -36,8 +32,30 @@ def pairs_sharing_key(
     if compat:
         neg_src = neg_src.unionByName(one.join(both, [*by, repr_col], "left_semi"))
     neg = neg_src.select(*by, key, F.col(repr_col).alias("right_repr"))
-    # written first: the join reads both sides for its hot-key count as well
-    return grid_join(cut(pos), cut(neg), [*by, key], F.col("left_repr"), F.col("right_repr"))
+    return tuple(together(lambda: cut(pos), lambda: cut(neg)))
+
+
+def pairs_sharing_key(
+    entities: DataFrame, by: Sequence[str], key: str, repr_col: str = "repr", compat: bool = False
+) -> DataFrame:
+    """Positive x negative strings of a block with the same non-empty key.
+
+    Strings found in both classes are dropped from both. ``compat=True`` gives the sequential
+    subtraction instead, where such a string stays on the negative side. For counts, or where the pairs are
+    needed later, :func:`classes_sharing_key` says the same without listing them.
+    """
+    pos, neg = _sides_of_keys(entities, by, key, repr_col, compat)
+    return grid_join(pos, neg, [*by, key], F.col("left_repr"), F.col("right_repr"))
+
+
+def classes_sharing_key(
+    entities: DataFrame, by: Sequence[str], key: str, repr_col: str = "repr", compat: bool = False
+) -> DataFrame:
+    """The same pairs factorised, one row per key: by, key, n_left, n_right, n_pairs. Counts only are moved."""
+    pos, neg = _sides_of_keys(entities, by, key, repr_col, compat)
+    one = F.count(F.lit(1))
+    out = pos.groupBy(*by, key).agg(one.alias("n_left")).join(neg.groupBy(*by, key).agg(one.alias("n_right")), [*by, key])
+    return out.withColumn("n_pairs", F.col("n_left") * F.col("n_right"))
 
 
 def last_wins(mapping: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -209,22 +209,36 @@ def j5(spark, sf):
     )
 
 
-@query(
-    "J6_pairs_sharing_key",
-    """WITH e AS (SELECT lang, CAST(doc_id % 2 AS INTEGER) AS label, text, md5(text) AS repr,
+SQL_KEYS = """e AS (SELECT lang, CAST(doc_id % 2 AS INTEGER) AS label, text, md5(text) AS repr,
         CAST(len(string_split(string_split(text, chr(10))[1], ' ')) AS VARCHAR) AS formula FROM documents),
     pure AS (SELECT DISTINCT lang, label, repr, formula FROM e WHERE (lang, repr) IN (
-        SELECT (lang, repr) FROM e GROUP BY lang, repr HAVING min(label) = max(label)))
-    SELECT a.lang, a.formula, a.repr AS left_repr, b.repr AS right_repr FROM pure a JOIN pure b
-      ON a.lang = b.lang AND a.formula = b.formula AND a.label = 1 AND b.label = 0""",
-)
-def j6(spark, sf):
+        SELECT (lang, repr) FROM e GROUP BY lang, repr HAVING min(label) = max(label)))"""
+
+
+def keyed_docs(spark, sf):
     d = parity_docs(spark, sf)
     first_line = F.split("text", "\n")[0]
-    e = d.select(
+    return d.select(
         "lang", "label", F.md5("text").alias("repr"), F.size(F.split(first_line, " ")).cast("string").alias("formula")
     )
-    return J.pairs_sharing_key(e, ["lang"], "formula")
+
+
+@query(
+    "J6_pairs_sharing_key",
+    f"""WITH {SQL_KEYS} SELECT a.lang, a.formula, a.repr AS left_repr, b.repr AS right_repr FROM pure a JOIN pure b
+      ON a.lang = b.lang AND a.formula = b.formula AND a.label = 1 AND b.label = 0""",
+)
+def j6(spark, sf):
+    return J.pairs_sharing_key(keyed_docs(spark, sf), ["lang"], "formula")
+
+
+@query(
+    "J6_classes_sharing_key",
+    f"""WITH {SQL_KEYS}, n AS (SELECT lang, formula, count(*) FILTER (label = 1) AS n_left, count(*) FILTER (label = 0) AS n_right FROM pure GROUP BY ALL)
+    SELECT *, n_left * n_right AS n_pairs FROM n WHERE n_left > 0 AND n_right > 0""",
+)
+def j6_classes(spark, sf):
+    return J.classes_sharing_key(keyed_docs(spark, sf), ["lang"], "formula")
 
 
 @query(

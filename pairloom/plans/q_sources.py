@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pairloom.operators.setops import first_rows
 from pairloom.plans.frames import SQL_LABELLED, SQL_PREDICTIONS, labelled, predictions
 from pairloom.plans.registry import query, table
-from pairloom.session import ensure_checkpoint_dir
+from pairloom.session import cut, ensure_checkpoint_dir
 from pairloom.sources import incremental, readers, writers
 
 
@@ -152,6 +152,25 @@ def s8(spark, sf):
     return readers.run_numbers(named, readers.file_stem(F.col("file"))).select("page_id", "run", "shots")
 
 
+@query(
+    "S8_summary_tree",
+    f"""WITH {SQL_PREDICTIONS} SELECT model, CAST(conv_id % 4 AS INTEGER) AS run, CAST(conv_id % 3 * 2 AS INTEGER) AS shots, count(*) AS total,
+      round(avg(length(pred)), 6) AS mean_length FROM predictions GROUP BY ALL""",
+)
+def s8_tree(spark, sf):
+    """Summaries are written as a tree of JSON files, a folder for each model, and read back as one table."""
+    p = predictions(spark, sf).withColumns({"run": F.col("conv_id") % 4, "shots": F.col("conv_id") % 3 * 2})
+    sums = p.groupBy("model", "run", "shots").agg(F.count(F.lit(1)).alias("total"), F.avg(F.length("pred")).alias("mean_length"))
+    sums = cut(sums)
+    root = scratch(spark, "summaries")
+    for r in sums.select("model", "run", "shots").collect():  # one row a file
+        name = f"summary_run{r.run}_icl{r.shots}.json" if r.run else f"summary_icl{r.shots}.json"
+        one = sums.filter((F.col("model") == r.model) & (F.col("run") == r.run) & (F.col("shots") == r.shots))
+        one.select("model", "total", "mean_length").coalesce(1).write.json(f"{root}/{r.model}/{name}")
+    d = readers.load_summaries(spark, root, "model string, total long, mean_length double")
+    return d.select("model", "run", "shots", "total", F.round("mean_length", 6).alias("mean_length"))
+
+
 @query(
     "S9_partition_names",
     """WITH s AS (SELECT page_id, regexp_replace(trim(url), '[/\\\\:;|?*<>"\\n\\t]', '_', 'g') AS a FROM pages),

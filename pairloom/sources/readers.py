@@ -57,13 +57,18 @@ def load_directory(
     format: str,
     schema: str,
     excluded: Sequence[str] = (),
+    quoted_lines: bool = True,
 ) -> DataFrame:
-    """Raw files as one table: ``dataset_name`` is the file stem, ``endpoint`` the Task or the stem."""
+    """Raw files as one table: ``dataset_name`` is the file stem, ``endpoint`` the Task or the stem.
+
+    A CSV whose quoted fields hold line breaks is read by one task a file; without ``quoted_lines`` such fields
+    are not expected and large files are split.
+    """
     reader = spark.read.schema(schema)
     if format == "parquet":
         raw = reader.parquet(*paths)
     else:
-        raw = reader.option("header", True).option("sep", "\t" if format == "tsv" else ",").option("multiLine", True).csv(list(paths))
+        raw = reader.option("header", True).option("sep", "\t" if format == "tsv" else ",").option("multiLine", quoted_lines).csv(list(paths))
     stem = file_stem(F.col("_metadata.file_path"))
     named = raw.withColumn("dataset_name", stem).filter(~F.col("dataset_name").isin(list(excluded)))
     endpoint = F.coalesce("Task", "dataset_name") if "Task" in raw.columns else F.col("dataset_name")
