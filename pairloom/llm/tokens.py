@@ -22,7 +22,7 @@ SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 _DIRTY = re.compile(f"[{SPACES}]\\Z")
 
-CACHE_UNITS = 1_500_000  # about 300 MB a worker
+CACHE_UNITS = 400_000  # about 80 MB a worker
 KEEP_CHARS = 64
 
 
@@ -105,10 +105,12 @@ class Encoder:
 
     def _group(self, texts: Sequence[str], group: list[int], out: list) -> None:
         # a cached key is the part of a unit after its one leading space
-        if len(self.cache) > self.cache_units:
-            self.cache.clear()
         split = [texts[i].split(" ") for i in group]
-        new = [p for p in set().union(*split) if p not in self.cache]
+        used = set().union(*split)
+        if len(self.cache) > self.cache_units:
+            # words of this group stay: the frequent ones are among them
+            self.cache = {p: self.cache[p] for p in used if p in self.cache}
+        new = [p for p in used if p not in self.cache]
         short, dirty, stops = [], set(), []
         for p in new:
             if not p or _DIRTY.search(p):
