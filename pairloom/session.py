@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import warnings
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
@@ -54,9 +55,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def together(*steps: Callable[[], Any]) -> list[Any]:
     """Results of steps that do not need each other, run at once: one's last tasks leave no executor idle."""
-    inherit = inheritable_thread_target(SparkSession.getActiveSession())
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", UserWarning)  # tags are not inherited; local properties are
+        targets = [inheritable_thread_target(step) for step in steps]
     with ThreadPoolExecutor(len(steps)) as pool:
-        return [f.result() for f in [pool.submit(inherit(step)) for step in steps]]
+        return [f.result() for f in [pool.submit(t) for t in targets]]
 
 
 def shuffle_width(spark: SparkSession) -> int:
