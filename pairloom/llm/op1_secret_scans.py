@@ -11,7 +11,7 @@ Escapes decode in place: the layer is the whole text with its escapes resolved,
 them keep their places. base64 and hex runs decode to a layer of their own; each of its characters
 stands for the whole run. A run is also tried over its line breaks and from where a payload glued to a path or
 name may begin: the first beginning at each place modulo four (it decodes all that follows) and each that
-shows a packed one. All members of a packed stream are read. What a run decodes to is read, at any size, as UTF-8 and (where it holds a NUL)
+shows a packed one, of which only as much is decoded as unpacks. All members of a packed stream are read. What a run decodes to is read, at any size, as UTF-8 and (where it holds a NUL)
 as UTF-16 with stray bytes replaced, and unpacked where it begins as gzip, zlib or bzip2. A reading with
 stray or control characters is a layer only if it holds a secret or an encoded stretch, so hashes and keys
 give no further layers.
@@ -20,8 +20,9 @@ Defined results: NULL text is the empty text (no spans); NULL ids stay NULL; rep
 an empty table gives an empty table; other columns are ignored; texts are searched whole. A packed
 layer that unfolds to more than ``max_layer`` bytes is read in overlapping windows as it unfolds; each
 window is a layer like others, and a packed layer within is unpacked as a stream; ``n_streamed`` counts those.
-A window repeats the last ``TAIL`` bytes and the unfinished run before it, of which at most ``max_layer`` bytes: only
-packed data in one longer run within such a layer is not unpacked whole.
+A window repeats the last ``TAIL`` bytes and the unfinished run before it (escapes, runs and lines of runs with their
+indents, as the decoders read them), of which at most ``max_layer`` bytes: only packed data in one longer run
+within such a layer is not unpacked whole.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as filtering all runs by length
-_NAMES = re.compile(r"(?ai:passw|secret|token|api_?key)")
+_NAMES = ("passw", "secret", "token", "apikey", "api_key")
 
 _ESCAPES = re.compile(
     r"((?:%[0-9A-Fa-f]{2})+)|(\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+)"
@@ -63,7 +64,8 @@ _LINE = re.compile(r"[^\x20\t>\r\n]+")
 _MARK = re.compile("[+/_-]")
 _HEXRUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){12,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){12,}(?![0-9A-Za-z])")
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f�]")
-_RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n\0"
+#: What the decoders may still be in the middle of, from the end backwards: escapes and runs, also over indented lines.
+_UNFINISHED = re.compile(rb"[\x20\t>\r\0]*+(?:[A-Za-z0-9+/_=%\\&#;{}\0-]++|[\x20\t>\0]*+\n[\r\0]*+[\x20\t>\0]*+)*+")
 MAX_LAYER = 1 << 24
 TAIL = 8192
 
@@ -71,7 +73,8 @@ TAIL = 8192
 def find(text: str) -> list[tuple[str, int, int]]:
     """Base spans of one layer: leftmost and non-overlapping per kind, failing matches dropped."""
     out = []
-    if _NAMES.search(text):
+    low = text.lower()
+    if any(name in low for name in _NAMES):
         out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         out += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
@@ -232,26 +235,42 @@ def unpacked(make: Callable, pieces: Iterator[bytes], most: int) -> Iterator[byt
         yield b"".join(held)
 
 
-def _payloads(run: str) -> Iterator[bytes]:
-    if _HEXRUN.fullmatch(run):
-        yield bytes.fromhex(run)
+def _base64(run: str) -> bytes | None:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     body = body[: len(body) - (len(body) % 4 == 1)]  # a single character more holds no byte
     try:
-        yield base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        pass
+        return None
 
 
-def _beginnings(run: str, starts: list[int]) -> Iterator[int]:
-    """Where else a payload in a run may begin: the first of ``starts`` at each place modulo four, and packed ones."""
+def _payloads(run: str) -> Iterator[bytes]:
+    if _HEXRUN.fullmatch(run):
+        yield bytes.fromhex(run)
+    data = _base64(run)
+    if data is not None:
+        yield data
+
+
+def _pieces(run: str, k: int) -> Iterator[bytes]:
+    """The payload of a base64 run from character ``k`` on, decoded only as far as it is asked for."""
+    size = 1024
+    while k < len(run):
+        yield _base64(run[k : k + size]) or b""
+        k, size = k + size, 1 << 16
+
+
+def _beginnings(run: str, starts: list[int]) -> Iterator[tuple[int, bool]]:
+    """Where else a payload in a run may begin: the first of ``starts`` at each place modulo four (True), and packed ones (False)."""
     known = {0}
     for k in starts:
         if len(run) - k < 16:
             break
-        if k % 4 not in known or any(_unpackers(next(_payloads(run[k : k + 4]), b""))):
+        if k % 4 not in known:
             known.add(k % 4)
-            yield k
+            yield k, True
+        elif any(_unpackers(_base64(run[k : k + 4]) or b"")):
+            yield k, False
 
 
 class Scanner:
@@ -295,34 +314,36 @@ class Scanner:
                 a, b = layer.span(i, j)
                 for text in self._open(layer.text[i:j]):
                     yield Layer.of_run(text, a, b)
+            for k, whole in _beginnings(m[0], [x.end() for x in _MARK.finditer(m[0])]):
+                a, b = layer.span(m.start() + k, m.end())
+                for text in self._open(m[0][k:]) if whole else self._packed(m[0], k):
+                    yield Layer.of_run(text, a, b)
         for m in _WRAPPED.finditer(layer.text):
-            for i, run in self._unwrapped(m):
+            for i, run, k, whole in self._unwrapped(m):
                 a, b = layer.span(i, m.end())
-                for text in self._open(run):
+                for text in self._open(run[k:]) if whole else self._packed(run, k):
                     yield Layer.of_run(text, a, b)
 
     @staticmethod
     def _stretches(m: re.Match) -> Iterator[tuple[int, int]]:
-        """The run, its parts between the marks that also stand in paths and names, and what begins behind a mark."""
+        """The run, and its parts between the marks that also stand in paths and names."""
         yield m.span()
         for part in _PART.finditer(m[0]):
             if len(part[0]) < len(m[0]):
                 yield m.start() + part.start(), m.start() + part.end()
-        for k in _beginnings(m[0], [x.end() for x in _MARK.finditer(m[0])]):
-            yield m.start() + k, m.end()
 
     @staticmethod
-    def _unwrapped(m: re.Match) -> Iterator[tuple[int, str]]:
-        """Lines joined to one run, and what begins with a line or behind a mark; with the place in the text."""
+    def _unwrapped(m: re.Match) -> Iterator[tuple[int, str, int, bool]]:
+        """Lines joined to one run, and what begins with a line or behind a mark: place in the text, run, place in it, as a whole."""
         lines, starts, at = [x.span() for x in _LINE.finditer(m[0])], [], 0
         for a, b in lines:
             starts.append(at)
             at += b - a
         run = "".join(m[0][a:b] for a, b in lines)
-        yield m.start(), run
-        for k in _beginnings(run, sorted({*starts[1:], *(x.end() for x in _MARK.finditer(run))})):
+        yield m.start(), run, 0, True
+        for k, whole in _beginnings(run, sorted({*starts[1:], *(x.end() for x in _MARK.finditer(run))})):
             line = bisect_right(starts, k) - 1
-            yield m.start() + lines[line][0] + k - starts[line], run[k:]
+            yield m.start() + lines[line][0] + k - starts[line], run, k, whole
 
     def _open(self, run: str) -> Iterator[str]:
         """The texts in an encoded run, a large one by windows."""
@@ -330,6 +351,11 @@ class Scanner:
         for data in _payloads(run):
             yield from self._texts(lambda data=data: iter((data,)), seen)
 
+    def _packed(self, run: str, k: int) -> Iterator[str]:
+        """The texts packed in a run from ``k`` on; as plain text an earlier beginning has read them."""
+        for make in _unpackers(next(_pieces(run, k), b"")):
+            yield from self._texts(lambda make=make: unpacked(make, _pieces(run, k), self.max_layer), set())
+
     def _texts(self, source: Callable[[], Iterator[bytes]], seen: set[bytes]) -> Iterator[str]:
         pieces = source()
         first, second = next(pieces, b""), next(pieces, None)
@@ -354,7 +380,7 @@ class Scanner:
 
     def _tail(self, window: bytes) -> bytes:
         """What the next window repeats; a run too long for it is cut at a multiple of four characters."""
-        run = len(window) - len(window.rstrip(_RUN))
+        run = _UNFINISHED.match(window[::-1]).end()
         if run > max(TAIL, self.max_layer):
             most = max(TAIL, self.max_layer)
             run = most - (most - run) % 4
