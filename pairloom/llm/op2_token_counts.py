@@ -8,7 +8,8 @@ The program runs over the bytes of a pre-token. The encoding of a prefix ends in
 that is (a) a suffix of the prefix and (b) compatible with the last token of the shorter prefix
 before it: merging the bytes of the two gives just these two tokens back. So count[i] =
 count[i - len(t)] + 1, one step per byte, and compatibility of a token pair is worked out once per
-task. Every total is held against the library's own count; a piece that differs (never seen) gets
+task. Short pre-tokens of one length go together; a long one is walked along a trie of the
+vocabulary, so its cost is linear. Every total is held against the library's own count; a piece that differs (never seen) gets
 its prefixes from the library one by one.
 
 Defined results: NULL text counts as the empty one (0 bytes, 0 tokens); NULL ids stay NULL;
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ CONTRACTIONS = ("'re", "'ve", "'ll")  # those that read differently when cut in
 CACHE_UNITS = 900_000
 KEEP_CHARS = 60  # of a cached unit; its counts then fit into a byte each
 CACHE_PIECES = 150_000
+LONG_CHARS = 128  # of a pre-token that is walked on its own
 BLOCK = 1 << 16
 
 
@@ -75,6 +78,7 @@ class PrefixCounter:
         self.lattice = Lattice([t.decode("latin-1") for t in self.names], [])
         self.fits: dict[int, bool] = {}
         self.whole = np.full(len(self.names), -1, np.int8)
+        self.trie: dict[bytes, int] = {}
         self.pieces: dict[str, list[int]] = {}
 
     def _merge(self, data: bytes) -> list[bytes]:
@@ -127,16 +131,50 @@ class PrefixCounter:
                 left[at] = False
         return count[1:].T
 
+    def _walk(self, data: bytes) -> list[int]:
+        """Token counts of all byte prefixes of one pre-token; 0 where no token fits."""
+        if not self.trie:  # beginnings of tokens, with the token's number or -1
+            self.trie = {t[:k]: -1 for t in self.names for k in range(1, len(t))}
+            self.trie.update((t, k) for k, t in enumerate(self.names))
+        size, names, fits, step = len(data), self.names, self.fits, self.trie.get
+        count, last = [0] * (size + 1), [0] * (size + 1)
+        for j in range(size):
+            if j and not count[j]:
+                continue
+            for i in range(j + 1, size + 1):
+                k = step(data[j:i])
+                if k is None:
+                    break
+                if k < 0 or count[i]:
+                    continue
+                if j:
+                    key = last[j] * len(names) + k
+                    ok = fits.get(key)
+                    if ok is None:
+                        x, y = names[last[j]], names[k]
+                        ok = fits[key] = self._merge(x + y) == [x, y]
+                else:
+                    ok = self._merge(names[k]) == [names[k]]
+                if ok:
+                    last[i], count[i] = k, count[j] + 1
+        return count[1:]
+
+    def _at_letters(self, piece: str, counts: list[int]) -> list[int]:
+        """Counts at the code points of a pre-token from those at its bytes."""
+        if len(piece) == len(counts):
+            return counts
+        return [counts[e - 1] for e in accumulate(len(x.encode()) for x in piece)]
+
     def _count_pieces(self, pieces: list[str]) -> None:
         """Have the counts at the code points of new pre-tokens ready."""
+        long = [p for p in pieces if len(p) > LONG_CHARS]
+        self.pieces.update((p, self._at_letters(p, self._walk(p.encode()))) for p in long)
+        pieces = [p for p in pieces if len(p) <= LONG_CHARS]
         raw = [p.encode().decode("latin-1") for p in pieces]
         for at, chars in self.lattice.groups(raw, 50_000, mark=False):
             counts = self._program(chars)
             for k, c in zip(at.tolist(), counts.tolist(), strict=True):
-                p = pieces[k]
-                if len(p) != len(c):
-                    c = [c[e - 1] for e in np.cumsum([len(x.encode()) for x in p]).tolist()]
-                self.pieces[p] = c
+                self.pieces[pieces[k]] = self._at_letters(pieces[k], c)
 
     def _unit(self, unit: str, found: list[str], lead: int) -> list[int]:
         """Counts at the code points of a unit cut into pre-tokens."""

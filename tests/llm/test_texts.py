@@ -9,10 +9,12 @@ import math
 import random
 import re
 import textwrap
+import time
 import urllib.parse
 import zlib
 
 import numpy as np
+import pytest
 
 from pairloom.llm.op1_secret_scans import Scanner, redact, secret_scans, written
 from pairloom.llm.op2_token_counts import PrefixCounter, fit_budgets, prefix_table, token_counts
@@ -105,6 +107,53 @@ def test_wrapped_glued_and_concatenated_payloads():
     assert layers(text) == set()
 
 
+@pytest.mark.parametrize("most", [1 << 24, 1 << 16])
+def test_long_runs_over_the_windows_of_a_layer(most):
+    rng = random.Random(3)
+    inner = gzip.compress((SECRET + " " + rng.randbytes(9_000).hex()).encode())
+    coded = base64.b64encode(inner).decode()
+    lines = textwrap.wrap(coded, 76)
+    forms = [
+        "".join(f"%{ord(c):02X}" for c in coded),
+        "".join(f"\\u{ord(c):04x}" for c in coded[: len(coded) // 4 * 4]),
+        "".join(f"&#{ord(c)};" for c in coded),
+        "\n".join(lines),
+        "\r\n".join("    " + x for x in lines),
+        "\n".join("> " + x for x in lines),
+        "\n".join("\t" + x for x in lines),
+    ]
+    for form in forms:
+        for at in range(65_536 - len(form), 65_536, len(form) // 5 + 1):
+            bomb = gzip.compress(b". " * (at // 2) + b"\n" + form.encode() + b"\n" + b". " * 60_000)
+            _, spans, _, streamed = Scanner(most).scan(base64.b64encode(bomb).decode())
+            assert "assign" in {s[0] for s in spans}, (form[:20], len(form), at)
+            assert (streamed > 0) == (most < 1 << 20)
+
+
+def test_long_random_run_takes_linear_time():
+    took = []
+    for size in (300_000, 1_200_000):
+        run = base64.b64encode(random.Random(5).randbytes(size)).decode()
+        start = time.process_time()
+        assert Scanner().scan(run + " " + SECRET)[0]
+        assert Scanner().scan("\n".join(textwrap.wrap(run, 76)))[3] == 0
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0], took
+
+
+def test_words_without_a_break(library):
+    rng = random.Random(1)
+    counter = PrefixCounter()
+    for letters, size in (("abcdefghij", 200_000), ("a", 100_000), (" ", 20_000), ("äöüßabcd日本", 40_000)):
+        text = "x " + "".join(rng.choice(letters) for _ in range(size)) + "y"
+        start = time.process_time()
+        counts = counter.group([text])[0]
+        assert time.process_time() - start < 20
+        assert len(counts) == len(text) and counts[-1] == len(library.encode(text, add_special_tokens=False).ids)
+        for n in (1, 3, 100, 128, 129, 130, 131, 500, 5_000):
+            assert counts[n - 1] == len(library.encode(text[:n], add_special_tokens=False).ids), n
+
+
 def brute(text):
     assign = [m.span() for m in re.finditer(r"(?a)((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 6]
     access = [m.span() for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
