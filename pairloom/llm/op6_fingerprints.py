@@ -36,7 +36,7 @@ _LOW = 0xFFFFFFFF
 
 
 def paragraph_hashes(text: Column) -> Column:
-    parts = F.transform(F.split(text, CUT), lambda p: F.rtrim(F.regexp_replace(p, r"\s+$", "")))
+    parts = F.transform(F.split(text, CUT), lambda p: F.rtrim(p, F.lit(" \t\n\x0b\f\r")))
     return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.xxhash64(p))
 
 
@@ -83,16 +83,36 @@ def written(cells: Column, n_chars: Column) -> Column:
 
 def likeness(left: Column, right: Column) -> Column:
     """Estimated share of common paragraphs from two sorted arrays of cells."""
-    place = lambda c: c["cell"]
+    # arrays of long numbers: a cell with one of its two numbers at a time
+    place = lambda c: c["cell"].cast("long")
+    with_a = lambda c: F.shiftleft(place(c), 32) + c["a"]
+    with_b = lambda c: F.shiftleft(place(c), 32) + c["b"]
     union = F.array_union(F.transform(left, place), F.transform(right, place))
-    differ = F.array_distinct(
-        F.concat(F.transform(F.array_except(left, right), place), F.transform(F.array_except(right, left), place))
-    )
-    at = lambda cells, s: F.size(F.filter(cells, lambda c: F.floor(c / LANES) == s))
+    one_way = lambda x, y, f: F.array_except(F.transform(x, f), F.transform(y, f))
+    either = F.concat(*[one_way(x, y, f) for f in (with_a, with_b) for x, y in ((left, right), (right, left))])
+    differ = F.array_distinct(F.transform(either, lambda v: F.shiftright(v, 32)))
+
+    def by_stratum(cells: Column) -> Column:
+        """Counts of eight strata in the bytes of each of two numbers; a stratum has at most 32 lanes."""
+        bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftright(c, 5) % 8 * 8).cast("int"))
+        return F.aggregate(
+            cells,
+            F.struct(F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")),
+            lambda acc, c: F.struct(
+                (acc["low"] + F.when(c < 8 * LANES, bit(c)).otherwise(F.lit(0))).alias("low"),
+                (acc["high"] + F.when(c >= 8 * LANES, bit(c)).otherwise(F.lit(0))).alias("high"),
+            ),
+        )
+
+    def at(counts: Column, s: int) -> Column:
+        return F.shiftright(counts["low" if s < 8 else "high"], s % 8 * 8).bitwiseAND(F.lit(255))
+
     strata = F.transform(
-        F.sequence(F.lit(STRATA - 1), F.lit(0), F.lit(-1)),
-        lambda s: F.struct(at(union, s).alias("u"), at(differ, s).alias("d"), s.alias("s")),
-    )
+        F.array(F.struct(by_stratum(union).alias("u"), by_stratum(differ).alias("d"))),
+        lambda both: F.array(
+            *[F.struct(at(both["u"], s).alias("u"), at(both["d"], s).alias("d"), F.lit(s).alias("s")) for s in reversed(range(STRATA))]
+        ),
+    )[0]
     count = lambda n: -LANES * F.log(1.0 - F.least(n, F.lit(LANES - 0.5)) / float(LANES))
     start = F.struct(F.lit(0.0).alias("u"), F.lit(0.0).alias("d"), F.lit(True).alias("open"))
 
