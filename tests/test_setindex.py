@@ -120,3 +120,18 @@ def test_histogram(spark, monkeypatch):
     for shard in (None, 9):
         got = knn.similarity_histogram(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["lang"], shard)
         assert {(r.lang, r.n_common, r.n_union): [r.n_pairs, tuple(r.pair)] for r in got.collect()} == dict(want)
+
+
+def test_shards_are_copied_only_to_fill_tasks():
+    assert setindex.copies(10**9, 1, 12) == 24
+    assert setindex.copies(10**9, 24, 12) == setindex.copies(10**9, 5000, 12) == 1
+    assert setindex.copies(100, 1, 12) == 1
+
+
+def test_shards_hold_about_equally_many_tokens(spark, monkeypatch):
+    monkeypatch.setattr(setindex, "LEAST_SHARD", 1000)
+    rows = [("a", i, [f"w{i}.{j}" for j in range(200 if i % 10 == 0 else 5)]) for i in range(400)]
+    pool = spark.createDataFrame(rows, "lang string, p_id long, bits array<string>")
+    shards = setindex.Shards(pool, ["lang"], ["p_id"])
+    tokens = [r[0] for r in shards.rows.groupBy("b", "shard").agg(F.sum(F.col("n") + setindex.ROW_WEIGHT)).select("sum((n + %d))" % setindex.ROW_WEIGHT).collect()]
+    assert len(tokens) > 4 and max(tokens) < 3 * sum(tokens) / len(tokens)

@@ -60,6 +60,25 @@ def test_self_join_counts_each_pair_once(spark, strict):
     assert got == want
 
 
+def test_only_pairs_at_the_threshold_leave_a_task(spark, monkeypatch):
+    from pairloom.operators import setindex
+
+    monkeypatch.setattr(setindex, "LEAST_SHARD", 100)
+    monkeypatch.setattr(setindex, "CHUNK", 20)
+    rows = random_sets(21, 160, hot=True)
+    sets = S.distinct_sets(spark.createDataFrame(rows, "id long, ep string, bits array<string>"), ["ep"], "id", "bits")
+    own = {(r.ep, r.first_id): set(r.bits) for r in sets.collect()}
+    want = set()
+    for (e, i), a in own.items():
+        for (f, j), b in own.items():
+            if e == f and i < j and len(a & b) * 10 >= len(a | b) * 4:
+                want.add((i, j, len(a & b), len(a | b)))
+    met = [tuple(r) for r in S._reached(sets, sets, ["ep"], 4, 10, within=True).select("q_id", "p_id", "n_common", "n_union").collect()]
+    assert len(met) == len(want) and {(min(a, b), max(a, b), *c) for a, b, *c in met} == want
+    cross = {tuple(r) for r in S.similar_sets(sets, sets, ["ep"], 4, 10).filter("l_id < r_id").select("l_id", "r_id", "n_common", "n_union").collect()}
+    assert cross == want
+
+
 def levenshtein(a, b):
     prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
