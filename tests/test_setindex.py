@@ -135,3 +135,17 @@ def test_shards_hold_about_equally_many_tokens(spark, monkeypatch):
     shards = setindex.Shards(pool, ["lang"], ["p_id"])
     tokens = [r[0] for r in shards.rows.groupBy("b", "shard").agg(F.sum(F.col("n") + setindex.ROW_WEIGHT)).select("sum((n + %d))" % setindex.ROW_WEIGHT).collect()]
     assert len(tokens) > 4 and max(tokens) < 3 * sum(tokens) / len(tokens)
+
+
+def test_counting_many_queries_equals_counting_one(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(setindex, "DENSE_CELLS", 60 * 20)  # few lists fit the matrix
+    rng = random.Random(9)
+    sets = [sorted({f"t{int(rng.random() ** 3 * 200)}" for _ in range(rng.randrange(1, 60))}) for _ in range(60)]
+    index = setindex.SetIndex(pa.array(sets))
+    codes = [c for _, c in index.lookup(pa.array(sets))]
+    for one, each in zip(codes, index.counted_each(codes)):
+        assert np.array_equal(index.counted(one), each)
+    assert 0 < len(index.dense) <= 20
