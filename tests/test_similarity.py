@@ -125,6 +125,20 @@ def test_edit_join_equals_brute_force(spark):
     assert got == want
 
 
+def test_edit_join_query_lists_every_row_of_equal_strings(spark, tmp_path):
+    import duckdb
+
+    from pairloom.plans.catalog import ORACLES, QUERIES
+
+    urls = ["https://a.example.com/en/12345"] * 5 + ["https://a.example.com/en/12346"] * 4 + ["http://b.example.org/x"]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("")).write.parquet(path)
+    got = sorted(map(tuple, QUERIES["J3_edit_join"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/*.parquet'")
+    assert got == sorted(con.execute(ORACLES["J3_edit_join"]).fetchall()) and len(got) == 20
+
+
 def test_few_grams_pass_the_filter(spark):
     r = random.Random(8)
     text = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(30, 120)))
