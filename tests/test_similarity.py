@@ -204,3 +204,21 @@ def test_similarity_stats_over_tiles(spark):
         assert r.median_sim == pytest.approx(np.median(sims))
         assert r.std_sim == pytest.approx(np.std(sims))
         assert (r.max_sim, r.min_sim) == (pytest.approx(max(sims)), pytest.approx(min(sims)))
+
+
+def test_few_long_texts_of_one_vocabulary_are_candidates():
+    import pyarrow as pa
+
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdeinorst") for _ in range(r.randrange(2, 9))) for _ in range(300)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(100, 130))) for _ in range(120)]
+    near = []
+    for t in texts:
+        n, s = len(t) // 12, list(t)  # fewer edits than the limit, spread over the text
+        for i in r.sample(range(len(s)), n):
+            s[i] = r.choice(["", "x", s[i] + "y"])
+        near.append("".join(s))
+    index = S.PieceIndex(pa.array(texts))
+    found = [index.near(t).tolist() for t in near]
+    assert all(i in rows for i, rows in enumerate(found))
+    assert sum(map(len, found)) < 2 * len(texts)
