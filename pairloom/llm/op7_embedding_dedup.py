@@ -7,8 +7,8 @@ k-means on a bounded sample (``sample_rows``, lowest hash first); every vector i
 
 Probes are sufficient: two vectors within t lie in lists whose dividing plane is within t of both, so a
 vector visits just the lists for which that holds, always from the higher list number to the lower.
-In a list, table look-ups give the distance from the query to each decoded vector; less what
-the code misses it is a lower bound, and whatever it does not exclude is compared exactly by cosine
+In a list, the distance from the query to each decoded vector (the look-ups of all subspaces at once, as a
+product with the decoded codes) less what the code misses is a lower bound, and whatever it does not exclude is compared exactly by cosine
 in double precision. So the result is that of comparing all pairs.
 
 A list is dealt to a grid of blocks of vectors and parts of queries, so no task holds a whole list.
@@ -62,12 +62,38 @@ class Index:
             missed += ((residual[:, cols] - book[code[:, s]]) ** 2).sum(axis=1)
         return code, np.sqrt(missed)
 
-    def table(self, residual: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Distances from each query residual to each decoded code, by table look-up."""
-        total = np.zeros((len(residual), len(code)))
+    def decoded(self, code: np.ndarray) -> np.ndarray:
+        """The residuals that codes stand for."""
+        out = np.zeros((len(code), sum(map(len, self.columns))))
         for s, (cols, book) in enumerate(zip(self.columns, self.codes, strict=True)):
-            total += squared(residual[:, cols], book)[:, code[:, s]]
-        return np.sqrt(total)
+            out[:, cols] = book[code[:, s]]
+        return out
+
+
+class Bounds:
+    """Which of a list's vectors can be within ``reach`` of a query, by the distance to the decoded code less what the code misses.
+
+    The look-ups of all subspaces are one matrix product with the decoded codes, in single precision: ``slack`` is
+    above its rounding error, so no pair is lost.
+    """
+
+    def __init__(self, decoded: np.ndarray, missed: np.ndarray, reach: float) -> None:
+        self.x = decoded.astype(np.float32)
+        self.norms = (decoded * decoded).sum(axis=1)
+        self.limits = (reach + missed) ** 2
+        # error of a product of n terms: n * 2^-24 * |x| * |y|, and as much for rounding both sides
+        self.slack = (decoded.shape[1] + 8) * 2.0**-22
+        self.longest = float(self.norms.max(initial=0)) + float(self.limits.max(initial=0)) + 1
+        self.own = (self.norms - self.limits).astype(np.float32)
+
+    def candidates(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, vector) numbers in ascending order."""
+        n = (residual * residual).sum(axis=1)
+        got = residual.astype(np.float32) @ self.x.T
+        got *= -2
+        got += self.own
+        most = self.slack * (n + self.longest) - n
+        return np.nonzero(got <= most.astype(np.float32)[:, None])
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -188,10 +214,10 @@ def links(classes: DataFrame, n: int, cosine: float, sample_rows: int) -> tuple[
             my, home = right.column("m").to_numpy(), right.column("list").to_numpy()
             names = np.array(x_id, dtype=object)
             got_x = np.zeros(len(x), np.int64)
+            bounds = Bounds(ix.decoded(code), missed, reach)
             for k in range(0, len(y_id), 256):
                 y = units(right.column("raw").slice(k, 256).to_pylist())
-                maybe = ix.table(y - ix.coarse[c], code) - missed[None] <= reach
-                q, p = np.nonzero(maybe)
+                q, p = bounds.candidates(y - ix.coarse[c])
                 same = home[k + q] == c  # within a list each pair once
                 ok = ~same | (names[p] < np.array(y_id, dtype=object)[k + q]) if len(q) else np.zeros(0, bool)
                 q, p = q[ok], p[ok]

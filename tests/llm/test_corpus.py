@@ -16,7 +16,7 @@ from pairloom.llm.graph import components
 from pairloom.llm.lattice import Lattice, vocabulary
 from pairloom.llm.op4_lm_scores import lm_scores
 from pairloom.llm.op5_mixing import mix_plan, mixed
-from pairloom.llm.op7_embedding_dedup import near_duplicates
+from pairloom.llm.op7_embedding_dedup import Bounds, build, near_duplicates, squared
 from pairloom.llm.op8_toxicity import calibrate, toxicity, train
 from pairloom.llm.op10_ngram_join import deduplicated, jaccard_join, shortened
 from pairloom.llm.tokens import tokenizer_path
@@ -212,6 +212,24 @@ def test_embeddings(spark):
     assert near_duplicates(d.filter("1 = 0")).count() == 0
 
 
+def test_bounds_keep_every_pair_of_the_look_ups():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 24))
+    x[300:600] = x[:300] + rng.normal(size=(300, 24)) * 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index, reach = build(x, 9), float(np.sqrt(0.2))
+    own, _ = index.assign(x)
+    for c in range(len(index.coarse)):
+        held = x[own == c]
+        code, missed = index.encode(held - index.coarse[c])
+        residual = x - index.coarse[c]
+        total = sum(squared(residual[:, cols], book)[:, code[:, s]] for s, (cols, book) in enumerate(zip(index.columns, index.codes)))
+        wanted = set(zip(*np.nonzero(np.sqrt(total) - missed <= reach)))
+        got = set(zip(*Bounds(index.decoded(code), missed, reach).candidates(residual)))
+        assert wanted <= got and len(got) <= len(wanted) + 5
+        assert set(zip(*np.nonzero(x @ held.T >= 0.9))) <= got
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
