@@ -149,3 +149,18 @@ def test_counting_many_queries_equals_counting_one(monkeypatch):
     for one, each in zip(codes, index.counted_each(codes)):
         assert np.array_equal(index.counted(one), each)
     assert 0 < len(index.dense) <= 20
+
+
+def test_sets_move_as_strings_without_merging_tokens(spark):
+    sets = [["a\nb", "c"], ["a\\nb", "c"], ["a", "b", "c"], [], [""], ["\n"], ["\\"], ["", "\n", "é"]]
+    d = spark.createDataFrame(list(enumerate(sets)), "i long, bits array<string>").select("i", setindex.joined("bits").alias("bits"))
+    rows = d.orderBy("i").toArrow().column("bits").combine_chunks()
+    index = setindex.SetIndex(setindex.parted(rows))
+    assert index.sizes.tolist() == [len(s) for s in sets]
+    assert len(index.tokens) == len({t for s in sets for t in s})
+    part = setindex.parted(rows.slice(1, 3))
+    assert [len(s) for s in part.to_pylist()] == [2, 3, 0] and part.to_pylist()[1] == ["a", "b", "c"]
+    words = [[f"word{i}.{j}" for j in range(40)] for i in range(300)]
+    pool = spark.createDataFrame(list(enumerate(words)), "p_id long, bits array<string>")
+    shards = setindex.Shards(pool, [], ["p_id"])
+    assert shards.joined and dict(shards.rows.dtypes)["bits"] == "string"
