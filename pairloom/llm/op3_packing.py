@@ -32,6 +32,7 @@ from pairloom.llm.common import id_and_text, map_rows, staged, width
 from pairloom.llm.tokens import shared_encoder
 
 CAPACITY = 1024
+ENCODED_ROWS = 512  # texts and ids that a worker holds at a time
 ROUNDS = 120  # pricing rounds at most
 PATTERNS = 48  # patterns taken from one knapsack table: the dearest ones with each of the least covered lengths
 STEP = 0.15
@@ -56,14 +57,16 @@ def pieces(
         encoder = shared_encoder(tokenizer)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for doc, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                data = memoryview(data + end)
-                n, a, k = len(data) // 4, 0, 0
-                while a < n:
-                    b = a + ((n - a) % capacity or capacity)
-                    rows.append((doc, k, a, b - a, zlib.crc32(data[4 * a : 4 * b])))
-                    a, k = b, k + 1
+            rows, docs_of = [], batch.column(0).to_pylist()
+            for at in range(0, batch.num_rows, ENCODED_ROWS):
+                texts = batch.column(1).slice(at, ENCODED_ROWS).to_pylist()
+                for doc, data in zip(docs_of[at : at + ENCODED_ROWS], encoder.encode(texts), strict=True):
+                    data = memoryview(data + end)
+                    n, a, k = len(data) // 4, 0, 0
+                    while a < n:
+                        b = a + ((n - a) % capacity or capacity)
+                        rows.append((doc, k, a, b - a, zlib.crc32(data[4 * a : 4 * b])))
+                        a, k = b, k + 1
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 

@@ -20,10 +20,11 @@ import numpy as np
 #: White space as the pre-tokenizer's pattern knows it (fixed values).
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-_DIRTY = re.compile(f"[{SPACES}]\\Z")
+_SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACES}]", c))
 
 CACHE_UNITS = 400_000  # about 80 MB a worker
 KEEP_CHARS = 64
+LINE_WORDS, LINES = 64, 64  # new words are encoded as lines of so many, so many lines a call: few objects at a time
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -45,6 +46,16 @@ def load_tokenizer(name: str):
     return t
 
 
+def set_up(tok) -> dict:
+    """The parts of a tokenizer's file that say how it cuts; its vocabulary is not parsed again."""
+    pre, kind = tok.pre_tokenizer, type(tok.model).__name__
+    return {
+        "normalizer": None if tok.normalizer is None else True,
+        "pre_tokenizer": None if pre is None else json.loads(pre.__getstate__()),
+        "model": {"type": kind, "dropout": getattr(tok.model, "dropout", None)},
+    }
+
+
 def cuts_are_exact(spec: dict) -> bool:
     """Whether the tokenizer's set-up allows cutting a text before runs of white space."""
     pre = spec.get("pre_tokenizer") or {}
@@ -74,10 +85,11 @@ class Encoder:
 
     def __init__(self, name: str = "byte_bpe_50k.json", cache_units: int = CACHE_UNITS):
         self.tok = load_tokenizer(name)
-        with open(tokenizer_path(name), encoding="utf-8") as f:
-            spec = json.load(f)
-        self.cut = cuts_are_exact(spec)
-        self.special = [a["content"] for a in spec.get("added_tokens", [])]
+        self.cut = cuts_are_exact(set_up(self.tok))
+        self.special = [a.content for a in self.tok.get_added_tokens_decoder().values()]
+        vocabulary = self.tok.get_vocab() if self.cut else {}
+        self.opens = np.zeros(max(vocabulary.values(), default=-1) + 1, dtype=bool)  # ids whose bytes begin with a space
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.cache: dict[str, bytes] = {}
         self.cache_units = cache_units
 
@@ -85,6 +97,22 @@ class Encoder:
         out = self.tok.encode_batch_fast(list(texts), add_special_tokens=False)
         return [_bytes(e.ids) for e in out]
 
+    def _spaced(self, words: Sequence[str]) -> list[bytes]:
+        """Ids of each word after one space. Words hold no space, are not empty and do not end in white space, so a
+        line of them is cut before each of them and every word's ids begin with its space."""
+        out: list[bytes] = []
+        for k in range(0, len(words), LINE_WORDS * LINES):
+            part = words[k : k + LINE_WORDS * LINES]
+            lines = [" " + " ".join(part[j : j + LINE_WORDS]) for j in range(0, len(part), LINE_WORDS)]
+            data = b"".join(self._ids(lines))
+            first = np.flatnonzero(self.opens[np.frombuffer(data, "<u4")]) * 4
+            if len(first) != len(part):
+                out += self._ids([" " + p for p in part])
+                continue
+            first = [*first.tolist(), len(data)]
+            out += [data[a:b] for a, b in zip(first, first[1:])]
+        return out
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of whole texts, in order."""
         out: list[bytes | None] = [None] * len(texts)
@@ -113,7 +141,7 @@ class Encoder:
         new = [p for p in used if p not in self.cache]
         short, dirty, stops = [], set(), []
         for p in new:
-            if not p or _DIRTY.search(p):
+            if not p or p[-1] in _SPACES:
                 dirty.add(p)
             elif len(p) <= KEEP_CHARS:
                 # a stop after a letter is a piece of its own: such a word shares the ids of the bare one
@@ -121,7 +149,7 @@ class Encoder:
         bare = {p[:-1] for p in stops}.difference(short)
         short += [p for p in bare if p not in self.cache]
         extra: dict[str, bytes] = {}
-        self.cache.update(zip(short, self._ids([" " + p for p in short]), strict=True))
+        self.cache.update(zip(short, self._spaced(short), strict=True))
         marks = dict(zip(".,", self._ids([".", ","]), strict=True)) if stops else {}
         self.cache.update((p, self.cache[p[:-1]] + marks[p[-1]]) for p in stops)
         long = [p for p in new if len(p) > KEEP_CHARS and p not in dirty]

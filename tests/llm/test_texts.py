@@ -212,6 +212,17 @@ def test_encoder_equals_the_library(ids_of):
     assert Encoder().encode(texts) == [ids_of(t, []).tobytes() for t in texts]
 
 
+def test_new_words_are_encoded_in_bounded_lines(ids_of, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeé\n\t.,'-1", k=rng.randint(1, 12))) + "x" for _ in range(20_000)]
+    texts = [" ".join(words[k : k + 400]) for k in range(0, len(words), 400)]
+    encoder, calls = Encoder(), []
+    ids = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda batch: calls.append(len(batch)) or ids(batch))
+    assert encoder.encode(texts) == [ids_of(t, []).tobytes() for t in texts]
+    assert max(calls) <= 64 and sum(calls) < len(words) / 20
+
+
 def test_plan_never_overfills_and_places_every_piece():
     rng = random.Random(1)
     for _ in range(10):
