@@ -164,3 +164,40 @@ def test_sets_move_as_strings_without_merging_tokens(spark):
     pool = spark.createDataFrame(list(enumerate(words)), "p_id long, bits array<string>")
     shards = setindex.Shards(pool, [], ["p_id"])
     assert shards.joined and dict(shards.rows.dtypes)["bits"] == "string"
+
+
+def test_rare_tokens_are_not_searched_where_they_answer_nothing():
+    """Sets that are all far from each other: after a few tries a query counts at once, and only rows that can win are compared."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    sets = [sorted({f"t{int(rng.random() ** 2 * 300)}" for _ in range(30)}) for _ in range(900)]
+    pool, asked = pa.array(sets[:700]), pa.array(sets[700:])
+    index = setindex.SetIndex(pool)
+    searcher = knn._Searcher(index, pa.array([f"a{i % 90}" for i in range(700)]), 5, None, False)
+    calls, near = [], index.near
+    index.near = lambda *a: calls.append(1) or near(*a)
+    queries = list(index.lookup(asked))
+    assert all(searcher.near(size, codes, i % 90, -1.0) is None for i, (size, codes) in enumerate(queries))
+    assert len(calls) == knn.FEW_TRIES
+    looked = 0
+    for i, ((size, _), every) in enumerate(zip(queries, index.counted_each([c for _, c in queries]))):
+        assert every.dtype == np.uint8
+        at, all_rows = searcher.leading(size, every, i % 90, -1.0), np.flatnonzero(every)
+        looked += len(at) / len(all_rows) / len(queries)
+        for got, want in zip(*(searcher.best(size, rows, every[rows], i % 90, -1.0, True) for rows in (at, all_rows))):
+            assert np.array_equal(got, want)
+    assert looked < 0.3
+
+
+def test_counts_of_large_sets_do_not_overflow():
+    import numpy as np
+    import pyarrow as pa
+
+    sets = [[f"t{i}" for i in range(n)] for n in (3, 255, 256, 700)]
+    index = setindex.SetIndex(pa.array(sets))
+    codes = [c for _, c in index.lookup(pa.array(sets))]
+    for one, each in zip(codes, index.counted_each(codes)):
+        assert np.array_equal(index.counted(one), each)
+    assert max(index.counted(codes[3])) == 700
