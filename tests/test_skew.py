@@ -35,6 +35,16 @@ def test_grid_join_equals_join(sides, cell, how, null_safe):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+def test_a_key_of_many_pairs_is_dealt_though_it_has_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(skew, "PAIR_SIDE", 50, raising=False)
+    left = spark.range(400).selectExpr("'hot' AS k", "id AS l").unionAll(spark.createDataFrame([("few", 1)], "k string, l long"))
+    right = spark.range(300).selectExpr("'hot' AS k", "id AS r").unionAll(spark.createDataFrame([("few", 1)], "k string, r long"))
+    got = grid_join(left, right, ["k"], left["l"], right["r"]).withColumn("task", F.spark_partition_id())
+    assert got.select("k", "l", "r").distinct().count() == got.count() == 120_001
+    tasks = [r["count"] for r in got.groupBy("task").count().collect()]
+    assert len(tasks) > 4 and max(tasks) < 60_000
+
+
 @pytest.mark.parametrize("bound", [0, 200_000])
 @pytest.mark.parametrize("how, null_safe", [("left", False), ("inner", True), ("left", True)])
 def test_lookup(spark, monkeypatch, bound, how, null_safe):
