@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.llm.common import id_and_text, map_rows, staged
+from pairloom.llm.common import id_and_text, map_rows, short_batches, staged
 from pairloom.llm.tokens import shared_encoder
 
 MAGIC = b"WVM1"
@@ -246,6 +246,7 @@ def write_shards(
         if size:
             yield row()
 
+    short_batches(docs.sparkSession)
     return spread.mapInArrow(run, "part int, seq int, n_tokens long, record binary")
 
 

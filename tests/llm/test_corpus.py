@@ -352,3 +352,17 @@ def test_pipeline_stages(odd, spark):
         assert docs.columns == odd.columns
     rows = corpus_pipeline.run(spark, sf)
     assert rows.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(rows.columns)
+
+
+def test_batches_to_python_are_short(spark, small):
+    from pairloom.llm import common
+    from pairloom.llm.op3_packing import pieces
+
+    before = spark.conf.get(common.BATCH_SETTING)
+    try:
+        for asked, kept in ((10_000, common.BATCH_ROWS), (0, common.BATCH_ROWS), (50, 50)):
+            spark.conf.set(common.BATCH_SETTING, asked)
+            pieces(small)
+            assert int(spark.conf.get(common.BATCH_SETTING)) == kept
+    finally:
+        spark.conf.set(common.BATCH_SETTING, before)
