@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.llm.common import map_rows, staged
+from pairloom.llm.common import map_rows, short_batches, staged
 from pairloom.llm.graph import components
 
 SIZE = 5
@@ -39,6 +39,7 @@ DEPTH = 6
 RECALL = 0.999
 BLOCK = 256
 BROADCAST_ROWS = 1_000_000  # keys of classes to fetch are broadcast only if counted to be at most so many
+HELD_WORDS = 250_000  # hashes of words that a task keeps
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FAR = 0.2  # what an estimate from TREES * DEPTH hashes may be off (over four standard deviations)
 
@@ -56,7 +57,7 @@ class Shingler:
 
     class _Words(dict):
         def __missing__(self, w: bytes) -> int:
-            if len(self) > 1_000_000:
+            if len(self) > HELD_WORDS:
                 self.clear()
             h = self[w] = xxhash.xxh64_intdigest(w)
             return h
@@ -79,15 +80,18 @@ class Shingler:
 
 
 def signature(s: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """Minimum of each hash function over the set."""
+    """Minimum of each hash function over the set, as 16 bits of its hash.
+
+    Nodes and likeness go by these 16 bits everywhere: sets with equal minima always agree in them.
+    """
     if not len(s):
-        return np.zeros(len(factors), np.uint32)
+        return np.zeros(len(factors), np.uint16)
     best = None
     for a in range(0, len(s), 4096):
         part = s[a : a + 4096]
         got = np.array([(part * f).min() for f in factors])
         best = got if best is None else np.minimum(best, got)
-    return (best >> np.uint64(32)).astype(np.uint32)
+    return ((best ^ (best >> np.uint64(32))) * _MIX >> np.uint64(48)).astype(np.uint16)
 
 
 def factors(n: int) -> np.ndarray:
@@ -133,7 +137,7 @@ def near_keys(sig: np.ndarray, trees: int, short: int) -> np.ndarray:
 
 
 def signature_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
 
 
 def nodes(classes: DataFrame, trees: int, short: int) -> DataFrame:
@@ -203,6 +207,7 @@ def by_block(rows: DataFrame, schema: str, work) -> DataFrame:
             keys = np.stack([held.column(k).to_numpy().astype(np.int64) for k in range(5)])
             yield from work(held, keys).to_batches()
 
+    short_batches(rows.sparkSession)
     return placed.mapInArrow(run, schema)
 
 

@@ -354,6 +354,23 @@ def test_pipeline_stages(odd, spark):
     assert rows.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(rows.columns)
 
 
+def test_signatures_tell_minima_apart_in_two_bytes():
+    import numpy as np
+
+    from pairloom.llm import op10_ngram_join as J
+
+    fs, rng = J.factors(96), np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64)) for _ in range(20)]
+    sigs = np.stack([J.signature(s, fs) for s in sets])
+    assert sigs.dtype == np.uint16 and sigs.nbytes == 20 * 96 * 2
+    assert np.array_equal(J.signature(np.concatenate((sets[0], sets[1])), fs) == sigs[0], J.signature(np.union1d(sets[0], sets[1]), fs) == sigs[0])
+    equal = [(sigs[a] == sigs[b]).mean() for a in range(20) for b in range(a)]
+    assert np.mean(equal) < 0.001  # small minima of large sets keep no common leading bits
+    near = np.concatenate((sets[0][:3600], sets[1][:400]))
+    assert abs((J.signature(near, fs) == sigs[0]).mean() - 3600 / 4400) < 0.15
+    assert J.signature(sets[0][:0], fs).dtype == np.uint16
+
+
 def test_batches_to_python_are_short(spark, small):
     from pairloom.llm import common
     from pairloom.llm.op3_packing import pieces
