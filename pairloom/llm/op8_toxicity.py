@@ -370,33 +370,40 @@ class _Words(dict):
     def __init__(self, model: Model, most: int = 150_000):
         super().__init__()
         self.model, self.most = model, most
-        self.own = [[t for t in per] for per in model.tables(model.emb)] if model.emb is not None else []
+        self.own = model.tables(model.emb) if model.emb is not None else []
         self._start()
 
     def _start(self) -> None:
         self.clear()
         self[""] = 0
-        self.rows = [[0] * PARTS]
+        self.new: list[list[int]] = []  # rows of the words that the tables lack
+        self.done = 1
         self.tables = [[np.zeros((1, FILTERS), np.float32) for _ in per] for per in self.own]
 
     def __missing__(self, word: str) -> int:
-        k = self[word] = len(self.rows)
-        self.rows.append(self.model.part_rows(word))
+        k = self[word] = len(self)
+        self.new.append(self.model.part_rows(word))
         return k
 
+    def _grow(self) -> None:
+        rows, a, b = np.array(self.new, dtype=np.int64), self.done, len(self)
+        for per, mine in zip(self.tables, self.own, strict=True):
+            for k, own in enumerate(mine):
+                if b > len(per[k]):  # room for as many again, so that they are seldom copied
+                    per[k] = np.concatenate((per[k][:a], np.empty((max(2 * b, 1024) - a, FILTERS), np.float32)))
+                for c in range(0, b - a, 8192):
+                    per[k][a + c : min(b, a + c + 8192)] = own[rows[c : c + 8192]].sum(axis=1)
+        self.new, self.done = [], b
+
     def texts(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.rows) > self.most:
+        if len(self) > self.most:
             self._start()
         out = []
         for t in texts:
             found = _WORD.findall(t.lower())
             out.append(np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found)))
-        new = np.array(self.rows[len(self.tables[0][0]) if self.tables else 0 :], dtype=np.int64)
-        if len(new):
-            self.tables = [
-                [np.concatenate((t, own[new].sum(axis=1))) for t, own in zip(per, mine, strict=True)]
-                for per, mine in zip(self.tables, self.own, strict=True)
-            ]
+        if self.new:
+            self._grow()
         return out
 
 

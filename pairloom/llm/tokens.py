@@ -17,6 +17,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from pairloom.llm.common import kept
+
 #: White space as the pre-tokenizer's pattern knows it (fixed values).
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
@@ -87,6 +89,7 @@ class Encoder:
         self.tok = load_tokenizer(name)
         self.cut = cuts_are_exact(set_up(self.tok))
         self.special = [a.content for a in self.tok.get_added_tokens_decoder().values()]
+        self.common = os.path.commonprefix(self.special)  # a text without it holds none of them
         vocabulary = self.tok.get_vocab() if self.cut else {}
         self.opens = np.zeros(max(vocabulary.values(), default=-1) + 1, dtype=bool)  # ids whose bytes begin with a space
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -119,7 +122,7 @@ class Encoder:
         group: list[int] = []
         chars = 0
         for i, t in enumerate(texts):
-            if not self.cut or any(s in t for s in self.special):
+            if not self.cut or (self.common in t and any(s in t for s in self.special)):
                 out[i] = self._ids([t])[0]
                 continue
             group.append(i)
@@ -138,9 +141,10 @@ class Encoder:
         if len(self.cache) > self.cache_units:
             # words of this group stay: the frequent ones are among them
             self.cache = {p: self.cache[p] for p in used if p in self.cache}
-        new = [p for p in used if p not in self.cache]
-        short, dirty, stops = [], set(), []
-        for p in new:
+        new = used.difference(self.cache)
+        short = [p for p in new if p.isalpha() and len(p) <= KEEP_CHARS]
+        dirty, stops = set(), []
+        for p in new.difference(short):
             if not p or p[-1] in _SPACES:
                 dirty.add(p)
             elif len(p) <= KEEP_CHARS:
@@ -172,11 +176,6 @@ class Encoder:
         return b"".join(ids[u] if u in ids else self.cache[u[1:]] for u in found)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def shared_encoder(name: str) -> Encoder:
     """The encoder of this worker process: tasks that follow each other keep its cache."""
-    if name not in _encoders:
-        _encoders[name] = Encoder(name)
-    return _encoders[name]
+    return kept(f"encoder {name}", lambda: Encoder(name))
