@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.llm.common import id_and_text, map_rows, short_batches, staged
+from pairloom.llm.common import give_back, id_and_text, map_rows, short_batches, staged
 from pairloom.llm.tokens import shared_encoder
 
 MAGIC = b"WVM1"
@@ -69,11 +69,11 @@ def pack_shard(ids: np.ndarray, lengths: list[int], doc_ids: list[int | None]) -
         nulls.tobytes(),
     ]
     for k in range(planes - 1, -1, -1):
-        bit = (x >> k) & 1 == 1
+        bit = x & (1 << k) != 0
         bits = np.packbits(bit)
         frame = press.compress(bits.tobytes() + _directory(bits).tobytes())
-        ones = x[bit]
-        x = np.concatenate((x[~bit], ones))
+        ones = x.take(np.flatnonzero(bit))
+        x = np.concatenate((x.take(np.flatnonzero(~bit)), ones))
         out += [_PLANE.pack(n - len(ones), len(frame)), frame]
     return b"".join(out)
 
@@ -197,9 +197,8 @@ class Shard:
             zeros, bits, _ = self._plane(p)
             bit = np.unpackbits(bits, count=self.n).view(bool)
             up = np.empty_like(y)
-            up[~bit] = y[:zeros]
-            up[bit] = y[zeros:]
-            up |= bit.astype(y.dtype) << (planes - 1 - p)
+            up[np.flatnonzero(~bit)] = y[:zeros]
+            up[np.flatnonzero(bit)] = y[zeros:] | (1 << (planes - 1 - p))
             y = up
             self._open.pop(p, None)
         return self.symbols[y]
@@ -230,21 +229,20 @@ def write_shards(
             )
 
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for k in range(0, batch.num_rows, 512):
-                texts = batch.column(1).slice(k, 512).to_pylist()
-                for doc, data in zip(names[k : k + 512], encoder.encode(texts), strict=True):
-                    n = len(data) // 4 + 1
-                    if size and size + n > shard_tokens:
-                        yield row()
-                        seq, size = seq + 1, 0
-                        held, lengths, ids = [], [], []
-                    held += [data, end]
-                    lengths.append(n)
-                    ids.append(doc)
-                    size += n
+            for doc, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                n = len(data) // 4 + 1
+                if size and size + n > shard_tokens:
+                    yield row()
+                    seq, size = seq + 1, 0
+                    held, lengths, ids = [], [], []
+                held += [data, end]
+                lengths.append(n)
+                ids.append(doc)
+                size += n
         if size:
             yield row()
+        held, lengths, ids = [], [], []
+        give_back()
 
     short_batches(docs.sparkSession)
     return spread.mapInArrow(run, "part int, seq int, n_tokens long, record binary")
