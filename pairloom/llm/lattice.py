@@ -135,6 +135,7 @@ class Lattice:
             length = chars.shape[1]
             b = np.full_like(a, -np.inf)
             b[length] = 0
+            used, shares = [], []
             for i in range(length, 0, -1):
                 b[i - 1] = np.logaddexp(b[i - 1], b[i] + spelled[:, i - 1])
                 for j in range(max(0, i - self.longest), i):
@@ -143,7 +144,10 @@ class Lattice:
                         b[j] = np.logaddexp(b[j], b[i] + padded[k])
                         share = np.exp(a[j] + padded[k] + b[i] - a[length]) * weight
                         ok = k >= 0
-                        total[: len(self.pieces)] += np.bincount(k[ok], share[ok], minlength=len(self.pieces))
+                        used.append(k[ok])
+                        shares.append(share[ok])
+            if used:
+                total[: len(self.pieces)] += np.bincount(np.concatenate(used), np.concatenate(shares), minlength=len(self.pieces))
             by = np.exp(a[:-1] + spelled.T + b[1:] - a[length]) * weight
             values, back = np.unique(chars, return_inverse=True)
             per = np.bincount(back.reshape(-1), by.T.reshape(-1), minlength=len(values))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import id_and_text, key_crc, map_rows, staged
+from pairloom.llm.common import id_and_text, joined, key_crc, map_rows, staged
 from pairloom.llm.lattice import Lattice, vocabulary
 from pairloom.llm.tokens import tokenizer_path
 
@@ -40,6 +40,7 @@ ROUNDS = 2
 CHUNK_CHARS = 32_000_000
 PRIOR = 1000.0  # pseudo-count of the starting weights, in pieces
 _SLICE = 100_000
+LATTICE_ROWS = 50_000  # words in the lattice at once: it works on those of one length together
 
 
 class _Ids(dict):
@@ -158,7 +159,7 @@ def learn(counts: DataFrame, n_docs: int, model: str, rounds: int) -> tuple[np.n
 
         def run(batches, make=make):
             each, total = make()
-            for b in batches:
+            for b in joined(batches, LATTICE_ROWS):
                 each(b)
             k = np.flatnonzero(total)
             yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(total[k])], names=["piece", "n"])
@@ -213,7 +214,7 @@ def lm_scores(
 
         return each
 
-    scored = map_rows(counts.select("word", "c"), "word string, c long, lp double", make)
+    scored = map_rows(counts.select("word", "c"), "word string, c long, lp double", make, LATTICE_ROWS)
     back = words.select("chunk", "idx", "word").join(scored, "word").select(F.col("chunk").alias("of"), "idx", "c", "lp")
     end_p = float(np.log10(d + unseen * np.exp(log_end)) - np.log10(n + unseen))
     end_base = float(np.log10((d + 1) / (n + v + 1)))
