@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.llm.common import map_rows, short_batches, staged
+from pairloom.llm.common import give_back, map_rows, short_batches, staged
 from pairloom.llm.graph import components
 
 SIZE = 5
@@ -159,7 +159,10 @@ def nodes(classes: DataFrame, trees: int, short: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """cls, set of the wanted classes (cls, rid), made again from the text of one document each."""
+    """cls, set of the wanted classes (rid), made again from the text of one document each and dealt by class, once.
+
+    Other texts with the same row key may add their classes; those meet nobody.
+    """
     keys = wanted.select("rid").distinct()
     if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
@@ -175,7 +178,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
         return each
 
-    made = map_rows(texts, "rid long, cls binary, set binary", make).join(wanted.select("rid", "cls"), ["rid", "cls"], "left_semi")
+    made = map_rows(texts, "rid long, cls binary, set binary", make)
     # a repeated row gives its set once more; one row per class is kept
     w = Window.partitionBy("cls").orderBy("rid")
     return made.withColumn("k", F.row_number().over(w)).filter("k = 1").select("cls", "set")
@@ -206,6 +209,8 @@ def by_block(rows: DataFrame, schema: str, work) -> DataFrame:
         if held is not None:
             keys = np.stack([held.column(k).to_numpy().astype(np.int64) for k in range(5)])
             yield from work(held, keys).to_batches()
+        held = None
+        give_back()
 
     short_batches(rows.sparkSession)
     return placed.mapInArrow(run, schema)
@@ -284,11 +289,10 @@ def grouped(
         return t.select([*KEYS, "own", "cls"]).take(pa.array(np.union1d(p, q).astype(np.int64)))
 
     needed = staged(by_block(first, "tree int, near long, i int, j int, own int, cls binary", tell))
-    wanted = classes.join(needed.select("cls").distinct(), "cls", "left_semi").select("rid", "cls")
-    sets = shingle_sets(docs, staged(wanted), id_col, text_col, size)
+    wanted = staged(classes.join(needed.select("cls").distinct(), "cls", "left_semi").select("rid", "cls", "m", "sig"))
     # 2. exactly: sums of links per class and the edges of each block's components
-    full = staged(classes.select("cls", "m", "sig").join(sets, "cls"))
-    second = needed.join(full, "cls").select(*KEYS, "own", "cls", "m", "sig", "set")
+    places = needed.join(wanted.select("cls", "m", "sig"), "cls")
+    second = places.join(shingle_sets(docs, wanted, id_col, text_col, size), "cls").select(*KEYS, "own", "cls", "m", "sig", "set")
     named = [("a", pa.binary()), ("b", pa.binary()), ("w", pa.int64())]
 
     def verify(t: pa.Table, keys: np.ndarray) -> pa.Table:
