@@ -201,3 +201,37 @@ def test_counts_of_large_sets_do_not_overflow():
     for one, each in zip(codes, index.counted_each(codes)):
         assert np.array_equal(index.counted(one), each)
     assert max(index.counted(codes[3])) == 700
+
+
+def test_histogram_hands_on_each_cell_once(monkeypatch):
+    """However many batches of queries pass a shard, a task gives one row a cell, in pieces of bounded size."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(knn, "HELD_PAIRS", 50)
+    monkeypatch.setattr(setindex, "SENT_ROWS", 16)
+    rng = random.Random(4)
+    sets = lambda n: [sorted(rng.sample([f"t{i}" for i in range(30)], rng.randint(1, 12))) for _ in range(n)]
+    left, right = sets(90), sets(40)
+    want = collections.defaultdict(lambda: [0, None])
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            if n := len(set(a) & set(b)):
+                cell = want[n, len(set(a) | set(b))]
+                cell[0] += (i + 1) * (j + 1)
+                cell[1] = min(cell[1] or (i, j), (i, j))
+    named = pa.schema([("b", pa.string()), ("n_common", pa.int64()), ("n_union", pa.int64()), ("n_pairs", pa.int64()), ("l_id", pa.int64()), ("r_id", pa.int64())])
+    names = ["cell", "side", "bits", "r_id", "r_w", "row", "least", "b", "l_id", "l_w"]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int64(), pa.int64()]
+
+    def batch(rows):
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    pool = [(0, 0, b, j, j + 1, None, None, None, None, None) for j, b in enumerate(right)]
+    asked = [(0, 1, a, None, None, i, 0.0, "x", i, i + 1) for i, a in enumerate(left)]
+    for cells in (knn.TABLE_CELLS, 1):
+        monkeypatch.setattr(knn, "TABLE_CELLS", cells)
+        run = setindex._serve(knn.PairCells, knn._histogram, named, False, knn.PairCells.drained)
+        sent = list(run(iter([batch(pool), *(batch(asked[i : i + 30]) for i in (60, 0, 30))])))
+        assert max(len(x) for x in sent) <= 16
+        got = [tuple(r.values()) for x in sent for r in x.to_pylist()]
+        assert sorted(got) == sorted(("x", c, u, w, *pair) for (c, u), (w, pair) in want.items())
