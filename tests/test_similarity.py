@@ -222,3 +222,38 @@ def test_few_long_texts_of_one_vocabulary_are_candidates():
     found = [index.near(t).tolist() for t in near]
     assert all(i in rows for i, rows in enumerate(found))
     assert sum(map(len, found)) < 2 * len(texts)
+
+
+def test_short_strings_are_measured_where_they_are_searched(monkeypatch):
+    """Exact distances from the prefix tree, against all pairs; only pairs of long strings stay candidates."""
+    import pyarrow as pa
+
+    def distance(a, b):
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            c = [i]
+            for j, y in enumerate(b, 1):
+                c.append(min(p[j - 1] + (x != y), p[j] + 1, c[-1] + 1))
+            p = c
+        return p[-1]
+
+    rng = random.Random(3)
+
+    def changed(t):
+        t = list(t)
+        for _ in range(rng.randint(0, len(t) // 8)):
+            at, new = rng.randrange(len(t) + 1), rng.choice("abé\U0001f600")
+            t[at : at + rng.randint(0, 1)] = rng.choice(([new], []))
+        return "".join(t)
+
+    sizes = (1, 5, 8, 9, 10, 11, 19, 20, 21, 44, 100, 134, 140, 150)
+    base = ["".join(rng.choice("abé\U0001f600\0") for _ in range(n)) for n in sizes for _ in range(3)]
+    left, right = (sorted({changed(t) for t in base for _ in range(3)} - {""}) for _ in range(2))
+    want = {(r, x): d for r in right for x in left if 10 * (d := distance(r, x)) <= max(len(r), len(x))}
+    for held in (S.HELD_STATES, 5):
+        monkeypatch.setattr(S, "HELD_STATES", held)
+        text, row, found = S.StringIndex(pa.array(left)).near(right)
+        got = {(right[t], left[r]): d for t, r, d in zip(text.tolist(), row.tolist(), found.tolist())}
+        assert len(got) == len(text) and want.keys() <= got.keys()
+        assert {p: d for p, d in got.items() if len(p[1]) < S.SHORT} == {p: d for p, d in want.items() if len(p[1]) < S.SHORT}
+        assert all(d == -1 for p, d in got.items() if len(p[1]) >= S.SHORT)
