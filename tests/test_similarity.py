@@ -226,6 +226,7 @@ def test_few_long_texts_of_one_vocabulary_are_candidates():
 
 def test_short_strings_are_measured_where_they_are_searched(monkeypatch):
     """Exact distances from the prefix tree, against all pairs; only pairs of long strings stay candidates."""
+    import numpy as np
     import pyarrow as pa
 
     def distance(a, b):
@@ -252,8 +253,27 @@ def test_short_strings_are_measured_where_they_are_searched(monkeypatch):
     want = {(r, x): d for r in right for x in left if 10 * (d := distance(r, x)) <= max(len(r), len(x))}
     for held in (S.HELD_STATES, 5):
         monkeypatch.setattr(S, "HELD_STATES", held)
-        text, row, found = S.StringIndex(pa.array(left)).near(right)
+        text, row, found = (np.concatenate(x) for x in zip(*S.StringIndex(pa.array(left)).near(right)))
         got = {(right[t], left[r]): d for t, r, d in zip(text.tolist(), row.tolist(), found.tolist())}
         assert len(got) == len(text) and want.keys() <= got.keys()
         assert {p: d for p, d in got.items() if len(p[1]) < S.SHORT} == {p: d for p, d in want.items() if len(p[1]) < S.SHORT}
         assert all(d == -1 for p, d in got.items() if len(p[1]) >= S.SHORT)
+
+
+def test_what_a_task_holds_does_not_go_by_what_it_finds(monkeypatch):
+    """All rows of a batch reach all rows of a shard: the pairs leave the task in parts, for sets and for strings."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "HELD_FOUND", 100)
+    monkeypatch.setattr(S, "HELD_STATES", 100)
+    n = 60
+    ids, ones, none = pa.array(range(n)), pa.array([1] * n), pa.nulls(n)
+    for build, answer, values in (
+        (S.SetIndex, S._met(1, 2, False), pa.array([["a", "b", f"t{i}"] for i in range(n)])),
+        (S.StringIndex, S._likely, pa.array([f"a string of one host {i:02d}" for i in range(n)])),
+    ):
+        pool = pa.record_batch([none, none, values, ids, ones], list("abcde"))
+        asked = pa.record_batch([none, none, values, none, none, none, none, pa.array(["x"] * n), ids, ones], list("abcdefghij"))
+        parts = list(answer(build(values), pool, asked))
+        assert sum(len(p) for p in parts) == n * n
+        assert len(parts) > 5 and max(len(p) for p in parts) < n * n / 2
