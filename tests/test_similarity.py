@@ -277,3 +277,38 @@ def test_what_a_task_holds_does_not_go_by_what_it_finds(monkeypatch):
         parts = list(answer(build(values), pool, asked))
         assert sum(len(p) for p in parts) == n * n
         assert len(parts) > 5 and max(len(p) for p in parts) < n * n / 2
+
+
+def test_edit_distance_of_code_points():
+    """Within every limit against the whole table; far texts give -1."""
+
+    def table(a, b):
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            c = [i]
+            for j, y in enumerate(b, 1):
+                c.append(min(p[j - 1] + (x != y), p[j] + 1, c[-1] + 1))
+            p = c
+        return p[-1]
+
+    rng = random.Random(7)
+    for n in (0, 1, 2, 7, 25, 25, 25, 700):
+        for letters in ("ab", "abcd", "aé—\U0001f600", "ab\0"):
+            a = "".join(rng.choice(letters) for _ in range(n))
+            b = list(a)
+            for _ in range(rng.randint(0, 6)):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randint(0, 2)] = rng.choice(([rng.choice(letters)], []))
+            d = table(a, b)
+            for limit in (0, 1, 3, 8, 30):
+                got = S.edit_distance(*(S.PieceIndex.points(t) for t in (a, "".join(b))), limit)
+                assert got == (d if d <= limit else -1)
+
+
+def test_distances_of_long_strings_go_by_the_distance():
+    """A banded table of these two would have 240 million cells."""
+    a = S.PieceIndex.points("abcdefgh" * 3_000)
+    b = S.PieceIndex.points("abcdefgh" * 1_500 + "xyz" + "abcdefgh" * 1_499)
+    assert S.edit_distance(a, b, 2_400) == 8
+
+
