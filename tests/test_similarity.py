@@ -312,3 +312,8 @@ def test_distances_of_long_strings_go_by_the_distance():
     assert S.edit_distance(a, b, 2_400) == 8
 
 
+def test_sets_are_written_compressed(spark):
+    """The sets that every set join reads are a compressed table, not a checkpoint of arrays."""
+    rows = spark.range(40).select("id", F.array(*[(F.col("id") % k).cast("string") for k in (3, 5, 7)]).alias("bits"))
+    sets = S.distinct_sets(rows, [], "id", "bits")
+    assert all(f.endswith(".zstd.parquet") for f in sets.inputFiles()) and sets.inputFiles()
